@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, sharding, url_filter
+import public_tokenizers
+
+from . import bpe, html_text, packing, sharding, url_filter
+from .shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in windows of 2048 ids."""
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """Digest rows of all pieces with their places."""
+    pieces = packing.cut_documents(docs, path=public_tokenizers.path("byte_bpe_50k.json"), pattern=public_tokenizers.PATTERN)
+    digests = written(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
+    return packing.pack_pieces(digests, order=("doc_id", "start", "ids_crc32"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, and its ids decoded again."""
+    place = {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    encoded = bpe.encode_texts(table(spark, sf_dir, "documents"), **place)
+    digests = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"))
+    decoded = bpe.decode_ids(digests, **place, keep=("doc_id", "n_tokens", "ids_sha256"))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of the four fixed rules on every page's URL."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -34,6 +58,8 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_packing": op1_packing,
+    "op3_bpe": op3_bpe,
     "op7_url_filter": op7_url_filter,
     "op9_sharding": op9_sharding,
     "op10_html_extraction": op10_html_extraction,
