@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, html_text, packing, sharding, url_filter
+from . import bpe, html_text, langid, packing, sharding, toxicity, url_filter
 from .shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,27 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def remainder(divisor: int) -> str:
+    """SQL for the CRC-32 of the doc_id's decimal text, modulo the divisor."""
+    return f"pmod(crc32(cast(cast(doc_id AS string) AS binary)), {divisor})"
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a fifth of the ids is held out from learning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train_on(docs, table(spark, sf_dir, "labels"), learn=f"{remainder(5)} <> 0")
+    scored = toxicity.score_texts(docs, model)
+    return scored.select("doc_id", F.expr(f"{remainder(5)} = 0").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a third of the ids is held out from learning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    network = langid.train_on(docs, learn=f"{remainder(3)} <> 1")
+    predicted = langid.predict_languages(docs, network)
+    return predicted.select("doc_id", F.expr(f"{remainder(3)} = 1").alias("held_out"), "lang_pred", "score")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of the four fixed rules on every page's URL."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -60,6 +81,8 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op3_bpe": op3_bpe,
+    "op5_toxicity": op5_toxicity,
+    "op6_language_id": op6_language_id,
     "op7_url_filter": op7_url_filter,
     "op9_sharding": op9_sharding,
     "op10_html_extraction": op10_html_extraction,
