@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, html_text, langid, packing, sharding, toxicity, url_filter
+from . import bpe, fingerprint, html_text, langid, packing, sharding, topk, toxicity, url_filter
 from .shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def remainder(divisor: int) -> str:
     """SQL for the CRC-32 of the doc_id's decimal text, modulo the divisor."""
     return f"pmod(crc32(cast(cast(doc_id AS string) AS binary)), {divisor})"
@@ -67,6 +72,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, url_filter.rule_table(spark, url_filter.RULES))
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows for every vec_id divisible by 20."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 equal shards by rendezvous hashing, and their shard of 17."""
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -81,11 +91,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op3_bpe": op3_bpe,
+    "op4_fingerprints": op4_fingerprints,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op7_url_filter": op7_url_filter,
+    "op8_exact_topk": op8_exact_topk,
     "op9_sharding": op9_sharding,
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_url_filter": url_filter.SQL}
+ORACLE_SQL: dict[str, str] = {"op7_url_filter": url_filter.SQL, "op8_exact_topk": topk.SQL}
