@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, fingerprint, html_text, langid, packing, sharding, topk, toxicity, url_filter
+from . import bpe, fingerprint, html_text, jaccard, langid, packing, sharding, topk, toxicity, url_filter
 from .shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return packing.pack_pieces(digests, order=("doc_id", "start", "ids_crc32"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under a Jaccard similarity of 0.9 of their 3-word shingles."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and its ids decoded again."""
     place = {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
@@ -90,6 +95,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_bpe": op3_bpe,
     "op4_fingerprints": op4_fingerprints,
     "op5_toxicity": op5_toxicity,
