@@ -14,5 +14,5 @@ def parse_link_sequence(seq: Column) -> Column:
     """
     text = seq.cast("string")
     parts = F.when(F.contains(text, F.lit(";")), F.split(text, ";")).otherwise(F.split(text, ","))
-    filled = F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    filled = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(filled, lambda x: x.cast("double").cast("long"))
