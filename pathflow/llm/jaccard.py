@@ -15,14 +15,16 @@ keys, where d is the most by which a partner may differ, and texts that share a
 key are candidates.  Texts joined by candidate pairs, however indirectly, form
 a block; all their pairs are searched there.  Nothing that links is lost: apart
 from collisions of 64-bit hashes, only a text whose shingles crowd into fewer
-than d + 1 of its 2 (d + 1) or more groups could be, which for hashed shingles
-has a chance below 1e-9 a text.
+than d + 1 groups could be, and there are so many groups that this has a chance
+below ``CROWDED`` a text.
 
 Texts with equal sets are one class throughout; a class is searched once.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +43,8 @@ GROUPS, LEAF, FANOUT = 32, 16, 16
 BLOCK_TEXTS, BLOCK_SHINGLES = 2000, 400_000
 #: Texts of a large block family that every one of its blocks compares with.
 HUBS = 16
+#: Chance that a text's shingles lie in too few groups for its keys to be sure.
+CROWDED = 1e-9
 
 
 def most_different(n: np.ndarray, percent: int) -> np.ndarray:
@@ -56,6 +60,24 @@ def size_bands(percent: int, most: int) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
+@functools.cache
+def group_count(low: int, high: int, percent: int) -> int:
+    """Groups for sets of ``low`` to ``high`` shingles: so many that a set reaches more than d of them, but for a chance of ``CROWDED``."""
+    sizes = np.unique(np.geomspace(low, high, 64).astype(np.int64))
+    pairs = list(zip(sizes.tolist(), most_different(sizes, percent).tolist(), strict=True))
+    if any(d >= n for n, d in pairs):
+        raise ValueError(f"sets that share {percent} % may have no shingle in common groups; the least percentage is higher")
+    groups = max(16, 2 * (max(d for _, d in pairs) + 1))
+
+    def crowded(n: int, d: int) -> float:
+        """Logarithm of a bound on the chance that n shingles lie in d groups."""
+        return math.lgamma(groups + 1) - math.lgamma(d + 1) - math.lgamma(groups - d + 1) + n * math.log(d / groups) if d else -math.inf
+
+    while any(crowded(n, d) > math.log(CROWDED) for n, d in pairs):
+        groups *= 2
+    return groups
+
+
 def group_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all texts, and the text of each; ``hashes`` holds each text's sorted set."""
     sizes = np.diff(bounds)
@@ -69,7 +91,9 @@ def group_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np
         # a partner of up to size * 100 / percent may lie in a higher band and use that band's groups
         own = np.flatnonzero((sizes > 0) & (band + ahead <= up))
         at = band[own] + ahead
-        groups = np.maximum(16, 2 * (most_different(bands[at + 1] - 1, percent) + 1))
+        # texts of the bands below that reach up to this one use its groups too
+        used = {b: group_count(max(1, int(bands[b]) * percent // 100), int(bands[b + 1]) - 1, percent) for b in np.unique(at).tolist()}
+        groups = np.array([used.get(b, 0) for b in range(int(at.max(initial=0)) + 1)], np.int64)[at]
         n = sizes[own]
         starts = np.concatenate(([0], np.cumsum(n)))
         where = np.arange(starts[-1]) + np.repeat(bounds[own] - starts[:-1], n)

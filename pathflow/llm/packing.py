@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .bpe import Codec, _slices, read_ranks
 
 #: Rows of a rank bucket: a length with more pieces is ranked in several tasks.
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 4_000
 
 
 class RoomTree:
