@@ -7,16 +7,16 @@ and for a tree node of the smaller of the count and the node's upper bound, so
 whole nodes and then single pairs are turned away.  What survives is verified
 on the full sets.
 
-The blocks come from the groups' contents.  If two sets differ in at most d
-shingles, then of any d + 1 groups that are not empty at least one has exactly
-the same content on both sides.  Texts of similar size use the same number of
-groups, so each offers the contents of its first d + 1 non-empty groups as
-keys, where d is the most by which a partner may differ, and texts that share a
-key are candidates.  Texts joined by candidate pairs, however indirectly, form
-a block; all their pairs are searched there.  Nothing that links is lost: apart
-from collisions of 64-bit hashes, only a text whose shingles crowd into fewer
-than d + 1 groups could be, and there are so many groups that this has a chance
-below ``CROWDED`` a text.
+The blocks come from the groups' contents.  A group in which two sets do not
+differ has the same content on both sides, so texts of similar size, which use
+the same number of groups, offer the contents of their non-empty groups as keys,
+and texts that share a key are candidates.  If two sets differ in at most d
+shingles, of any d + 1 non-empty groups one at least is the same; with fewer,
+larger groups than d + 1, one still is with all but certainty, as differences
+fall into groups by their hash.  The number of groups is the least that leaves
+a chance below ``MISSED`` that a link shows no common key.  Texts joined by
+candidate pairs, however indirectly, form a block; all their pairs are searched
+there.
 
 Texts with equal sets are one class throughout; a class is searched once.
 """
@@ -43,8 +43,8 @@ GROUPS, LEAF, FANOUT = 32, 16, 16
 BLOCK_TEXTS, BLOCK_SHINGLES = 2000, 400_000
 #: Texts of a large block family that every one of its blocks compares with.
 HUBS = 16
-#: Chance that a text's shingles lie in too few groups for its keys to be sure.
-CROWDED = 1e-9
+#: Chance that a pair that links shares no key.
+MISSED = 1e-9
 
 
 def most_different(n: np.ndarray, percent: int) -> np.ndarray:
@@ -53,29 +53,44 @@ def most_different(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def size_bands(percent: int, most: int) -> np.ndarray:
-    """Lower ends of bands of sizes, wide enough that partners lie in the same or in neighbouring bands."""
-    step, ends = max(1.5, 110 / percent), [1]
+    """Lower ends of bands of sizes; texts of a band use the same number of groups."""
+    step, ends = max(1.2, 105 / percent), [1]
     while ends[-1] <= most:
         ends.append(max(ends[-1] + 1, int(ends[-1] * step)))
     return np.array(ends, np.int64)
 
 
 @functools.cache
-def group_count(low: int, high: int, percent: int) -> int:
-    """Groups for sets of ``low`` to ``high`` shingles: so many that a set reaches more than d of them, but for a chance of ``CROWDED``."""
+def group_plan(low: int, high: int, percent: int) -> tuple[int, bool]:
+    """Number of groups for sets of ``low`` to ``high`` shingles, and whether all non-empty groups give keys or the first d + 1.
+
+    With all groups, a link of d differing and c common shingles is missed only
+    if every group has a difference or nothing in common; as these events of
+    different groups are negatively associated, the chance is at most their
+    product.  With the first d + 1 non-empty groups it is missed only if all
+    shingles of a set lie in d groups.  The plan with fewer groups is taken.
+    """
     sizes = np.unique(np.geomspace(low, high, 64).astype(np.int64))
     pairs = list(zip(sizes.tolist(), most_different(sizes, percent).tolist(), strict=True))
     if any(d >= n for n, d in pairs):
-        raise ValueError(f"sets that share {percent} % may have no shingle in common groups; the least percentage is higher")
-    groups = max(16, 2 * (max(d for _, d in pairs) + 1))
+        raise ValueError(f"{percent} % is too low a similarity for common groups")
+    least = math.log(MISSED)
+
+    def unseen(g: int, n: int, m: int) -> float:
+        d, c = (n + m) * (100 - percent) // (100 + percent), -(-percent * (n + m) // (100 + percent))
+        same = (1 - 1 / g) ** d * (1 - (1 - 1 / g) ** c)
+        return g * math.log1p(-same) if same < 1 else -math.inf
 
-    def crowded(n: int, d: int) -> float:
-        """Logarithm of a bound on the chance that n shingles lie in d groups."""
-        return math.lgamma(groups + 1) - math.lgamma(d + 1) - math.lgamma(groups - d + 1) + n * math.log(d / groups) if d else -math.inf
+    def crowded(g: int, n: int, d: int) -> float:
+        return math.lgamma(g + 1) - math.lgamma(d + 1) - math.lgamma(g - d + 1) + n * math.log(d / g) if d else -math.inf
 
-    while any(crowded(n, d) > math.log(CROWDED) for n, d in pairs):
-        groups *= 2
-    return groups
+    first = max(d for _, d in pairs) + 1
+    while any(crowded(first, n, d) > least for n, d in pairs):
+        first += first // 16 + 1
+    every = 8
+    while every < first and any(unseen(every, n, m) > least for n, _ in pairs for m in (n, 100 * n // percent)):
+        every += every // 16 + 1
+    return (every, True) if every < first else (first, False)
 
 
 def group_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +107,9 @@ def group_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np
         own = np.flatnonzero((sizes > 0) & (band + ahead <= up))
         at = band[own] + ahead
         # texts of the bands below that reach up to this one use its groups too
-        used = {b: group_count(max(1, int(bands[b]) * percent // 100), int(bands[b + 1]) - 1, percent) for b in np.unique(at).tolist()}
-        groups = np.array([used.get(b, 0) for b in range(int(at.max(initial=0)) + 1)], np.int64)[at]
+        plans = {x: group_plan(max(1, int(bands[x]) * percent // 100), int(bands[x + 1]) - 1, percent) for x in np.unique(at).tolist()}
+        groups = np.array([plans.get(x, (1, False))[0] for x in range(int(at.max(initial=0)) + 1)], np.int64)[at]
+        every = np.array([plans.get(x, (1, False))[1] for x in range(int(at.max(initial=0)) + 1)], bool)[at]
         n = sizes[own]
         starts = np.concatenate(([0], np.cumsum(n)))
         where = np.arange(starts[-1]) + np.repeat(bounds[own] - starts[:-1], n)
@@ -105,7 +121,7 @@ def group_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np
         content = np.add.reduceat(mix(h), first)
         group, text = group[first], text[first]
         nth = np.arange(len(first)) - np.searchsorted(text, np.arange(len(own)))[text]
-        kept = np.flatnonzero(nth <= most_different(n, percent)[text])
+        kept = np.flatnonzero(every[text] | (nth <= most_different(n, percent)[text]))
         keys.append(mix(content[kept] ^ mix(group[kept] * _U(4096) + at[text[kept]].astype(_U))))
         texts.append(own[text[kept]])
     return np.concatenate(keys), np.concatenate(texts)
