@@ -26,6 +26,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_name
+
 #: Cached chunks and cached pre-tokens of a worker; a full cache is emptied, so memory is bounded.
 CACHE_PIECES = 500_000
 
@@ -269,7 +271,7 @@ def encode_texts(df: DataFrame, *, path: str, pattern: str, text: str = "text",
     repeated rows, an empty table an empty one, further columns are left out.
     No shuffle.
     """
-    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(free_name(keep, "__text")))
     schema = ", ".join([f"`{c}` {t}" for c, t in kept.dtypes[:-1]] + [f"`{into}` array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +290,7 @@ def decode_ids(df: DataFrame, *, path: str, pattern: str, ids: str = "ids", into
     Null or empty ids give empty bytes; an id outside the vocabulary or a null
     id is an error.  No shuffle.
     """
-    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>")).alias("__ids"))
+    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>")).alias(free_name(keep, "__ids")))
     schema = ", ".join([f"`{c}` {t}" for c, t in kept.dtypes[:-1]] + [f"`{into}` binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

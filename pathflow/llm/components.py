@@ -1,4 +1,4 @@
-"""Connected components of a graph of links, by rounds of joins."""
+"""Connected components of a graph of links, by rounds of contraction."""
 
 from __future__ import annotations
 
@@ -12,19 +12,30 @@ def connected_components(links: DataFrame) -> DataFrame:
     """``node, component`` for every end of ``links`` (columns ``a``, ``b``, any
     orderable type): the component is its smallest node.
 
-    Every round each node takes the smallest label among its own and its
-    neighbours', then the label of that label (pointer jumping), so the rounds
-    grow with the logarithm of the longest shortest path.  Labels are written
-    after every round.  Minima are taken before the shuffle, so a node with very
-    many links costs no task more than its share.  No links give no rows.
+    Every round each node merges into the smallest of its neighbours, if that
+    is smaller, and the links are carried over to what their ends merged into;
+    links that lie within one node, and repeated ones, go.  A component's
+    smallest node never merges into another, so it is what remains.  The links
+    shrink from round to round, and the rounds grow with the logarithm of the
+    longest chain.  Links and merges are written after every round.  Minima are
+    taken before the shuffle, so a node with very many links costs no task more
+    than its share.  No links give no rows.
     """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
-        roots = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = written(low.join(roots, "label", "left").select("node", "before", F.least(F.col("label"), F.coalesce("up", "label")).alias("label")))
-        labels = jumped.select("node", "label")
-        if not jumped.where("label <> before").limit(1).count():
-            return labels.select("node", F.col("label").alias("component"))
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    left = written(links.where("a <> b").select(low, high).distinct())
+    found = None
+    while found is None or left.limit(1).count():
+        ends = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        into = ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("into"))
+        # a node follows what it merged into one step further, which shortens chains
+        further = into.select(F.col("node").alias("into"), F.col("into").alias("next"))
+        into = written(into.join(further, "into").select("node", F.col("next").alias("into")))
+        at_a, at_b = (into.select(F.col("node").alias(c), F.col("into").alias(f"to_{c}")) for c in "ab")
+        moved = left.join(at_a, "a").join(at_b, "b").where("to_a <> to_b")
+        left = written(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+        if found is None:
+            found = into.select("node", F.col("into").alias("component"))
+        else:
+            step = into.select(F.col("node").alias("component"), "into")
+            found = written(found.join(step, "component", "left").select("node", F.coalesce("into", "component").alias("component")))
+    return found

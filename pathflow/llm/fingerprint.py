@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import parallelism
+from .shared import free_name, parallelism
 from .shingles import shingle_hashes, text_bytes, word_hashes
 
 #: Hashes kept by a fingerprint, and words of a shingle.
@@ -80,7 +80,7 @@ def sketches(texts: pa.Array, k: int = K, words: int = WORDS) -> list[np.ndarray
 
 def fingerprint_texts(df: DataFrame, *, text: str = "text", into: str = "fingerprint", keep: tuple[str, ...] = ("doc_id",), k: int = K, words: int = WORDS) -> DataFrame:
     """The columns ``keep`` and the fingerprint of every whole text, as text; the empty string for null or wordless texts. No shuffle."""
-    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(free_name(keep, "__text")))
     schema = ", ".join([f"`{c}` {t}" for c, t in kept.dtypes[:-1]] + [f"`{into}` string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_name
+
 _RAW = "script|style|title|textarea|iframe|noembed|noframes|xmp|template|noscript"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -133,12 +135,12 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         return ""
     items, scores = [], []
     tag_weight, cut_weight = weights["tag"], weights["cut"]
-    for kind, value, _ in tokens(page):
+    for kind, value, inside in tokens(page):
         items.append((kind, value))
         if kind == "tag":
             scores.append(weights.get(value, tag_weight))
         elif kind == "cut":
-            scores.append(cut_weight)
+            scores.append(tag_weight if inside else cut_weight)  # an advert within marked content doesn't end it
         else:
             scores.append(weights[kind] * len(value.split()))
     start, end = best_region(scores)
@@ -203,7 +205,7 @@ def extract_main_text(pages: DataFrame, *, html_column: str = "html", into: str
     whole.
     """
     weights = weights or learn_weights(pages, html_column=html_column)
-    kept = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_column}`").alias("__html"))
+    kept = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_column}`").alias(free_name(keep, "__html")))
     schema = ", ".join([f"`{c}` {t}" for c, t in kept.dtypes[:-1]] + [f"`{into}` string"])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

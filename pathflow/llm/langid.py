@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import free_name
 from .shingles import text_bytes
 
 UNKNOWN = "und"
@@ -157,11 +158,11 @@ def train_on(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: st
     """
     k, lg = F.col(f"`{key}`"), F.col(f"`{lang}`")
     first = F.row_number().over(Window.partitionBy("__lang").orderBy("__h", "__key"))
-    known = docs.where(learn).where(lg.isNotNull() & F.col(f"`{text}`").isNotNull() & k.isNotNull())
-    chosen = known.select(k.alias("__key"), lg.alias("__lang"), F.xxhash64(k).alias("__h")).withColumn("__n", first)
+    known = docs.where(learn).where(lg.isNotNull() & F.col(f"`{text}`").isNotNull() & k.isNotNull()).select(k.alias("__key"), lg.alias("__lang"), F.col(f"`{text}`").alias("__text"))
+    chosen = known.select("__key", "__lang", F.xxhash64("__key").alias("__h")).withColumn("__n", first)
     chosen = chosen.where(F.col("__n") <= settings.docs_per_language).select("__key", "__lang")
     # at most docs_per_language rows for each language, hence the broadcast
-    sample = docs.join(F.broadcast(chosen), (k == F.col("__key")) & (lg == F.col("__lang"))).select("__key", "__lang", F.col(f"`{text}`").alias("__text"))
+    sample = known.join(F.broadcast(chosen.distinct()), ["__key", "__lang"]).select("__key", "__lang", "__text")
     size, most = settings.window, settings.windows_per_doc
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +215,7 @@ def predict_languages(df: DataFrame, network: Network | None, *, text: str = "te
     independent: repeated rows give repeated rows, an empty table an empty one.
     Columns are found by name; ``into`` must not name a kept one.  No shuffle.
     """
-    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(free_name(keep, "__text")))
     schema = ", ".join([f"`{c}` {t}" for c, t in kept.dtypes[:-1]] + [f"`{into[0]}` string, `{into[1]}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

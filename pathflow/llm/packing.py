@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Codec, _slices, read_ranks
+from .shared import free_name
 
 #: Rows of a rank bucket: a length with more pieces is ranked in several tasks.
 BUCKET_ROWS = 4_000
@@ -150,7 +151,7 @@ def cut_documents(
     (and no piece where ``end_id`` is None).  Repeated rows give repeated
     pieces, an empty table none, further columns are left out.  No shuffle.
     """
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(free_name(keep, "__text")))
     schema = ", ".join([f"`{c}` {t}" for c, t in kept.dtypes[:-1]] + ["start long, length long, doc_tokens long, ids binary"])
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
 

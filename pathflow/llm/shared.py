@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,11 @@ def written(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def free_name(columns: Iterable[str], name: str) -> str:
+    """``name``, or with so many ``_`` at its end that none of the columns has it, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

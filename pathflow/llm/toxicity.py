@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_name
 from .shingles import _BASE, _BASE_INVERSE, _M3, _powers, mix, text_bytes
 
 PREFIXES = (4, 5, 6, 7, 8)
@@ -247,9 +248,10 @@ def train_on(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str
         chosen = part if chosen is None else chosen.unionByName(part)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = (
-        docs.join(F.broadcast(chosen), k == F.col("__key"))  # its size is that of the sample
-        .where(F.char_length(body) <= settings.sample_chars)
-        .select("__key", "__label", body.alias("__text"))
+        docs.select(k.alias("__key"), body.alias("__text"))
+        .where(F.char_length("__text") <= settings.sample_chars)
+        .join(F.broadcast(chosen), "__key")  # its size is that of the sample
+        .select("__key", "__label", "__text")
         .limit(2 * (settings.sample_toxic + settings.sample_clean))
         .collect()
     )
@@ -267,7 +269,7 @@ def score_texts(df: DataFrame, model: Model | None, *, text: str = "text", into:
     model all scores are 0.  Rows are independent: repeated rows give repeated
     rows, an empty table an empty one.  No shuffle.
     """
-    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(free_name(keep, "__text")))
     schema = ", ".join([f"`{c}` {t}" for c, t in kept.dtypes[:-1]] + [f"`{into}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
