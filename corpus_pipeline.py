@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathflow.llm import jaccard, langid, queries, toxicity
-from pathflow.llm.shared import written
+from pathflow.llm.shared import free_name, written
 
 #: Least score with which a document's predicted language counts as recognised.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -24,23 +24,23 @@ NEAR_PERCENT, NEAR_WORDS = 80, 5
 def keep_recognised_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language the network doesn't recognise: no letters, or a score below the least."""
     network = langid.train_on(docs, learn=f"{queries.remainder(3)} <> 1")
-    judged = langid.predict_languages(docs, network, into=("__lang", "__score"), keep=tuple(docs.columns), text="text")
-    kept = judged.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE_SCORE))
-    return kept.select(*docs.columns)
+    lang, score = free_name(docs.columns, "__lang_pred"), free_name(docs.columns, "__lang_score")
+    judged = langid.predict_languages(docs, network, into=(lang, score), keep=tuple(docs.columns))
+    return judged.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).drop(lang, score)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the classifier calls toxic."""
     model = toxicity.train_on(docs, queries.table(spark, sf_dir, "labels"), learn=f"{queries.remainder(5)} <> 0")
-    judged = toxicity.score_texts(docs, model, into="__score", keep=tuple(docs.columns))
-    return judged.where(F.col("__score") < TOXIC_SCORE).select(*docs.columns)
+    score = free_name(docs.columns, "__toxic_score")
+    return toxicity.score_texts(docs, model, into=score, keep=tuple(docs.columns)).where(F.col(score) < TOXIC_SCORE).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates keep the document of the smallest doc_id; documents without words are no duplicates."""
     found = jaccard.jaccard_components(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
-    stays = found.where("doc_id is null or component_id = doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["__id"]), "left_semi").select(*docs.columns)
+    goes = found.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
