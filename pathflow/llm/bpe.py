@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .shared import free_name
 
 #: Cached chunks and cached pre-tokens of a worker; a full cache is emptied, so memory is bounded.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
+#: Bytes of texts encoded together, and of pre-tokens merged in one run of the queue; a longer one has a run of its own.
+SLICE_BYTES, RUN_BYTES = 1 << 20, 1 << 17
 
 
 class Merger:
@@ -193,7 +195,13 @@ class Codec:
             known.clear()
         found = [self.pattern.findall(t) for t in texts]
         new = list({p for f in found for p in f if p not in known})
-        known.update(zip(new, self.merge([p.encode("utf-8") for p in new]), strict=True))
+        begin = held = 0
+        for i, piece in enumerate(new):
+            held += len(piece)
+            if held >= RUN_BYTES or i + 1 == len(new):
+                part = new[begin : i + 1]
+                known.update(zip(part, self.merge([p.encode("utf-8") for p in part]), strict=True))
+                begin, held = i + 1, 0
         return [known[f[0]] if len(f) == 1 else b"".join(map(known.__getitem__, f)) for f in found]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
@@ -240,7 +248,7 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-def _slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``most`` bytes in one column, a row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     begin = total = 0
