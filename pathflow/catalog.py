@@ -202,7 +202,7 @@ def _minor_svd(net: Network, rank: int = 10) -> tuple[linalg.Svd, DataFrame, Dat
     dims = nw.link_dim(net)
     entries = nw.multiplicities(net).join(numbers.select("route_id", F.col("class_idx").alias("path_idx")), "route_id").join(dims, "link_id").select("route_id", "path_idx", "link_idx", "mult")
     slabs = linalg.slabs_of(entries)
-    out = linalg.truncated_svd(slabs, net.links.count(), rank, iterations=40)
+    out = linalg.truncated_svd(slabs, net.links.count(), rank)
     slabs.unpersist()
     return out, entries, numbers
 

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 #: Largest dense block of link rows that the driver holds, in numbers.
 DRIVER_NUMBERS = 100_000_000
+#: Links up to which the Gramian is held whole, in each task and on the driver.
+EXACT_LINKS = 2_500
+#: Widest Krylov basis, in blocks.
+BLOCKS = 20
 
 
 def spmv(matrix: DataFrame, vector: DataFrame, *, on: str, by: str) -> DataFrame:
@@ -70,42 +74,106 @@ def slabs_of(incidence: DataFrame) -> RDD:
     return rows.rdd.mapPartitions(_coordinates).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def truncated_svd(slabs: RDD, n_links: int, rank: int, *, wanted: int | None = None, iterations: int = 60, oversample: int = 10, tolerance: float = 1e-12, seed: int = 42) -> Svd:
-    """Leading singular values and right vectors by block subspace iteration.
-
-    Every iteration sends the block (links x rank) to the slabs and sums their
-    shares of B'B V in a tree; the Rayleigh-Ritz step is on the driver.  The
-    rank is cut to the singular values above 1e-9 of the largest.  Signs: the
-    component of largest size in each vector is above zero.
+def _pairs(slab: tuple, n_links: int) -> np.ndarray:
+    """The slab's share of B'B as a dense matrix."""
+    row, col, val, _ = slab
+    order = np.argsort(row, kind="stable")
+    row, col, val = row[order], col[order], val[order]
+    out, steps = np.zeros((n_links, n_links)), 1
+    np.add.at(out, (col, col), val * val)
+    while True:  # entries that lie so many places apart in one row
+        near = np.flatnonzero(row[steps:] == row[:-steps]) if steps < len(row) else []
+        if not len(near):
+            return out
+        share = val[near] * val[near + steps]
+        np.add.at(out, (col[near], col[near + steps]), share)
+        np.add.at(out, (col[near + steps], col[near]), share)
+        steps += 1
+
+
+def _orthonormal(block: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Orthonormal columns, also to the basis."""
+    for _ in range(2):
+        block = np.linalg.qr(block - basis @ (basis.T @ block))[0]
+    return block
+
+
+def _leading(times_gramian, n_links: int, rank: int, k: int, iterations: int, tolerance: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Largest eigenvalues of B'B and their vectors by block Krylov steps with thick restarts; an error if they don't converge."""
+    most = min(BLOCKS * k, DRIVER_NUMBERS // n_links)
+    basis = np.empty((n_links, min(most, n_links)), order="F")
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(n_links, k)))[0]
+    inner, n, worst = np.zeros((0, 0)), 0, np.inf
+    for _ in range(iterations):
+        width = block.shape[1]
+        basis[:, n : n + width] = block
+        q = basis[:, : n + width]
+        image = times_gramian(block)
+        against = q.T @ image
+        grown = np.zeros((n + width, n + width))
+        grown[:n, :n] = inner
+        grown[:, n:] = against
+        grown[n:, :] = against.T
+        inner, n = (grown + grown.T) / 2, n + width
+        rest = image - q @ against
+        rest -= q @ (q.T @ rest)
+        values, turn = np.linalg.eigh(inner)
+        values, turn = values[::-1], turn[:, ::-1]
+        # every vector's residual lies in the part of the last block's image outside the basis
+        worst = np.linalg.norm(rest @ turn[n - width :, :rank], axis=0).max() / max(values[0], 1e-300)
+        if worst <= tolerance or n == n_links:
+            return values[:rank], q @ turn[:, :rank]
+        if n + k > basis.shape[1] and n_links > basis.shape[1]:
+            kept = q @ turn[:, :k]
+            block = _orthonormal(rest, q)
+            basis[:, :k] = kept
+            inner, n = np.diag(values[:k]), k
+        else:
+            block = _orthonormal(rest, q)[:, : n_links - n]
+    raise ValueError(f"the leading {rank} singular vectors have a residual of {worst:.1e} of the largest value after {iterations} block steps, above {tolerance:.1e}")
+
+
+def truncated_svd(slabs: RDD, n_links: int, rank: int, *, wanted: int | None = None, iterations: int = 400, oversample: int = 10, tolerance: float = 1e-10, seed: int = 42) -> Svd:
+    """Leading singular values and right vectors.
+
+    Up to ``EXACT_LINKS`` links the slabs' shares of B'B are summed in a tree
+    and the driver has all its eigenvectors.  Beyond that, block Krylov steps
+    with full orthogonalisation: every step sends a block (links x rank) to the
+    slabs and sums their shares of B'B V.  They end when B'B v - value v is at
+    most ``tolerance`` of the largest value for each vector; an error if
+    ``iterations`` steps don't reach that.  The block is wider than the rank, so
+    equal values are all found.  The rank is cut to the singular values above
+    1e-9 of the largest, or above what the rounding of B'B leaves of a zero.
+    Signs: the component of largest size in each vector is above zero.
     """
     k = min(rank + oversample, n_links)
-    if n_links * k > DRIVER_NUMBERS:
-        raise ValueError(f"{n_links} links at rank {rank} don't fit the driver's bound of {DRIVER_NUMBERS} numbers")
     sc = slabs.context
-
-    def share(block):
-        def one(slab):
-            row, col, val, n = slab
-            return times(col, row, val, times(row, col, val, block.value, n), n_links)
-
-        return one
-
-    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(n_links, k)))[0]
-    last = np.zeros(k)
-    for _ in range(iterations):
-        block = sc.broadcast(q)
-        gq = slabs.map(share(block)).treeReduce(lambda a, b: a + b)
-        block.unpersist()
-        values, turn = np.linalg.eigh(q.T @ gq)
-        values, turn = values[::-1], turn[:, ::-1]
-        vectors = q @ turn
-        if np.abs(values[:rank] - last[:rank]).max(initial=0) <= tolerance * max(values[0], 1e-300):
-            break
-        last = values
-        q = np.linalg.qr(gq @ turn)[0]
-    sigma = np.sqrt(np.maximum(values[:rank], 0))
-    good = sigma > 1e-9 * max(sigma[0], 1e-300) if len(sigma) else np.zeros(0, bool)
-    v = vectors[:, :rank][:, good]
+    if n_links <= EXACT_LINKS:
+        whole = slabs.map(lambda slab: _pairs(slab, n_links)).treeReduce(lambda a, b: a + b)
+        values, vectors = np.linalg.eigh(whole)
+        values, vectors = values[::-1][:rank], vectors[:, ::-1][:, :rank]
+    else:
+        if n_links * 3 * k > DRIVER_NUMBERS:
+            raise ValueError(f"{n_links} links at rank {rank} don't fit the driver's bound of {DRIVER_NUMBERS} numbers")
+
+        def share(block):
+            def one(slab):
+                row, col, val, n = slab
+                return times(col, row, val, times(row, col, val, block.value, n), n_links)
+
+            return one
+
+        def times_gramian(q):
+            block = sc.broadcast(q)
+            out = slabs.map(share(block)).treeReduce(lambda a, b: a + b)
+            block.unpersist()
+            return out
+
+        values, vectors = _leading(times_gramian, n_links, rank, k, iterations, tolerance, seed)
+    sigma = np.sqrt(np.maximum(values, 0))
+    zero = np.sqrt(n_links * np.finfo(float).eps)
+    good = sigma > max(1e-9, zero) * max(sigma[0], 1e-300) if len(sigma) else np.zeros(0, bool)
+    v = vectors[:, good]
     top = np.abs(v).argmax(axis=0)
     v = v * np.where(v[top, np.arange(v.shape[1])] < 0, -1.0, 1.0)
     return Svd(sigma[good], v, wanted if wanted is not None else rank)
