@@ -12,7 +12,7 @@ from .operators import classes as cls
 from .operators import linalg
 from .operators import network as nw
 from .plans import alm, fixtures
-from .plans.config import AlmSettings, Config
+from .plans.config import Config
 from .plans.problem import EVALUATORS, State
 from .sources.network import Network, network_from_star
 
@@ -196,20 +196,22 @@ _on_network(
 )
 
 
-def _minor_svd(net: Network, rank: int = 10) -> tuple[linalg.Svd, DataFrame, DataFrame]:
-    """SVD of the minor incidence, its entries by index, and the classes' numbers."""
+def _minor_svd(net: Network) -> tuple[linalg.Svd, DataFrame, DataFrame]:
+    """SVD of the minor incidence at the rank of the rule, its entries by index, and the classes' numbers."""
     numbers = cls.class_index(standard_classes(net)).where("class = 'minor'")
+    n_links, config = net.links.count(), Config()
+    rank = alm.wanted_rank(numbers.count(), n_links, config.rank_share, config.max_rank)
     dims = nw.link_dim(net)
     entries = nw.multiplicities(net).join(numbers.select("route_id", F.col("class_idx").alias("path_idx")), "route_id").join(dims, "link_id").select("route_id", "path_idx", "link_idx", "mult")
     slabs = linalg.slabs_of(entries)
-    out = linalg.truncated_svd(slabs, net.links.count(), rank)
+    out = linalg.truncated_svd(slabs, n_links, rank)
     slabs.unpersist()
     return out, entries, numbers
 
 
 @_register("minor_svd_sigma")
 def minor_svd_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten leading singular values of the minor incidence."""
+    """The leading singular values of the minor incidence, as many as the rank rule gives."""
     svd, _, _ = _minor_svd(network_from_star(spark, sf_dir))
     return spark.createDataFrame([(k, float(s)) for k, s in enumerate(svd.sigma)], "component int, sigma double")
 
@@ -246,14 +248,10 @@ def link_latent_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.join(_latent_rows(svd, entries), "route_id").groupBy("link_idx", "component").agg(F.sum(F.col("mult") * F.col("u")).alias("d"))
 
 
-#: A short solve for the registered queries.
-SHORT = Config(max_rank=10, alm=AlmSettings(max_outer_iter=6, max_inner_iter=40))
-
-
 def _prepared(spark: SparkSession, sf_dir: str) -> alm.Prepared:
     net = network_from_star(spark, sf_dir)
     cut = cls.thresholds(net).where(F.col("threshold_index") == STANDARD).head()["threshold"]
-    return alm.prepare(net, cut, SHORT)
+    return alm.prepare(net, cut)
 
 
 @_register("evaluator_agreement")
@@ -272,22 +270,22 @@ def evaluator_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("alm_history")
 def alm_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each outer turn of a short solve."""
-    return alm.history_frame(spark, alm.solve(_prepared(spark, sf_dir), SHORT))
+    """One row for each outer turn of the solve."""
+    return alm.history_frame(spark, alm.solve(_prepared(spark, sf_dir)))
 
 
 @_register("alm_summary")
 def alm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The summary row of a short solve."""
+    """The summary row of the solve."""
     p = _prepared(spark, sf_dir)
-    return alm.summary_frame(spark, [alm.summary_row(p, alm.solve(p, SHORT))])
+    return alm.summary_frame(spark, [alm.summary_row(p, alm.solve(p))])
 
 
 @_register("alm_link_flows")
 def alm_link_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Link volumes and travel times of a short solve."""
+    """Link volumes and travel times of the solve."""
     p = _prepared(spark, sf_dir)
-    return alm.link_flow_frame(spark, p, alm.solve(p, SHORT))
+    return alm.link_flow_frame(spark, p, alm.solve(p))
 
 
 @_register("threshold_sweep")
