@@ -290,8 +290,8 @@ def alm_link_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("threshold_sweep")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summaries at all thresholds of the two-corridor network, solved side by side."""
-    return alm.sweep(fixtures.two_corridor(spark))
+    """Summaries at all thresholds, solved one after the other."""
+    return alm.sweep(network_from_star(spark, sf_dir))
 
 
 @_register("two_corridor_golden")
