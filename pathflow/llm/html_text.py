@@ -6,14 +6,17 @@ linear scan finds it.  The scores come from labelled pages: pages that mark
 their content with ``<article>`` or ``<main>`` show how often each tag and each
 kind of word (plain or link text) stands inside and outside of it.
 
-Elements that are never content by their meaning (scripts, menus, forms,
-adverts, reader comments ...) are cut out of the sequence, leave a penalty in
-their place and are not part of the returned text.
+Elements that are never content by their meaning (scripts, menus, adverts,
+reader comments ...) are cut out of the sequence, leave a penalty in their place
+and are not part of the returned text.  A name is weaker evidence than a tag: an
+element that is cut for its name, or a form, stays if it holds so much of the
+page's remaining words (``SPARED``) that it must be a wrapper of the content.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import re
 from collections import Counter
@@ -37,7 +40,8 @@ _BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NEVER = frozenset("nav footer aside form head button select option menu dialog svg canvas object audio video map datalist search math".split())
+_NEVER = frozenset("nav footer aside head button select option menu dialog svg canvas object audio video map datalist search math".split())
+_EMPTY = frozenset("svg canvas math".split())  # without content where they end in />
 #: Words in class, id or role that name something other than the article.
 _ASIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation footer header "
@@ -45,20 +49,94 @@ _ASIDE = frozenset(
     "share sharing social related recommended recommendations subscribe subscription newsletter breadcrumb breadcrumbs pagination pager widget "
     "login signup search searchbox skip contentinfo complementary".split()
 )
-_KEPT = frozenset("html body article main".split())
+#: First words of a class that tell of a layout or a topic and don't name the element.
+_MODIFIERS = frozenset("no not has have with without is hide hidden show category tag type format status".split())
+_KEPT = frozenset("html body main".split())
 _SCORED = tuple("p b i em strong a br span div ul ol li dl dt dd table tr td th tbody thead h1 h2 h3 h4 h5 h6 section header blockquote pre code img figure figcaption hr article main body html".split())
 
 #: Scores used where no page is labelled, and the limits for learned ones.
 DEFAULT_WEIGHTS = {"word": 1.0, "link word": 0.1, "tag": -0.15, "cut": -5.0}
 TAG_RANGE, WORD_RANGE = (-0.2, -0.02), (0.1, 1.0)
+#: Share of the remaining words above which an element stays: named by a whole class ("comments"), and by a part of one ("social-wrap") or a form.
+SPARED = {"named": 0.9, "partly": 0.5}
 
 
-def _named_aside(attrs: str, marked: bool) -> bool:
-    """Whether class, id or role names something aside; an article's own header is not."""
-    words: set[str] = set()
+def _named_aside(attrs: str, marked: bool) -> str:
+    """How class, id or role name something aside: "named" by a whole name, "partly" by a word of one, or ""; an article's own header is nothing aside."""
+    found = ""
     for m in _NAMES.finditer(attrs):
-        words.update(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
-    return bool((words & _ASIDE) - ({"header"} if marked else set()))
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = [w for w in re.split(r"[^a-z]+", name) if w]
+            aside = _ASIDE.intersection(words) - ({"header"} if marked else set())
+            if aside and words[0] not in _MODIFIERS:
+                if len(words) == 1:
+                    return "named"
+                found = "partly"
+    return found
+
+
+def _cuts(page: str, found: list[re.Match]) -> dict[int, tuple[int, bool]]:
+    """The elements to cut out: position of the start tag in ``found``, with the position that ends it and whether that is its own end tag.
+
+    An element reaches to its end tag, but not out of the marked content around
+    it nor over a ``<main>``; without an end tag it reaches to the next article
+    or main at most, a paragraph to the next block.
+    """
+    n = len(found)
+    tags = [((m["tag"] or "").lower(), bool(m["end"])) for m in found]
+    closed, opened = [n] * n, {}
+    for i, (tag, end) in enumerate(tags):
+        if tag and tag not in _VOID and not (tag in _EMPTY and found[i]["attrs"].endswith("/>")):
+            if not end:
+                opened.setdefault(tag, []).append(i)
+            elif opened.get(tag):
+                closed[opened[tag].pop()] = i
+    around, kinds, inside, marked = [n] * n, {}, [], 0
+    for i, (tag, end) in enumerate(tags):
+        while inside and inside[-1] <= i:
+            inside.pop()
+        around[i] = inside[-1] if inside else n
+        if tag and not end and tag not in _VOID and tag not in _KEPT:
+            attrs = found[i]["attrs"]
+            named = _named_aside(attrs, marked > 0) if "=" in attrs else ""
+            if tag in _NEVER or (tag == "header" and not marked):
+                kinds[i] = "always"
+            elif named or tag == "form":
+                kinds[i] = named or "partly"
+        if tag in ("article", "main"):
+            marked = max(0, marked + (-1 if end else 1))
+            if not end and closed[i] < n:
+                inside.append(min(closed[i], around[i]))
+    if not kinds:
+        return {}
+    ends, main, stop, block = {}, n, n, n
+    for i in range(n - 1, -1, -1):
+        tag, end = tags[i]
+        if i in kinds:
+            at = min(closed[i], around[i], main, block if tag == "p" else n, stop if closed[i] == n else n)
+            ends[i] = at, at == closed[i] < n
+        if tag == "main" and not end or tag == "body" and end:
+            main = i
+        if tag in ("article", "main") or tag == "body" and end:
+            stop = i
+        if tag in _BLOCKS and not (tag == "p" and end):
+            block = i
+    cuts = {}
+    # words between the tags, without those of elements already cut
+    borders = [0, *(m.end() for m in found)], [*(m.start() for m in found), len(page)]
+    words = [len(page[x:y].split()) if y > x else 0 for x, y in zip(*borders, strict=True)] if set(kinds.values()) != {"always"} else [0] * (n + 1)
+    for kind in ("always", "named", "partly"):
+        before = [0, *itertools.accumulate(words)]
+        reach = -1
+        for i, k in kinds.items():
+            if k != kind or i < reach:
+                continue
+            at = i if tags[i][0] in _EMPTY and found[i]["attrs"].endswith("/>") else ends[i][0]
+            if kind != "always" and before[at + 1] - before[i + 1] > SPARED[kind] * before[-1]:
+                continue
+            cuts[i], reach = ends[i], at
+            words[i + 1 : at + 1] = [0] * (at - i)
+    return cuts
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
@@ -67,39 +145,27 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     Kinds: ``tag`` (name, a leading ``/`` on end tags), ``word`` and ``link
     word`` (a run of decoded text), ``cut`` (an element that was cut out).
     """
-    at, cut, depth, links, marked = 0, "", 0, 0, 0
+    at, links, marked, until, own = 0, 0, 0, -1, False
+    found = list(_TOKEN.finditer(page))
+    cuts = _cuts(page, found)
 
     def text(piece: str):
-        if not cut and piece:
+        if piece:
             yield ("link word" if links else "word"), html.unescape(piece) if "&" in piece else piece, marked > 0
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
+    for i, m in enumerate(found):
+        if m.start() > at and i > until:
             yield from text(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
-        if tag is None:
+        if i < until or (i == until and own) or tag is None:
             continue
         tag, end, attrs = tag.lower(), bool(m["end"]), m["attrs"]
-        if cut:
-            if tag == cut:
-                depth += -1 if end else 1
-                if depth > 0 and not (cut == "p" and not end):
-                    continue
-                cut = "" if end else cut
-                if end:
-                    continue
-            # an unclosed paragraph ends with the next block; nothing unclosed swallows the marked content
-            if (cut == "p" and tag in _BLOCKS) or (tag in ("article", "main") and not end) or (tag in ("article", "main", "body") and end):
-                cut = ""
-            else:
-                continue
-        if not end and tag not in _VOID and tag not in _KEPT:
-            if tag in _NEVER or (tag == "header" and not marked) or ("=" in attrs and _named_aside(attrs, marked > 0)):
-                if not (tag in ("svg", "canvas", "math") and attrs.endswith("/>")):
-                    cut, depth = tag, 1
-                yield "cut", tag, marked > 0
-                continue
+        if i in cuts:
+            if not (tag in _EMPTY and attrs.endswith("/>")):
+                until, own = cuts[i]
+            yield "cut", tag, marked > 0
+            continue
         if tag == "a":
             links = max(0, links + (-1 if end else 1))
         elif tag in _BLOCKS and links:
@@ -107,7 +173,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
         if tag in ("article", "main"):
             marked = max(0, marked + (-1 if end else 1))
         yield "tag", "/" + tag if end else tag, marked > 0
-    if at < len(page):
+    if at < len(page) and until < len(found):
         yield from text(page[at:])
 
 
