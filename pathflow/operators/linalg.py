@@ -15,7 +15,7 @@ DRIVER_NUMBERS = 100_000_000
 #: Links up to which the Gramian is held whole, in each task and on the driver.
 EXACT_LINKS = 2_500
 #: Widest Krylov basis, in blocks.
-BLOCKS = 20
+BLOCKS = 10
 
 
 def spmv(matrix: DataFrame, vector: DataFrame, *, on: str, by: str) -> DataFrame:
@@ -124,10 +124,10 @@ def _leading(times_gramian, n_links: int, rank: int, k: int, iterations: int, to
         if worst <= tolerance or n == n_links:
             return values[:rank], q @ turn[:, :rank]
         if n + k > basis.shape[1] and n_links > basis.shape[1]:
-            kept = q @ turn[:, :k]
+            n = max(k, basis.shape[1] // 3)
             block = _orthonormal(rest, q)
-            basis[:, :k] = kept
-            inner, n = np.diag(values[:k]), k
+            basis[:, :n] = q @ turn[:, :n]
+            inner = np.diag(values[:n])
         else:
             block = _orthonormal(rest, q)[:, : n_links - n]
     raise ValueError(f"the leading {rank} singular vectors have a residual of {worst:.1e} of the largest value after {iterations} block steps, above {tolerance:.1e}")
@@ -166,7 +166,7 @@ def truncated_svd(slabs: RDD, n_links: int, rank: int, *, wanted: int | None = N
         def times_gramian(q):
             block = sc.broadcast(q)
             out = slabs.map(share(block)).treeReduce(lambda a, b: a + b)
-            block.unpersist()
+            block.destroy()
             return out
 
         values, vectors = _leading(times_gramian, n_links, rank, k, iterations, tolerance, seed)
