@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -17,7 +17,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     links that lie within one node, and repeated ones, go.  A component's
     smallest node never merges into another, so it is what remains.  The links
     shrink from round to round, and the rounds grow with the logarithm of the
-    longest chain.  Links and merges are written after every round.  Minima are
+    longest chain.  Links and merges are written after every round, and those of
+    the round before deleted; the result is a written table.  Minima are
     taken before the shuffle, so a node with very many links costs no task more
     than its share.  No links give no rows.
     """
@@ -32,10 +33,14 @@ def connected_components(links: DataFrame) -> DataFrame:
         into = written(into.join(further, "into").select("node", F.col("next").alias("into")))
         at_a, at_b = (into.select(F.col("node").alias(c), F.col("into").alias(f"to_{c}")) for c in "ab")
         moved = left.join(at_a, "a").join(at_b, "b").where("to_a <> to_b")
-        left = written(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+        before, left = left, written(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+        discard(before)
         if found is None:
-            found = into.select("node", F.col("into").alias("component"))
+            found = written(into.select("node", F.col("into").alias("component")))
         else:
             step = into.select(F.col("node").alias("component"), "into")
-            found = written(found.join(step, "component", "left").select("node", F.coalesce("into", "component").alias("component")))
+            old, found = found, written(found.join(step, "component", "left").select("node", F.coalesce("into", "component").alias("component")))
+            discard(old)
+        discard(into)
+    discard(left)
     return found
