@@ -4,13 +4,18 @@ A page is a sequence of tags and words.  Words score above zero, tags below
 zero, and the contiguous run of the highest total is the content region; one
 linear scan finds it.  The scores come from labelled pages: pages that mark
 their content with ``<article>`` or ``<main>`` show how often each tag and each
-kind of word (plain or link text) stands inside and outside of it.
-
-Elements that are never content by their meaning (scripts, menus, adverts,
-reader comments ...) are cut out of the sequence, leave a penalty in their place
-and are not part of the returned text.  A name is weaker evidence than a tag: an
-element that is cut for its name, or a form, stays if it holds so much of the
-page's remaining words (``SPARED``) that it must be a wrapper of the content.
+kind of word (plain or link text) stands inside and outside of it.  On a page
+that marks its content, a border of it costs as much as what pages commonly hold
+outside, and tags within it cost next to nothing.
+
+The same pages show which elements are no content: elements of a tag, or with a
+word in class, id or role, whose words stand outside of the marked content.
+Such an element is one item of the sequence, with a penalty, and is not part of
+the returned text; so an advert within an article neither ends it nor stays.
+For names that labelled pages don't hold a list of the usual ones serves as
+prior.  A name is weaker evidence than a tag: an element that is cut for its
+name, or a form, stays if it holds so much of the page's remaining words
+(``SPARED``) that it must be a wrapper of the content.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,9 +45,12 @@ _BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NEVER = frozenset("nav footer aside head button select option menu dialog svg canvas object audio video map datalist search math".split())
 _EMPTY = frozenset("svg canvas math".split())  # without content where they end in />
-#: Words in class, id or role that name something other than the article.
+#: Prior: tags that aren't content by their meaning.
+_NEVER = frozenset("nav footer aside head button select option menu dialog svg canvas object audio video map datalist search math".split())
+#: Tags that any part of a page is made of, and that tell nothing by themselves.
+_PLAIN = frozenset("html body main article section div span p a b i em strong u s small sub sup br hr h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th pre code blockquote q cite figure figcaption img picture time details summary abbr font center mark".split())
+#: Prior: words in class, id or role that name something other than the article.
 _ASIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation footer header "
     "masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments commentlist disqus reply replies respond "
@@ -52,35 +60,52 @@ _ASIDE = frozenset(
 #: First words of a class that tell of a layout or a topic and don't name the element.
 _MODIFIERS = frozenset("no not has have with without is hide hidden show category tag type format status".split())
 _KEPT = frozenset("html body main".split())
-_SCORED = tuple("p b i em strong a br span div ul ol li dl dt dd table tr td th tbody thead h1 h2 h3 h4 h5 h6 section header blockquote pre code img figure figcaption hr article main body html".split())
-
-#: Scores used where no page is labelled, and the limits for learned ones.
-DEFAULT_WEIGHTS = {"word": 1.0, "link word": 0.1, "tag": -0.15, "cut": -5.0}
-TAG_RANGE, WORD_RANGE = (-0.2, -0.02), (0.1, 1.0)
-#: Share of the remaining words above which an element stays: named by a whole class ("comments"), and by a part of one ("social-wrap") or a form.
+_SCORED = frozenset("p b i em strong a br span div ul ol li dl dt dd table tr td th tbody thead h1 h2 h3 h4 h5 h6 section header nav footer aside form blockquote pre code img figure figcaption hr article main body html".split())
+
+#: Scores used where no page is labelled.
+DEFAULT_WEIGHTS = {"word": 1.0, "link word": 0.1, "tag": -0.15, "cut": -5.0, "edge": -10.0}
+#: Words score at least this, tags at most that; the method asks for the signs alone.
+LEAST_WORD, MOST_TAG = 0.1, -0.02
+#: An element's name or tag is learned as no content from this log-odds of its words, and from so many labelled pages.
+ASIDE_ODDS, ASIDE_PAGES = -2.0, 3
+#: Share of the remaining words above which an element stays: named by a whole class ("comments"), and by a part of one ("social-wrap"), by a learned name, or a form.
 SPARED = {"named": 0.9, "partly": 0.5}
 
 
-def _named_aside(attrs: str, marked: bool) -> str:
-    """How class, id or role name something aside: "named" by a whole name, "partly" by a word of one, or ""; an article's own header is nothing aside."""
-    found = ""
-    for m in _NAMES.finditer(attrs):
-        for name in (m[1] or m[2] or m[3] or "").lower().split():
-            words = [w for w in re.split(r"[^a-z]+", name) if w]
-            aside = _ASIDE.intersection(words) - ({"header"} if marked else set())
-            if aside and words[0] not in _MODIFIERS:
-                if len(words) == 1:
-                    return "named"
-                found = "partly"
+def _names(attrs: str) -> Iterator[list[str]]:
+    """The words of every name in class, id or role."""
+    if "=" in attrs:
+        for m in _NAMES.finditer(attrs):
+            for name in (m[1] or m[2] or m[3] or "").lower().split():
+                words = [w for w in re.split(r"[^a-z]+", name) if w]
+                if words and words[0] not in _MODIFIERS:
+                    yield words
+
+
+def _kind(tag: str, attrs: str, marked: bool, weights: dict[str, float]) -> str:
+    """How an element is known as no content: "always" by its tag, "named" by a whole name, "partly" by a word of one or a learned name, or "".
+
+    An article's own header is content.  A learned weight goes before the prior.
+    """
+    if tag in _NEVER or (tag == "header" and not marked):
+        return "always"
+    found = "partly" if tag == "form" or weights.get(f"<{tag}>", 0.0) <= ASIDE_ODDS and not (marked and tag == "header") else ""
+    for words in _names(attrs):
+        aside = _ASIDE.intersection(words) - ({"header"} if marked else set())
+        if aside and len(words) == 1:
+            return "named"
+        if aside or any(weights.get("." + w, 0.0) <= ASIDE_ODDS for w in words):
+            found = "partly"
     return found
 
 
-def _cuts(page: str, found: list[re.Match]) -> dict[int, tuple[int, bool]]:
-    """The elements to cut out: position of the start tag in ``found``, with the position that ends it and whether that is its own end tag.
+def _extents(found: list[re.Match], kind: Callable[[str, str, bool], str]) -> tuple[dict[int, str], dict[int, tuple[int, bool]], list[bool]]:
+    """Elements of a kind: their kinds and ends by the position of the start tag in ``found``; and whether each tag stands in marked content.
 
-    An element reaches to its end tag, but not out of the marked content around
-    it nor over a ``<main>``; without an end tag it reaches to the next article
-    or main at most, a paragraph to the next block.
+    An end is a position and whether that is the element's own end tag.  An
+    element reaches to its end tag, but not out of the marked content around it
+    nor over a ``<main>``; without an end tag it reaches to the next article or
+    main at most, a paragraph to the next block.
     """
     n = len(found)
     tags = [((m["tag"] or "").lower(), bool(m["end"])) for m in found]
@@ -91,24 +116,20 @@ def _cuts(page: str, found: list[re.Match]) -> dict[int, tuple[int, bool]]:
                 opened.setdefault(tag, []).append(i)
             elif opened.get(tag):
                 closed[opened[tag].pop()] = i
-    around, kinds, inside, marked = [n] * n, {}, [], 0
+    around, kinds, inside, marked, marks = [n] * n, {}, [], 0, []
     for i, (tag, end) in enumerate(tags):
         while inside and inside[-1] <= i:
             inside.pop()
         around[i] = inside[-1] if inside else n
         if tag and not end and tag not in _VOID and tag not in _KEPT:
-            attrs = found[i]["attrs"]
-            named = _named_aside(attrs, marked > 0) if "=" in attrs else ""
-            if tag in _NEVER or (tag == "header" and not marked):
-                kinds[i] = "always"
-            elif named or tag == "form":
-                kinds[i] = named or "partly"
+            known = kind(tag, found[i]["attrs"], marked > 0)
+            if known:
+                kinds[i] = known
         if tag in ("article", "main"):
             marked = max(0, marked + (-1 if end else 1))
             if not end and closed[i] < n:
                 inside.append(min(closed[i], around[i]))
-    if not kinds:
-        return {}
+        marks.append(marked > 0)
     ends, main, stop, block = {}, n, n, n
     for i in range(n - 1, -1, -1):
         tag, end = tags[i]
@@ -121,17 +142,34 @@ def _cuts(page: str, found: list[re.Match]) -> dict[int, tuple[int, bool]]:
             stop = i
         if tag in _BLOCKS and not (tag == "p" and end):
             block = i
-    cuts = {}
-    # words between the tags, without those of elements already cut
+    return kinds, ends, marks
+
+
+def _gap_words(page: str, found: list[re.Match]) -> list[int]:
+    """Words before each tag and after the last one."""
     borders = [0, *(m.end() for m in found)], [*(m.start() for m in found), len(page)]
-    words = [len(page[x:y].split()) if y > x else 0 for x, y in zip(*borders, strict=True)] if set(kinds.values()) != {"always"} else [0] * (n + 1)
+    return [len(page[x:y].split()) if y > x else 0 for x, y in zip(*borders, strict=True)]
+
+
+def _no_content(found: list[re.Match], i: int) -> bool:
+    """Whether a start tag is its whole element."""
+    return (found[i]["tag"] or "").lower() in _EMPTY and found[i]["attrs"].endswith("/>")
+
+
+def _cuts(page: str, found: list[re.Match], weights: dict[str, float]) -> dict[int, tuple[int, bool]]:
+    """The elements to cut out: position of the start tag in ``found``, with the position that ends it and whether that is its own end tag."""
+    kinds, ends, _ = _extents(found, lambda tag, attrs, marked: _kind(tag, attrs, marked, weights))
+    if not kinds:
+        return {}
+    cuts = {}
+    words = _gap_words(page, found) if set(kinds.values()) != {"always"} else [0] * (len(found) + 1)
     for kind in ("always", "named", "partly"):
-        before = [0, *itertools.accumulate(words)]
+        before = [0, *itertools.accumulate(words)]  # without the words of elements already cut
         reach = -1
         for i, k in kinds.items():
             if k != kind or i < reach:
                 continue
-            at = i if tags[i][0] in _EMPTY and found[i]["attrs"].endswith("/>") else ends[i][0]
+            at = i if _no_content(found, i) else ends[i][0]
             if kind != "always" and before[at + 1] - before[i + 1] > SPARED[kind] * before[-1]:
                 continue
             cuts[i], reach = ends[i], at
@@ -139,15 +177,16 @@ def _cuts(page: str, found: list[re.Match]) -> dict[int, tuple[int, bool]]:
     return cuts
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
+def tokens(page: str, weights: dict[str, float] | None = None) -> Iterator[tuple[str, str, bool]]:
     """(kind, value, inside marked content) in page order.
 
     Kinds: ``tag`` (name, a leading ``/`` on end tags), ``word`` and ``link
-    word`` (a run of decoded text), ``cut`` (an element that was cut out).
+    word`` (a run of decoded text), ``edge`` (a border of marked content) and,
+    with weights, ``cut`` (an element that was cut out).
     """
     at, links, marked, until, own = 0, 0, 0, -1, False
     found = list(_TOKEN.finditer(page))
-    cuts = _cuts(page, found)
+    cuts = _cuts(page, found, weights) if weights is not None else {}
 
     def text(piece: str):
         if piece:
@@ -162,7 +201,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             continue
         tag, end, attrs = tag.lower(), bool(m["end"]), m["attrs"]
         if i in cuts:
-            if not (tag in _EMPTY and attrs.endswith("/>")):
+            if not _no_content(found, i):
                 until, own = cuts[i]
             yield "cut", tag, marked > 0
             continue
@@ -171,18 +210,18 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
         elif tag in _BLOCKS and links:
             links = 0  # an unclosed link ends with its block
         if tag in ("article", "main"):
-            marked = max(0, marked + (-1 if end else 1))
+            if not end and not marked:
+                yield "edge", tag, False
+            was, marked = marked, max(0, marked + (-1 if end else 1))
+            if was and not marked:
+                yield "tag", "/" + tag, True
+                yield "edge", "/" + tag, False
+                continue
         yield "tag", "/" + tag if end else tag, marked > 0
     if at < len(page) and until < len(found):
         yield from text(page[at:])
 
 
-def _feature(kind: str, value: str) -> str:
-    if kind != "tag":
-        return kind
-    return value if value.removeprefix("/") in _SCORED else "other"
-
-
 def best_region(scores: list[float]) -> tuple[int, int]:
     """Half-open bounds of the run of the highest sum, the longest of equals; (0, 0) if no sum is above zero."""
     best, at, low, low_at, total = 0.0, (0, 0), 0.0, 0, 0.0
@@ -195,24 +234,32 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return at
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> str:
-    """Text of the best region: blocks in page order joined by two newlines, white space within a block as one space."""
-    if not page:
-        return ""
+def scored(page: str, weights: dict[str, float]) -> tuple[list[tuple[str, str]], list[float]]:
+    """The items (kind, value) of a page and their scores."""
     items, scores = [], []
-    tag_weight, cut_weight = weights["tag"], weights["cut"]
-    for kind, value, inside in tokens(page):
+    tag_weight, cut_weight, edge = weights["tag"], weights["cut"], weights["edge"]
+    for kind, value, inside in tokens(page, weights):
         items.append((kind, value))
         if kind == "tag":
-            scores.append(weights.get(value, tag_weight))
+            scores.append(MOST_TAG if inside else weights.get(value.removeprefix("/"), tag_weight))
         elif kind == "cut":
-            scores.append(tag_weight if inside else cut_weight)  # an advert within marked content doesn't end it
+            scores.append(MOST_TAG if inside else cut_weight)  # an advert within marked content doesn't end it
+        elif kind == "edge":
+            scores.append(edge)
         else:
             scores.append(weights[kind] * len(value.split()))
+    return items, scores
+
+
+def main_text(page: str | None, weights: dict[str, float]) -> str:
+    """Text of the best region: blocks in page order joined by two newlines, white space within a block as one space."""
+    if not page:
+        return ""
+    items, scores = scored(page, weights)
     start, end = best_region(scores)
     blocks, now = [], []
     for kind, value in items[start:end]:
-        if kind == "tag" or kind == "cut":
+        if kind in ("tag", "cut", "edge"):
             name = value.removeprefix("/")
             if name == "br":
                 now.append(" ")
@@ -225,40 +272,79 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     return "\n\n".join(b for b in joined if b)
 
 
-def learn_weights(pages: DataFrame, *, html_column: str = "html", key: str = "page_id", label_pages: int = 500, smoothing: float = 1.0) -> dict[str, float]:
-    """Scores of tags and words from labelled pages.
+def evidence(page: str) -> Counter:
+    """What a labelled page tells: counts by (feature, inside).
 
-    At most ``label_pages`` pages with ``<article>`` or ``<main>`` serve, those
-    of the smallest key hash; that bound is the only sample.  A feature's score
-    is the log-odds of standing inside against outside, for words limited to
-    ``WORD_RANGE`` (above zero), for tags to ``TAG_RANGE`` (below zero).
+    Features are tags, ``word`` and ``link word`` by their numbers; ``<tag>``
+    and ``.name`` of elements by their words; with None for inside, the page
+    itself under each of the latter, and under ``page``.
     """
-    marked = pages.where(F.col(f"`{html_column}`").rlike(r"(?i)<(article|main)[\s>]"))
-    sample = marked.select(F.xxhash64(F.col(f"`{key}`")).alias("h"), F.col(f"`{html_column}`").alias("page")).orderBy("h", "page").limit(label_pages)
+    seen: Counter = Counter()
+    for kind, value, inside in tokens(page):
+        n = 1 if kind == "tag" else len(value.split())
+        name = value.removeprefix("/")
+        if n and kind != "edge":
+            seen[(name if name in _SCORED else "tag") if kind == "tag" else kind, inside] += n
+    found = list(_TOKEN.finditer(page))
+    kinds, ends, marks = _extents(found, lambda tag, attrs, marked: "any" if tag not in _PLAIN or "=" in attrs else "")
+    words, told = _gap_words(page, found), set()
+    inside = [0, *itertools.accumulate(n if i and marks[i - 1] else 0 for i, n in enumerate(words))]
+    whole = [0, *itertools.accumulate(words)]
+    for i in kinds:
+        at = i if _no_content(found, i) else ends[i][0]
+        within, total = inside[at + 1] - inside[i + 1], whole[at + 1] - whole[i + 1]
+        tag = found[i]["tag"].lower()
+        features = {"." + w for names in _names(found[i]["attrs"]) for w in names} | ({f"<{tag}>"} if tag not in _PLAIN else set())
+        for f in features if total else ():
+            seen[f, True] += within
+            seen[f, False] += total - within
+            told.add(f)
+    seen.update({(f, None): 1 for f in told | {"page"}})
+    return seen
+
+
+def learn_weights(pages: DataFrame, *, html_column: str = "html", key: str = "page_id", label_pages: int = 500, smoothing: float = 0.1) -> dict[str, float]:
+    """Scores of tags and words, and elements that are no content, from labelled pages.
+
+    At most ``label_pages`` different pages with ``<article>`` or ``<main>``
+    serve, those of the smallest hash of key and page; that bound is the only
+    sample, and the pages stay where they are read.  A feature's score is the
+    log-odds of its rate inside against that outside, both smoothed by a share of
+    their mean; words keep a score above zero and tags one below.
+    """
+    text = F.col(f"`{html_column}`")
+    marked = pages.where(text.rlike(r"(?i)<(article|main)[\s>]")).select(F.xxhash64(F.col(f"`{key}`"), text).alias("h"), text.alias("page"))
+    chosen = marked.select("h").distinct().orderBy("h").limit(label_pages)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for page in batch.column("page").to_pylist():
-                for kind, value, inside in tokens(page):
-                    n = 1 if kind in ("tag", "cut") else len(value.split())
-                    if n:
-                        seen[_feature(kind, value), inside] += n
+                seen.update(evidence(page))
         if seen:
-            yield pa.RecordBatch.from_pydict({"feature": [k[0] for k in seen], "inside": [k[1] for k in seen], "n": list(seen.values())})
+            yield pa.RecordBatch.from_pydict({"feature": [k[0] for k in seen], "inside": pa.array([k[1] for k in seen], pa.bool_()), "n": list(seen.values())})
 
-    # the features are a fixed list of tags and kinds, so this result is bounded
-    rows = sample.select("page").mapInArrow(count, "feature string, inside boolean, n long").groupBy("feature", "inside").agg(F.sum("n").alias("n")).collect()
+    # at most label_pages hashes, hence the broadcast; the features are the tags and names of so many pages
+    rows = marked.join(F.broadcast(chosen), "h", "left_semi").select("page").mapInArrow(count, "feature string, inside boolean, n long").groupBy("feature", "inside").agg(F.sum("n").alias("n")).collect()
     seen = {(r["feature"], r["inside"]): r["n"] for r in rows}
     weights = dict(DEFAULT_WEIGHTS)
-    inside, outside = (sum(n for k, n in seen.items() if k[1] is side) for side in (True, False))
+    kinds = [f for f in {k[0] for k in seen} if f[0] not in "<." and f != "page"]
+    inside, outside = (sum(seen.get((f, side), 0) for f in kinds) for side in (True, False))
     if not inside:
         return weights
-    for f in {k[0] for k in seen} - {"cut"}:
-        odds = math.log((seen.get((f, True), 0) + smoothing) / (inside + 2 * smoothing)) - math.log((seen.get((f, False), 0) + smoothing) / (outside + 2 * smoothing))
-        low, high = WORD_RANGE if f in ("word", "link word") else TAG_RANGE
-        weights["tag" if f == "other" else f] = min(high, max(low, odds))
-    weights["word"] = max(weights["word"], DEFAULT_WEIGHTS["word"])
+    for f in sorted({k[0] for k in seen} - {"page"}):
+        within, without = (seen.get((f, side), 0) for side in (True, False))
+        if f[0] in "<.":
+            if seen[f, None] >= ASIDE_PAGES:
+                weights[f] = math.log((within + 1) / (without + 1))
+            continue
+        own, other = within / inside, without / max(1, outside)
+        more = smoothing * (own + other) / 2
+        odds = math.log((own + more) / (other + more))
+        weights[f] = max(LEAST_WORD, odds) if f in ("word", "link word") else min(MOST_TAG, odds)
+    beside = sum(seen.get((f, False), 0) for f in ("word", "link word")) / seen["page", None]
+    weights["edge"] = -max(5.0, 2 * beside * weights["word"])
+    weights["cut"] = DEFAULT_WEIGHTS["cut"] * weights["word"]
     return weights
 
 

@@ -1,8 +1,12 @@
-"""Main text of pages whose wrappers or comments carry telling names."""
+"""Main text of pages whose wrappers or comments carry telling names, and the scores that labelled pages give."""
+
+import random
+import re
+from html.parser import HTMLParser
 
 import pytest
 
-from pathflow.llm import html_text
+from pathflow.llm import html_text, queries
 
 STORY = "<h1>Title</h1>" + "".join(f"<p>Paragraph {k} tells a long story of many plain words.</p>" for k in range(6))
 NAV = "<nav><a href='/'>Home page</a></nav>"
@@ -44,3 +48,92 @@ def test_unclosed_asides():
     assert main(f"<html><body><article>{STORY}<div class='ad'>Buy now</article></body></html>") == TEXT
     assert main(f"<html><body><p class='ad'>Buy now<div>{STORY}</div></body></html>") == TEXT
     assert main(f"<html><body><div>{STORY}<svg class='share'/><p>More of the story follows here after the picture of it.</p></div></body></html>") == TEXT + "\n\nMore of the story follows here after the picture of it."
+
+
+class Reference(HTMLParser):
+    """Text of <article>, blocks apart, by the standard library's parser; the pages of the tables hold nothing else in it."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.inside, self.blocks = 0, [""]
+        self.feed(page)
+        self.close()
+        self.text = "\n\n".join(t for t in (" ".join(b.split()) for b in self.blocks) if t)
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag in ("p", "h1", "article"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag in ("p", "h1", "article"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    return html_text.learn_weights(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+def test_equal_to_a_parser(spark, pages, learned):
+    found = {r["page_id"]: r["text"] for r in queries.op10_html_extraction(spark, "/root/testdata/sf0.01").collect()}
+    assert [found[k] for k in sorted(found)] == [Reference(p).text for p in pages]
+    assert learned[".ad"] < html_text.ASIDE_ODDS and learned["<nav>"] < html_text.ASIDE_ODDS
+    assert learned["word"] > learned["link word"] > 0 > learned["p"] > learned["li"]
+
+
+def test_scan_decides(pages, learned, monkeypatch):
+    # without any list of names, learned or not, the scan finds the article; without the scan nothing does
+    monkeypatch.setattr(html_text, "_ASIDE", frozenset())
+    monkeypatch.setattr(html_text, "_NEVER", frozenset())
+    bare = {k: v for k, v in learned.items() if k[0] not in "<."}
+    expected = [Reference(p).text for p in pages]
+    assert sum(html_text.main_text(p, bare) == e for p, e in zip(pages, expected, strict=True)) > 0.98 * len(pages)
+    # learned names alone serve on pages that don't mark their article
+    unmarked = [re.sub(r"</?article>", "", p) for p in pages]
+    assert sum(html_text.main_text(p, learned) == e for p, e in zip(unmarked, expected, strict=True)) > 0.98 * len(pages)
+    monkeypatch.setattr(html_text, "best_region", lambda scores: (0, len(scores)))
+    assert not any(html_text.main_text(p, bare) == e for p, e in zip(pages, expected, strict=True))
+
+
+def test_scan_without_names(learned):
+    """Menus and link lists without any telling tag or name around an unmarked article."""
+    menu = "<div>" + "".join(f"<a href='/{k}'>Topic {k}</a> " for k in range(8)) + "</div>"
+    more = "<ul>" + "".join(f"<li><a href='/{k}'>Some other story of today, number {k}</a></li>" for k in range(9)) + "</ul>"
+    page = f"<html><body>{menu}<div>{STORY}</div>{more}</body></html>"
+    assert html_text.main_text(page, learned) == TEXT
+    assert len(html_text.main_text(f"<html><body>{menu}{more}</body></html>", learned).split()) < 10  # no more than one link's words
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_region_by_brute_force(learned, seed):
+    rng = random.Random(seed)
+    parts = ["<p>", "</p>", "<li>", "<a href=x>", "</a>", "<div class='ad'>", "</div>", "<article>", "</article>", "one two three ", "word ", "<nav>", "</nav>", "<br>", "<form>"]
+    page = "".join(rng.choices(parts, k=rng.randrange(1, 40)))
+    items, scores = html_text.scored(page, learned)
+    best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0)
+    a, b = html_text.best_region(scores)
+    assert sum(scores[a:b]) == pytest.approx(max(0, best))
+    words = " ".join(v for k, v in items[a:b] if k in ("word", "link word")).split()
+    assert html_text.main_text(page, learned).split() == words
+
+
+def test_learning_needs_marks(spark):
+    none = spark.createDataFrame([(1, "<p>no mark here</p>"), (2, None)], "page_id long, html string")
+    assert html_text.learn_weights(none) == html_text.DEFAULT_WEIGHTS
+    # a name that stands in articles isn't learned, whatever stands around them
+    kept = spark.createDataFrame([(k, f"<div class='promoted'>A word</div><article>{STORY}<div class='figure-note'>A note of some words.</div></article><div class='tease'>A tease</div>") for k in range(5)], "page_id long, html string")
+    found = html_text.learn_weights(kept)
+    assert found[".note"] > html_text.ASIDE_ODDS > found[".tease"]
