@@ -16,7 +16,7 @@ import functools
 import json
 import os
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .shared import free_name
 
-#: Cached chunks and cached pre-tokens of a worker; a full cache is emptied, so memory is bounded.
-CACHE_PIECES = 300_000
+#: Bytes, with what Python needs for an entry, that a generation of a worker's cache of chunks may hold; there are two of them, and two of a quarter for pre-tokens.
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 220
 #: Bytes of texts encoded together, and of pre-tokens merged in one run of the queue; a longer one has a run of its own.
 SLICE_BYTES, RUN_BYTES = 1 << 20, 1 << 17
 
@@ -42,14 +42,25 @@ class Merger:
     """
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
         self.top = max(ranks.values(), default=0) + 1
         self.shift = max(1, (self.top.bit_length() + 1) // 2)
+        self.wide = self.top.bit_length()
         self.bit = [1 << k for k in range(1 << self.shift)]
-        self.pairs = np.full(1 << 16, -1, np.int32)  # ranks of two bytes
+        self.bytes = np.full(256, -1, np.int64)  # ids of single bytes
+        for token, rank in ranks.items():
+            if len(token) == 1:
+                self.bytes[token[0]] = rank
+        # the rank of every pair of tokens whose bytes together are a token
+        self.pairs: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                left, right = ranks.get(token[:k]), ranks.get(token[k:])
+                if left is not None and right is not None:
+                    self.pairs[left << self.wide | right] = rank
+        self.first = np.full(1 << 16, -1, np.int32)  # ranks of two bytes
         for token, rank in ranks.items():
             if len(token) == 2:
-                self.pairs[token[0] << 8 | token[1]] = rank
+                self.first[token[0] << 8 | token[1]] = rank
 
     def __call__(self, pieces: list[bytes]) -> list[bytes]:
         """Token ids of every pre-token, packed as unsigned 32-bit.
@@ -61,15 +72,19 @@ class Merger:
         n = len(text)
         if not n:
             return [b""] * len(pieces)
-        ranks, get = self.ranks, self.ranks.get
+        get, wide = self.pairs.get, self.wide
         borders = np.cumsum([0] + [len(p) for p in pieces])
         border = bytearray(n + 1)
         np.frombuffer(border, np.uint8)[borders] = 1
         # a part is named by the position of its first byte
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         raw = np.frombuffer(text, np.uint8)
+        single = self.bytes[raw]
+        if single.min() < 0:
+            raise KeyError(bytes(raw[single.argmin() :][:1]))
+        token = single.tolist()
         first_pairs = np.full(n, -1, np.int32)
-        first_pairs[:-1] = self.pairs[raw[:-1].astype(np.int32) << 8 | raw[1:]]
+        first_pairs[:-1] = self.first[raw[:-1].astype(np.int32) << 8 | raw[1:]]
         first_pairs[np.frombuffer(border, np.uint8)[1:] == 1] = -1
         pair = first_pairs.tolist()  # rank with which a part merges with the next one, -1 if it doesn't
         order = np.argsort(first_pairs, kind="stable")
@@ -94,20 +109,23 @@ class Merger:
             positions = buckets.pop(rank)
             if len(positions) > 1:
                 positions.sort(reverse=True)
+            as_left = rank << wide
             while positions:
                 i = positions.pop()
                 if pair[i] != rank:
                     continue  # stale
                 j = after[i]
                 end = after[i] = after[j]
+                token[i] = rank
                 pair[j] = pair[i] = -1
                 sooner = False
                 if not border[end]:
                     before[end] = i
-                    r = get(text[i : after[end]])
+                    r = get(as_left | token[end])
                     if r is not None:
                         pair[i] = r
-                        sooner = r < rank
+                        if r < rank:
+                            sooner = True
                         if r in buckets:
                             buckets[r].append(i)
                         else:
@@ -116,12 +134,13 @@ class Merger:
                             root |= bit[r >> shift]
                 if not border[i]:
                     h = before[i]
-                    r = get(text[h:end])
+                    r = get(token[h] << wide | rank)
                     if r is None:
                         pair[h] = -1
                     else:
                         pair[h] = r
-                        sooner = sooner or r < rank
+                        if r < rank:
+                            sooner = True
                         if r in buckets:
                             buckets[r].append(h)
                         else:
@@ -133,25 +152,15 @@ class Merger:
                     leaf[node] |= first
                     root |= low
                     break
-        ids, ends, i = array("I"), array("q"), 0
-        take = ids.append
+        # what is left of the list, and where each pre-token's ids begin
+        starts, i = [], 0
         while i < n:
-            j = after[i]
-            take(ranks[text[i:j]])
-            i = j
-            if border[i]:
-                ends.append(len(ids))
-        packed = ids.tobytes()
-        out, begin, k = [], 0, 0
-        for p in pieces:
-            if p:
-                end = ends[k]
-                k += 1
-                out.append(packed[4 * begin : 4 * end])
-                begin = end
-            else:
-                out.append(b"")
-        return out
+            starts.append(i)
+            i = after[i]
+        at = np.array(starts)
+        packed = np.array(token, np.uint32)[at].tobytes()
+        edges = (4 * np.searchsorted(at, borders)).tolist()
+        return [packed[a:b] for a, b in zip(edges, edges[1:])]
 
 
 def byte_letters() -> dict[str, int]:
@@ -173,6 +182,43 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+def read_added(path: str) -> dict[str, int]:
+    """Strings and ids of the tokens that a ``.json`` tokenizer file adds to its vocabulary; none for a file of ranks."""
+    if not path.endswith(".json"):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", ())}
+
+
+class Cache:
+    """Encoded strings in two generations of bounded bytes.
+
+    A full generation becomes the old one and what was old goes; an old entry
+    that is asked for again is young once more, so common strings stay.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.held = most, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, wanted: Iterable[str]) -> list[str]:
+        """Those of different strings that aren't known; those that are known are young afterwards."""
+        if self.held > self.most:
+            self.old, self.young, self.held = self.young, {}, 0
+        young, old = self.young, self.old
+        absent = [c for c in wanted if c not in young]
+        if not old:
+            return absent
+        again = {c: old[c] for c in absent if c in old}
+        self.update(again)
+        return [c for c in absent if c not in again]
+
+    def update(self, found: dict[str, bytes]) -> None:
+        self.young.update(found)
+        self.held += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
+
+
 class Codec:
     """Encoder and decoder of one table of ranks and one pre-token pattern."""
 
@@ -185,24 +231,30 @@ class Codec:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.merge = Merger(ranks)
-        self.pre_tokens: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.pre_tokens, self.later = Cache(CACHE_BYTES // 4), Cache(CACHE_BYTES)
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
         """Packed ids of the texts, each matched by the pattern as a whole."""
-        known = self.pre_tokens
-        if len(known) >= CACHE_PIECES:
-            known.clear()
-        found = [self.pattern.findall(t) for t in texts]
-        new = list({p for f in found for p in f if p not in known})
-        begin = held = 0
-        for i, piece in enumerate(new):
-            held += len(piece)
-            if held >= RUN_BYTES or i + 1 == len(new):
-                part = new[begin : i + 1]
-                known.update(zip(part, self.merge([p.encode("utf-8") for p in part]), strict=True))
-                begin, held = i + 1, 0
-        return [known[f[0]] if len(f) == 1 else b"".join(map(known.__getitem__, f)) for f in found]
+        # a space and ASCII letters are one match of the pattern
+        found = [[t] if t[:1] == " " and t.isascii() and t[1:].isalpha() else self.pattern.findall(t) for t in texts]
+        parts = {p for f in found if len(f) > 1 for p in f}
+        new = self.pre_tokens.missing(parts)
+        known = self.pre_tokens.young
+        alone = list({f[0] for f in found if len(f) == 1} - known.keys() - parts)  # the caller keeps these
+        ids: dict[str, bytes] = {}
+        for own in (new, alone):
+            begin = held = 0
+            for i, piece in enumerate(own):
+                held += len(piece)
+                if held >= RUN_BYTES or i + 1 == len(own):
+                    part = own[begin : i + 1]
+                    ids.update(zip(part, self.merge([p.encode("utf-8") for p in part]), strict=True))
+                    begin, held = i + 1, 0
+            if own is new:
+                self.pre_tokens.update(ids)
+                ids = {}
+        one = lambda p: ids[p] if p in ids else known[p]
+        return [one(f[0]) if len(f) == 1 else b"".join(map(known.__getitem__, f)) for f in found]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of the texts, packed as unsigned 32-bit in the machine's order.
@@ -212,11 +264,8 @@ class Codec:
         are encoded once.  A text with a space before other white space is
         matched whole.
         """
-        later = self.later
-        if len(later) >= CACHE_PIECES:
-            later.clear()
         out: list[bytes] = [b""] * len(texts)
-        whole, cut, missing = [], [], set()
+        whole, cut, chunks = [], [], set()
         for k, text in enumerate(texts):
             if self.uneven.search(text):
                 whole.append((k, text))
@@ -224,11 +273,12 @@ class Codec:
                 first, *rest = text.split(" ")
                 whole.append((k, first))
                 cut.append((k, rest))
-                missing.update(rest)
-        missing = [c for c in missing if c not in later]
-        later.update(zip(missing, self._pieces([" " + c for c in missing]), strict=True))
+                chunks.update(rest)
+        missing = self.later.missing(chunks)
+        self.later.update(dict(zip(missing, self._pieces([" " + c for c in missing]), strict=True)))
         for (k, _), packed in zip(whole, self._pieces([t for _, t in whole]), strict=True):
             out[k] = packed
+        later = self.later.young
         for k, rest in cut:
             out[k] += b"".join(map(later.__getitem__, rest))
         return out
