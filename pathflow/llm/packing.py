@@ -17,15 +17,15 @@ from __future__ import annotations
 
 import functools
 import os
-from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Codec, _slices, read_ranks
+from .bpe import Codec, _slices, read_added, read_ranks
 from .shared import free_name
 
 #: Rows of a rank bucket: a length with more pieces is ranked in several tasks.
@@ -111,33 +111,54 @@ def pack_pieces(pieces: DataFrame, *, length: str = "length", order: tuple[str,
     spark = pieces.sparkSession
     size = F.col(f"`{length}`")
     counts = {r["l"]: r["n"] for r in pieces.groupBy(size.cast("int").alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = spark.createDataFrame(
-        plan_packing(counts, window) or [], "__l int, __from long, __to long, __first long, __per long, __at long"
-    )
+    taken = pieces.columns
+    own, sub, rank_, tie = (free_name(taken, c) for c in ("__l", "__sub", "__r", "__tie"))
+    plan = spark.createDataFrame(plan_packing(counts, window) or [], "pl int, pfrom long, pto long, pfirst long, pper long, pat long").toDF(*(free_name(taken, c) for c in ("__pl", "__from", "__to", "__first", "__per", "__at")))
+    pl, from_, to, first, per, at = (F.col(c) for c in plan.columns)
     keys = [F.col(f"`{c}`") for c in order]
-    spread = spark.createDataFrame([(n, -(-c // BUCKET_ROWS)) for n, c in counts.items()], "__l int, __subs long")
-    dealt = pieces.withColumn("__l", size.cast("int")).join(F.broadcast(spread), "__l").withColumn("__sub", F.pmod(F.xxhash64(*keys), F.col("__subs")))
-    by_sub = dealt.groupBy("__l", "__sub").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("__l").orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
-    bases = by_sub.select("__l", "__sub", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    rank = F.row_number().over(Window.partitionBy("__l", "__sub").orderBy(*keys)) - 1
-    ranked = dealt.withColumn("__r", rank.cast("long")).join(bases, ["__l", "__sub"]).withColumn("__r", F.col("__r") + F.col("__base"))
-    step = F.col("__r") - F.col("__from")
-    placed = ranked.join(F.broadcast(plan.withColumnRenamed("__l", "__pl")), (F.col("__l") == F.col("__pl")) & (F.col("__r") >= F.col("__from")) & (F.col("__r") < F.col("__to")))
-    placed = placed.withColumn("sequence_id", F.col("__first") + F.floor(step / F.col("__per")).cast("long"))
-    placed = placed.withColumn("offset", F.col("__at") + F.pmod(step, F.col("__per")) * F.col("__l"))
-    return placed.select(*pieces.columns, "sequence_id", "offset")
+    spread = spark.createDataFrame([(n, -(-c // BUCKET_ROWS)) for n, c in counts.items()], "l int, subs long").toDF(own, free_name(taken, "__subs"))
+    # rows equal in the order's columns differ by the place they were read from, so they spread over a length's parts too
+    dealt = pieces.withColumn(own, size.cast("int")).withColumn(tie, F.monotonically_increasing_id()).join(F.broadcast(spread), own)
+    dealt = dealt.withColumn(sub, F.pmod(F.xxhash64(*keys, tie), F.col(spread.columns[1]))).drop(spread.columns[1])
+    count, base = free_name(taken, "__n"), free_name(taken, "__base")
+    by_sub = dealt.groupBy(own, sub).agg(F.count(F.lit(1)).alias(count))
+    before = Window.partitionBy(own).orderBy(sub).rowsBetween(Window.unboundedPreceding, -1)
+    bases = by_sub.select(own, sub, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(base))
+    number = F.row_number().over(Window.partitionBy(own, sub).orderBy(*keys, tie)) - 1
+    ranked = dealt.withColumn(rank_, number.cast("long")).join(bases, [own, sub]).withColumn(rank_, F.col(rank_) + F.col(base))
+    placed = ranked.join(F.broadcast(plan), (F.col(own) == pl) & (F.col(rank_) >= from_) & (F.col(rank_) < to))
+    step = F.col(rank_) - from_
+    placed = placed.withColumn("sequence_id", first + F.floor(step / per).cast("long")).withColumn("offset", at + F.pmod(step, per) * F.col(own))
+    return placed.select(*[F.col(f"`{c}`") for c in pieces.columns], "sequence_id", "offset")
+
+
+class Encoder:
+    """Ids of whole texts by the tokenizer file at ``path``; its added tokens are found within a text."""
+
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
+
+        self.pattern, self.ranks, self.added = pattern, read_ranks(path), read_added(path)
+        self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens=self.added)
+        self.between = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+
+    @functools.cached_property
+    def codec(self) -> Codec:
+        return Codec(self.ranks, self.pattern)
+
+    def __call__(self, text: str) -> bytes:
+        """The ids, packed as unsigned 32-bit numbers, lowest byte first."""
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        except ValueError:  # the library's pattern matching gives up on runs of a million white spaces
+            parts = self.between.split(text) if self.between else [text]
+            return b"".join(self.added[p].to_bytes(4, "little") if p in self.added else self.codec.encode_batch([p])[0] for p in parts)
 
 
 @functools.lru_cache(maxsize=2)
-def _fast_codec(path: str, pattern: str) -> Codec:
-    """A codec that leaves the merging of single pre-tokens to tiktoken's kernel."""
-    import tiktoken
-
-    own = Codec(read_ranks(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))), pattern)
-    kernel = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=own.ranks, special_tokens={})._core_bpe
-    own.merge = lambda pieces: [array("I", kernel.encode_single_piece(p)).tobytes() if p else b"" for p in pieces]
-    return own
+def encoder(path: str, pattern: str) -> Encoder:
+    """One encoder per worker process; a path that isn't there is looked for among the job's files."""
+    return Encoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), pattern)
 
 
 def cut_documents(
@@ -145,7 +166,8 @@ def cut_documents(
 ) -> DataFrame:
     """The pieces of every document: ``keep``, ``start``, ``length``, ``doc_tokens`` and ``ids``.
 
-    A document's ids are those of its whole text and then ``end_id``.  Pieces
+    A document's ids are those of its whole text and then ``end_id``; a string
+    of an added token within a text gives that token's id.  Pieces
     are full windows and then the rest.  ``ids`` holds unsigned 32-bit numbers,
     lowest byte first.  A null text is an empty one: it has the end id alone
     (and no piece where ``end_id`` is None).  Repeated rows give repeated
@@ -156,12 +178,12 @@ def cut_documents(
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _fast_codec(path, pattern)
+        own = encoder(path, pattern)
         for batch in batches:
             for part in _slices(batch, len(keep)):
                 rows, starts, lengths, totals, ids = [], [], [], [], []
-                for k, packed in enumerate(own.encode_batch(part.column(len(keep)).to_pylist())):
-                    packed += end
+                for k, text in enumerate(part.column(len(keep)).to_pylist()):
+                    packed = own(text) + end
                     total = len(packed) // 4
                     for a in range(0, total, window):
                         b = min(total, a + window)

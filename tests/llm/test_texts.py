@@ -101,7 +101,6 @@ def test_plan_is_best_fit_decreasing(lengths):
 
 def check_pieces(rows, docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     expected = sorted([tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for _, t in docs], key=lambda x: (len(x), x))
     assert sum(r["length"] for r in rows) == sum(map(len, expected))
     for (doc, text), k in {(d, t): docs.count((d, t)) for d, t in docs}.items():
@@ -129,6 +128,23 @@ def test_packing_query(spark, documents, odd_documents, no_documents):
     assert not queries.pack_documents(no_documents).count()
 
 
+def test_packing_added_tokens(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y <|endoftex", "plain", " " * 1_500_000 + "<|endoftext|> z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_pieces(queries.pack_documents(docs).collect(), list(enumerate(texts)))
+    assert 50256 in Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(texts[0], add_special_tokens=False).ids
+
+
+def test_packing_repeated_rows_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 5)
+    rows = [(1, 0, 700, "x")] * 60 + [(2, 0, 1500, "y")] * 9
+    pieces = spark.createDataFrame(rows, "doc_id long, start long, length long, __l string").selectExpr("*", "__l AS __sub", "length AS __r", "start AS __n", "__l AS __from")
+    packed = packing.pack_pieces(pieces)
+    assert packed.columns == [*pieces.columns, "sequence_id", "offset"]
+    found = packed.collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in found}) == 69 and all(r["__sub"] == ("x" if r["doc_id"] == 1 else "y") for r in found)
+
+
 def test_packing_ranks_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET_ROWS", 7)
     pieces = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(0).alias("start"), F.when(F.col("id") < 400, 100).otherwise(F.col("id") * 3).alias("length"))
