@@ -38,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -322,7 +323,7 @@ def link_block(sets: list[np.ndarray], percent: int, probes: np.ndarray | None =
 
 def _sets(texts: pa.Array, words: int, most: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Shingle sets of an array of texts in parts of a few MB: (first row, hashes, bounds)."""
-    sizes = np.array([len(t) if t is not None else 0 for t in texts.to_pylist()], np.int64)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     edges = np.unique(np.concatenate(([0], np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1, [len(texts)])))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         yield a, *text_sets(texts.slice(a, b - a), words)

@@ -157,14 +157,16 @@ def train_on(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: st
     of the smallest key hash, and ``windows_per_doc`` windows from each.
     """
     k, lg = F.col(f"`{key}`"), F.col(f"`{lang}`")
-    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("__h", "__key"))
     known = docs.where(learn).where(lg.isNotNull() & F.col(f"`{text}`").isNotNull() & k.isNotNull()).select(k.alias("__key"), lg.alias("__lang"), F.col(f"`{text}`").alias("__text"))
-    # first within parts of a language, so that what meets in one task is bounded whatever the number of tasks before
-    chosen = known.select("__key", "__lang", F.xxhash64("__key").alias("__h"))
-    chosen = chosen.withColumn("__n", nth("__lang", F.pmod(F.shiftright("__h", 20), F.lit(64)))).where(F.col("__n") <= settings.docs_per_language)
-    chosen = chosen.withColumn("__n", nth("__lang")).where(F.col("__n") <= settings.docs_per_language).select("__key", "__lang")
+    # rows of a language below the hash that about a half more than the sample lie under: so few meet in the window
+    counts = known.groupBy("__lang").agg(F.count(F.lit(1)).alias("__all"))  # a row for each output of the network
+    place = (F.shiftrightunsigned("__h", 11) + F.lit(0.5)) / F.lit(float(2**53))
+    wanted = settings.docs_per_language
+    low = known.select("__key", "__lang", F.xxhash64("__key").alias("__h")).join(F.broadcast(counts), "__lang").where(place * F.col("__all") < 1.5 * wanted + 50)
+    nth = F.row_number().over(Window.partitionBy("__lang").orderBy("__h", "__key"))
+    chosen = low.distinct().withColumn("__n", nth).where(F.col("__n") <= wanted).select("__key", "__lang")
     # at most docs_per_language rows for each language, hence the broadcast
-    sample = known.join(F.broadcast(chosen.distinct()), ["__key", "__lang"]).select("__key", "__lang", "__text")
+    sample = known.join(F.broadcast(chosen), ["__key", "__lang"]).select("__key", "__lang", "__text")
     size, most = settings.window, settings.windows_per_doc
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
