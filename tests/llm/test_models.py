@@ -59,13 +59,80 @@ def test_toxicity_of_odd_rows(spark, odd_documents, no_documents):
     assert not toxicity.score_texts(no_documents, model).count()
 
 
-def test_toxicity_learns_a_lexicon():
+def test_toxicity_learns_a_lexicon(spark):
     rng = np.random.default_rng(4)
     words = [f"word{k}" for k in range(60)]
     texts = [" ".join(rng.choice(words, 30)) + (" vilething nastyword" if k % 5 == 0 else "") for k in range(400)]
-    model = toxicity.train(texts, np.array([k % 5 == 0 for k in range(400)]).astype(int), 0.2)
-    scores = toxicity.score_batch(model, pa.array([*texts[:50], "", None]))
-    assert all((s >= 0.5) == (k % 5 == 0) for k, s in enumerate(scores[:50])) and scores[50] < 0.5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.train_on(docs, spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(200)], "doc_id long, toxic int"))
+    scores = toxicity.score_batch(model, pa.array([*texts[200:300], "", None]))
+    assert all((s >= 0.5) == (k % 5 == 0) for k, s in enumerate(scores[:100])) and scores[100] < 0.5
+    # ties: equal texts have equal scores, whatever stands beside them
+    assert len({*toxicity.score_batch(model, pa.array([texts[0]] * 3)), toxicity.score_batch(model, pa.array([texts[0]]))[0]}) == 1
+
+
+def test_label_posterior_by_brute_force():
+    rng = np.random.default_rng(6)
+    model = toxicity.LabelModel(0.2, np.array([-1, 0, 0, 2, -1]), rng.uniform(0.05, 0.95, (2, 2, 5)))
+    votes = np.array([[(k >> j) & 1 for j in range(5)] for k in range(32)], float)
+    for row, found in zip(votes, model.posterior(votes), strict=True):
+        chance = []
+        for c in (0, 1):
+            p = 0.2 if c else 0.8
+            for j, up in enumerate(model.parent):
+                rate = model.rates[c, int(row[up]) if up >= 0 else 0, j]
+                p *= rate if row[j] else 1 - rate
+            chance.append(p)
+        assert found == pytest.approx(chance[1] / sum(chance))
+    for c in (0, 1):  # the model is a distribution over all votes
+        total = sum(np.prod([model.rates[c, int(v[u]) if u >= 0 else 0, j] if v[j] else 1 - model.rates[c, int(v[u]) if u >= 0 else 0, j] for j, u in enumerate(model.parent)]) for v in votes)
+        assert total == pytest.approx(1)
+
+
+def test_label_model_sees_copies_of_a_voter():
+    """Six voters of known rates, the first repeated eight times: its copies hang together and don't outvote the others."""
+    rng = np.random.default_rng(8)
+    n, prior = 6000, 0.3
+    y = rng.random(n) < prior
+    hit, false = np.array([0.6, 0.7, 0.65, 0.7, 0.6, 0.75]), np.array([0.25, 0.1, 0.12, 0.1, 0.15, 0.08])
+    votes = (rng.random((n, 6)) < np.where(y[:, None], hit, false)).astype(float)
+    votes = np.concatenate([np.repeat(votes[:, :1], 8, axis=1), votes[:, 1:]], axis=1)
+    told = np.stack([np.concatenate([[x[0]] * 8, x[1:]]) for x in (false, hit)]) * np.array([[1.2], [0.8]])  # a rough guess
+    model, post = toxicity.fit_label_model(votes, told, prior, toxicity.Settings())
+    assert (model.parent[:8] >= 0).sum() == 7 and set(model.parent[:8]) <= {-1, *range(8)}
+    naive = toxicity.LabelModel(model.prior, np.full(13, -1), np.repeat(np.stack([np.concatenate([[x[0]] * 8, x[1:]]) for x in (false, hit)])[:, None, :], 2, axis=1)).posterior(votes)
+    assert np.mean((post > 0.5) == y) > np.mean((naive > 0.5) == y) + 0.03
+    for c, rates in ((0, false), (1, hit)):
+        assert np.abs(model.rates[c, 0, 8:] - rates[1:]).max() < 0.12
+
+
+def test_classifier_learns_posteriors(spark):
+    """The labels of the classifier are the model's, not the gold ones: most rows have none, and wrong gold labels are overruled."""
+    docs, labels = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "labels"))
+    settings = toxicity.Settings()
+    sample, shares = toxicity.draw_sample(docs, labels, "text", "doc_id", "toxic", "true", settings)
+    features = toxicity.mine_lexicon(sample, shares[1], shares[0], settings)
+    words, patterns, gold = toxicity.collect_votes(sample, features)
+    assert (gold < 0).sum() > 300 and set(gold) == {-1, 0, 1} and len(words) == sample.count()
+    prior = shares[1] / sum(shares.values())
+    votes = np.concatenate([words, patterns >= np.array([least for _, least in toxicity.PATTERNS])], axis=1)
+    told = np.stack([(votes[gold == c].sum(axis=0) + 0.5 * (c or prior)) / ((gold == c).sum() + 1) for c in (0, 1)])
+    _, post = toxicity.fit_label_model(votes, told, prior, settings)
+    known = gold >= 0
+    assert np.abs(post[known] - gold[known]).max() > 0.9  # some gold labels are overruled
+    assert np.mean((post[known] > 0.5) == gold[known]) > 0.93
+    wrong = gold.copy()
+    flipped = np.flatnonzero(gold == 1)[:3]
+    wrong[flipped] = 0
+    told = np.stack([(votes[wrong == c].sum(axis=0) + 0.5 * (c or prior)) / ((wrong == c).sum() + 1) for c in (0, 1)])
+    assert (toxicity.fit_label_model(votes, told, prior, settings)[1][flipped] > 0.5).any()
+
+
+def test_long_texts_teach(spark):
+    long = " ".join(["plain"] * 30_000)
+    docs = spark.createDataFrame([(k, (long if k % 2 else "short") + (" vileword" if k % 3 == 0 else "")) for k in range(60)] * 2, "doc_id long, text string")
+    model = toxicity.train_on(docs, spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, toxic int"))
+    assert [s >= 0.5 for s in toxicity.score_batch(model, pa.array([long + " vileword", long, "a vileword", "a"]))] == [True, False, True, False]
 
 
 PAGE = """<!doctype html><html><head><title>No</title><script>var x = "<p>no</p>";</script></head><body>
