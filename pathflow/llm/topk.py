@@ -1,11 +1,13 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
-A block of vectors is indexed by dimension, a posting segment each.  A query
-processes the segments by descending impact (the size of its component times the
-largest component in the segment), quantised to 64 levels; each adds its share
-to the accumulators of its rows.  What the segments left can still add to a row
-is bounded by the length of the query's rest times the row's length, and by the
-sum of their impacts.  Processing stops once these bounds prove that only a few
+A block of vectors is indexed by posting segments: the rows of a dimension
+whose components lie in one of ``LEVELS`` steps of the dimension's range.  The
+impact of a segment on a query is what its best row gains in that dimension over
+the worst component that the block has there, so impacts are never below zero.
+A query processes the segments of all dimensions by descending impact,
+quantised, and each adds its rows' exact gains to their accumulators.  What is
+still to come for a row is at most the sum over dimensions of the impact of the
+next segment there.  Processing stops once this bound proves that only a few
 rows can be among the k best; those are scored exactly from their vectors.
 
 Spark deals queries and candidates into blocks of bounded size, searches every
@@ -20,62 +22,92 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_LONG = np.iinfo(np.int64)
 
-class ImpactIndex:
-    """Posting segments of a block of integer vectors, one for each dimension.
 
-    A dimension in which few rows have a component keeps their numbers; one in
-    which most have keeps a value for every row, whose number is its place.
-    """
+class ImpactIndex:
+    """Posting segments of a block of integer vectors, one for each dimension and step of its components."""
 
-    LEVELS = 64  # steps to which impacts are quantised
+    LEVELS = 8  # steps of a dimension's range
+    IMPACTS = 256  # steps to which a query's impacts are quantised
+    LOOK, LESS = 0.4, 0.8  # share of the whole bound at which it is first tried, and of that for every further time
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.most = np.abs(vectors).max(axis=0, initial=0)
-        self.norms = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-9)
-        small = int(self.most.max(initial=0)) ** 2 * max(1, vectors.shape[1]) < 2**30
-        self.kind = np.int32 if small else np.int64
-        self.segments: list[tuple[np.ndarray | None, np.ndarray]] = []
-        for column in vectors.T.astype(self.kind):
-            rows = np.flatnonzero(column)
-            self.segments.append((rows, column[rows]) if 4 * len(rows) < len(column) else (None, np.ascontiguousarray(column)))
+        n, dims = vectors.shape
+        self.low, self.high = vectors.min(axis=0, initial=0), vectors.max(axis=0, initial=0)
+        span = [max(1, int(h) - int(low)) for low, h in zip(self.low, self.high, strict=True)]
+        self.widest = max(span, default=1)
+        self.kind = np.int32 if self.widest * max(1, int(np.abs(vectors).max(initial=0))) * max(1, dims) < 1 << 30 else np.int64
+        self.rows, self.values, self.edges = [], [], []
+        for d in range(dims):
+            order = np.argsort(vectors[:, d], kind="stable")
+            column = vectors[order, d]
+            # a step's rows lie side by side in order of the component
+            steps = np.array([int(self.low[d]) + span[d] * k // self.LEVELS for k in range(1, self.LEVELS)], np.int64)
+            self.rows.append(order.astype(np.int32))
+            self.values.append((column - self.low[d]).astype(self.kind))  # above the lowest component
+            self.edges.append(np.concatenate(([0], np.searchsorted(column, steps), [n])))
+
+    def segments(self, query: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(impact, dimension, first, end) of the non-empty segments, by descending quantised impact."""
+        found = []
+        for d in np.flatnonzero(query).tolist():
+            q, values, edges = int(query[d]), self.values[d], self.edges[d].tolist()
+            worst = 0 if q > 0 else int(values[-1])
+            for a, b in zip(edges, edges[1:]):
+                if a < b:
+                    found.append((q * (int(values[b - 1] if q > 0 else values[a]) - worst), d, a, b))
+        most = max((f[0] for f in found), default=0)
+        step = max(1, most // self.IMPACTS)
+        return sorted(found, key=lambda f: (-(f[0] // step), f[1], -f[0]))
 
     def search(self, query: np.ndarray, own: int, k: int, enough: int = 256) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows whose id isn't ``own``, by falling score, then by id."""
-        n = len(self.ids)
-        kind = self.kind if int(np.abs(query).max(initial=0)) * int(self.most.max(initial=0)) * max(1, len(query)) < 2**30 else np.int64
-        sums, term = np.zeros(n, kind), np.empty(n, kind)
-        impact = np.abs(query) * self.most
-        level = impact * self.LEVELS // max(1, int(impact.max(initial=0)))
-        order = np.lexsort((np.abs(query), level))[::-1]
-        order = order[impact[order] > 0]
-        # what the segments after each place can add at most: by the query's rest and a row's length, and in sum
-        squares = query[order].astype(np.float64) ** 2
-        rest = np.sqrt(np.append(np.cumsum(squares[::-1])[::-1], 0.0)[1:]) * (1 + 1e-9)
-        total = np.append(np.cumsum(impact[order][::-1])[::-1], 0)[1:]
-        possible, check = np.arange(n), 0.12 * (rest[0] if len(rest) else 0)
-        for place, d in enumerate(order.tolist()):
-            rows, values = self.segments[d]
-            if rows is None:
-                np.multiply(values, kind(query[d]), out=term)
-                sums += term
-            else:
-                sums[rows] += values * kind(query[d])
-            if rest[place] > check or n <= k + 1:
-                continue
-            check = rest[place] / 2
-            more = np.minimum(self.norms * rest[place], total[place])
-            # own may be among the best, hence one more
-            least = np.partition(sums - more, n - k - 1)[n - k - 1]
-            possible = np.flatnonzero(sums + more >= least)
-            if len(possible) <= enough:
-                break
+        """Ids and scores of the k best rows whose id isn't ``own``, by falling score, then by id; scores beyond a long are its end."""
+        n, size = len(self.ids), int(np.abs(query).max(initial=0))
+        far = size == int(_LONG.max) or max(size, 1) * max(self.widest, int(np.abs(self.low).max(initial=0)), int(np.abs(self.high).max(initial=0))) * max(1, len(query)) >= 1 << 62
+        possible = np.arange(n)
+        if not far and n > k + 1:
+            possible = self.members(query, k, enough)
         possible = possible[self.ids[possible] != own]
+        if far:  # too large for 64 bits: exact integers of any size
+            exact = [sum(int(a) * int(b) for a, b in zip(row, query, strict=True)) for row in self.vectors[possible]]
+            ends = [min(max(x, int(_LONG.min)), int(_LONG.max)) for x in exact]
+            best = sorted(range(len(possible)), key=lambda i: (-ends[i], self.ids[possible[i]]))[:k]
+            return self.ids[possible[best]], np.array([ends[i] for i in best], np.int64)
         scores = self.vectors[possible] @ query
         best = np.lexsort((self.ids[possible], -scores))[:k]
         return self.ids[possible][best], scores[best]
 
+    def members(self, query: np.ndarray, k: int, enough: int) -> np.ndarray:
+        """Rows that may be among the k + 1 best: all others are proven not to be."""
+        n, order = len(self.ids), self.segments(query)
+        # the impact that a dimension still has after each of its segments
+        rest, later = {}, []
+        for impact, d, _, _ in reversed(order):
+            later.append(rest.get(d, 0))
+            rest[d] = max(rest.get(d, 0), impact)
+        later.reverse()
+        open_ = sum(rest.values())
+        check = self.LOOK * open_
+        kind = self.kind if int(np.abs(query).max(initial=0)) * self.widest * max(1, len(query)) < 1 << 30 else np.int64
+        sums, weights = np.zeros(n, kind), query.astype(kind)
+        top = [kind(0) if q > 0 else v[-1] for q, v in zip(query.tolist(), self.values, strict=True)]
+        for place, (_, d, a, b) in enumerate(order):
+            gains = self.values[d][a:b] - top[d]
+            gains *= weights[d]
+            sums[self.rows[d][a:b]] += gains
+            open_ -= rest[d] - later[place]
+            rest[d] = later[place]
+            if open_ <= check:
+                check = self.LESS * open_
+                # one of the k + 1 best may be the query's own row
+                least = int(np.partition(sums, n - k - 1)[n - k - 1]) - open_
+                possible = np.flatnonzero(sums >= least)
+                if len(possible) <= enough:
+                    return possible
+        return np.flatnonzero(sums >= np.partition(sums, n - k - 1)[n - k - 1])
+
 
 def quantised(vector: Column, scale: float = 64.0) -> Column:
     """floor(scale * x) of every component as long; null for a null vector, and for one with a null or non-finite component."""
@@ -85,7 +117,7 @@ def quantised(vector: Column, scale: float = 64.0) -> Column:
 
 
 def top_k(
-    vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", queries: str = "vec_id % 20 = 0", k: int = 20, scale: float = 64.0, query_block: int = 1024, block: int = 8192
+    vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", queries: str = "vec_id % 20 = 0", k: int = 20, scale: float = 64.0, query_block: int = 1024, block: int = 16_384
 ) -> DataFrame:
     """``query_id, rank, vec_id, score`` of each query's k best rows.
 
@@ -93,16 +125,22 @@ def top_k(
     are all rows with another key than the query's.  Ties go to the smaller
     key.  Rows without a usable vector or key take no part; vectors of unlike
     length are compared as if the shorter ended in zeros.  Rows repeated under
-    one key are candidates each.  An empty table gives an empty result.
+    one key are candidates each; as queries equal ones count once, and unlike
+    ones have ranks of their own.  Components and scores beyond a long are its
+    end.  An empty table gives an empty result.
     """
     usable = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), quantised(F.col(f"`{vector}`"), scale).alias("v"), F.expr(queries).alias("asks"))
     usable = usable.where("id is not null and v is not null")
     totals = usable.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q"), F.max(F.size("v")).alias("dims")).head()
     dims, blocks, query_blocks = totals["dims"] or 0, -(-totals["n"] // block) or 1, -(-totals["q"] // query_block) or 1
-    deal = F.xxhash64("id", F.lit(1))
-    at_q, at_b = F.pmod(deal, F.lit(query_blocks)).cast("int"), F.pmod(deal, F.lit(blocks)).cast("int")
-    asking = usable.where("asks").select(F.lit(True).alias("asks"), "id", "v", at_q.alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"))
-    offered = usable.select(F.lit(False).alias("asks"), "id", "v", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), at_b.alias("cb"))
+    form = F.xxhash64("v").alias("form")
+    at_q = F.pmod(F.xxhash64("id", "form"), F.lit(query_blocks)).cast("int")
+    # candidates are dealt by their place, so rows of one key don't meet in a block
+    at_b = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    asked = usable.where("asks").select("id", "v", form).dropDuplicates(["id", "form"])
+    asking = asked.select(F.lit(True).alias("asks"), "id", "v", "form", at_q.alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"))
+    placed = usable.select("id", "v", at_b.alias("cb"))
+    offered = placed.select(F.lit(False).alias("asks"), "id", "v", F.lit(0).cast("long").alias("form"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "cb")
 
     def dense(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         lists = part.column("v").combine_chunks()
@@ -113,21 +151,23 @@ def top_k(
 
     def search(pair: pa.Table) -> pa.Table:
         asks = pair.column("asks").combine_chunks()
-        ids, qs = dense(pair.filter(asks))
+        own = pair.filter(asks)
+        ids, qs = dense(own)
         index_ids, index_vectors = dense(pair.filter(pc.invert(asks)))
         found: list[tuple[np.ndarray, np.ndarray]] = []
         if len(index_ids):
             index = ImpactIndex(index_ids, index_vectors)
-            found = [index.search(q, own, k) for own, q in zip(ids.tolist(), qs, strict=True)]
-        empty = np.empty(0, np.int64)
+            found = [index.search(q, mine, k) for mine, q in zip(ids.tolist(), qs, strict=True)]
+        empty, sizes = np.empty(0, np.int64), [len(f[0]) for f in found]
         return pa.table({
-            "query_id": pa.array(np.repeat(ids[: len(found)], [len(f[0]) for f in found]), pa.int64()),
+            "query_id": pa.array(np.repeat(ids[: len(found)], sizes), pa.int64()),
+            "form": pa.array(np.repeat(own.column("form").to_numpy()[: len(found)], sizes), pa.int64()),
             "vec_id": pa.array(np.concatenate([empty, *(f[0] for f in found)]), pa.int64()),
             "score": pa.array(np.concatenate([empty, *(f[1] for f in found)]), pa.int64()),
         })
 
-    local = asking.unionByName(offered).groupBy("qb", "cb").applyInArrow(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    local = asking.unionByName(offered).groupBy("qb", "cb").applyInArrow(search, "query_id long, form long, vec_id long, score long")
+    best = Window.partitionBy("query_id", "form").orderBy(F.col("score").desc(), "vec_id")
     ranked = local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

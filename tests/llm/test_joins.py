@@ -164,6 +164,27 @@ def brute_top(rows, k):
     return sorted(out)
 
 
+def test_proof_and_huge_components():
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 9, (4000, 16)).astype(np.int64)
+    x[::7] = 0
+    ids = rng.permutation(len(x)).astype(np.int64)
+    index = topk.ImpactIndex(ids, x)
+    for q in (0, 1, 5):
+        impacts = [f[0] // max(1, max(f[0] for f in index.segments(x[q])) // index.IMPACTS) for f in index.segments(x[q])]
+        assert impacts == sorted(impacts, reverse=True)
+        scores = x @ x[q]
+        best = np.lexsort((ids, -scores))
+        if x[q].any():  # the proof leaves few rows, the best among them
+            kept = index.members(x[q], 20, 256)
+            assert len(kept) < 1500 and set(best[:21]) <= set(kept)
+        best = best[best != q][:20]
+        assert list(index.search(x[q], int(ids[q]), 20)[0]) == list(ids[best]) and list(index.search(x[q], int(ids[q]), 20)[1]) == list(scores[best])
+    big = np.array([[2**62, 1], [2**62, 2], [-(2**62), 3], [0, 4]])
+    found = topk.ImpactIndex(np.arange(4), big).search(np.array([2, 1]), 9, 4)
+    assert list(found[0]) == [0, 1, 3, 2] and list(found[1]) == [2**63 - 1, 2**63 - 1, 4, -(2**63) + 3]
+
+
 @pytest.mark.parametrize("kind", ["dense", "sparse", "ties"])
 def test_top_k(spark, kind):
     rng = np.random.default_rng(5)
@@ -179,6 +200,10 @@ def test_top_k(spark, kind):
     exact = [(k, np.floor(64 * np.array(v, np.float64)).astype(np.int64)) for k, v in rows]
     found = sorted(tuple(r) for r in topk.top_k(df, query_block=7, block=90).collect())
     assert found == brute_top(exact, 20)
+    # repeated rows are candidates each, and as queries count once
+    twice = sorted(tuple(r) for r in topk.top_k(df.where("vec_id < 30").unionByName(df.where("vec_id < 30")), block=13).collect())
+    both = [(q, v) for q, v in exact[:30] for _ in range(2)]
+    assert twice == [(q, n + 1, c, -s) for q, v in exact[:30] if q % 20 == 0 for n, (s, c) in enumerate(sorted(((-int(np.dot(v, w)), c) for c, w in both if c != q))[:20])]
     few = sorted(tuple(r) for r in topk.top_k(df.where("vec_id < 15")).collect())
     assert few == brute_top(exact[:15], 20)
     assert not topk.top_k(df.where("false")).count()
