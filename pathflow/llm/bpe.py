@@ -15,6 +15,7 @@ import base64
 import functools
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -226,35 +227,34 @@ class Codec:
         self.ranks = ranks
         self.size = max(ranks.values()) + 1
         self.pattern = regex.compile(pattern)
-        self.uneven = regex.compile(r" \s")
+        self.uneven = re.compile(r" \s")
         self.tokens: list[bytes] = [b""] * self.size
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.merge = Merger(ranks)
         self.pre_tokens, self.later = Cache(CACHE_BYTES // 4), Cache(CACHE_BYTES)
 
+    @functools.cached_property
+    def merge(self) -> Merger:
+        return Merger(self.ranks)
+
+    def _merged(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of different pre-tokens, in runs of bounded bytes."""
+        out: dict[str, bytes] = {}
+        coded = [p.encode("utf-8") for p in pieces]
+        begin = held = 0
+        for i, piece in enumerate(coded):
+            held += len(piece)
+            if held >= RUN_BYTES or i + 1 == len(coded):
+                out.update(zip(pieces[begin : i + 1], self.merge(coded[begin : i + 1])))
+                begin, held = i + 1, 0
+        return out
+
     def _pieces(self, texts: list[str]) -> list[bytes]:
         """Packed ids of the texts, each matched by the pattern as a whole."""
-        # a space and ASCII letters are one match of the pattern
-        found = [[t] if t[:1] == " " and t.isascii() and t[1:].isalpha() else self.pattern.findall(t) for t in texts]
-        parts = {p for f in found if len(f) > 1 for p in f}
-        new = self.pre_tokens.missing(parts)
+        found = [self.pattern.findall(t) for t in texts]
+        self.pre_tokens.update(self._merged(self.pre_tokens.missing({p for f in found for p in f})))
         known = self.pre_tokens.young
-        alone = list({f[0] for f in found if len(f) == 1} - known.keys() - parts)  # the caller keeps these
-        ids: dict[str, bytes] = {}
-        for own in (new, alone):
-            begin = held = 0
-            for i, piece in enumerate(own):
-                held += len(piece)
-                if held >= RUN_BYTES or i + 1 == len(own):
-                    part = own[begin : i + 1]
-                    ids.update(zip(part, self.merge([p.encode("utf-8") for p in part]), strict=True))
-                    begin, held = i + 1, 0
-            if own is new:
-                self.pre_tokens.update(ids)
-                ids = {}
-        one = lambda p: ids[p] if p in ids else known[p]
-        return [one(f[0]) if len(f) == 1 else b"".join(map(known.__getitem__, f)) for f in found]
+        return [b"".join(map(known.__getitem__, f)) for f in found]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of the texts, packed as unsigned 32-bit in the machine's order.
@@ -275,7 +275,12 @@ class Codec:
                 cut.append((k, rest))
                 chunks.update(rest)
         missing = self.later.missing(chunks)
-        self.later.update(dict(zip(missing, self._pieces([" " + c for c in missing]), strict=True)))
+        # a space and ASCII letters are one match of the pattern
+        plain = [c for c in missing if c.isascii() and c.isalpha()]
+        found = self._merged([" " + c for c in plain])
+        self.later.update(dict(zip(plain, found.values())))
+        other = [c for c in missing if not (c.isascii() and c.isalpha())]
+        self.later.update(dict(zip(other, self._pieces([" " + c for c in other]))))
         for (k, _), packed in zip(whole, self._pieces([t for _, t in whole]), strict=True):
             out[k] = packed
         later = self.later.young
