@@ -145,6 +145,23 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in url_filter.judge_urls(pages, url_filter.rule_table(spark, [])).collect()} == {"allow"}
 
 
+def test_many_url_rules(spark, monkeypatch):
+    """Nested hosts and paths, over several ranges of keys and lanes, against every rule tried on every URL."""
+    monkeypatch.setattr(url_filter, "RANGE_ROWS", 10)
+    rng = random.Random(3)
+    host = lambda: ".".join(rng.choices("abc", k=rng.randrange(1, 5)))
+    path = lambda: "/" + "/".join(rng.choices(["x", "y", "xy", "é"], k=rng.randrange(0, 4)))
+    rules = list({(h, p): (rng.choice(["block", "allow"]), h, p) for h, p in ((host(), path()) for _ in range(150))}.values()) + [("block", "a", ""), ("allow", "b.a", "x")]
+    urls = [f"http://{host()}{path()}{rng.choice(['', '?q=1', '#f'])}" for _ in range(400)] + ["http://a.b.c/x/y"] * 300 + ["nothing", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(5)
+    rows = url_filter.judge_urls(pages, url_filter.rule_table(spark, rules), lanes=6).collect()
+    assert sorted(r["page_id"] for r in rows) == list(range(len(urls)))
+    for r in rows:
+        good = [(len(h) + len(p), len(h), v, h + p) for v, h, p in rules if fits(r["host"], r["path"], h, p)]
+        best = max(good, default=(0, 0, "allow", None))
+        assert (r["rule"], r["verdict"]) == (best[3], best[2]), urls[r["page_id"]]
+
+
 def test_sql_agrees(spark):
     con = duckdb.connect()
     for t in ("pages", "embeddings"):
