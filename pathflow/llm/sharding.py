@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import free_name
+
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     """Index of the winning shard of ``key`` among ``len(weights)`` shards.
@@ -59,16 +61,22 @@ def number_slots(df: DataFrame, shard: str, spread: Sequence[str], *, into: str
     table whatever the input's size, hence the broadcast.
     """
     cols = [F.col(f"`{c}`") for c in spread]
-    dealt = df.withColumn("__sub", F.pmod(F.xxhash64(*cols), F.lit(sub_buckets)))
-    counts = dealt.groupBy(shard, "__sub").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(shard).orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(F.col(shard).alias("__s"), F.col("__sub").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    rank = F.row_number().over(Window.partitionBy(shard, "__sub").orderBy(*cols)) - 1
-    placed = dealt.withColumn("__rank", rank).join(F.broadcast(bases), (F.col(shard) == F.col("__s")) & (F.col("__sub") == F.col("__b")))
-    return placed.withColumn(into, (F.col("__base") + F.col("__rank")).cast("long")).drop("__sub", "__rank", "__s", "__b", "__base")
+    sub, count, base, rank, own, part = (free_name(df.columns, c) for c in ("__sub", "__n", "__base", "__rank", "__s", "__b"))
+    at = F.col(f"`{shard}`")
+    dealt = df.withColumn(sub, F.pmod(F.xxhash64(*cols), F.lit(sub_buckets)))
+    counts = dealt.groupBy(at.alias(own), F.col(sub).alias(part)).agg(F.count(F.lit(1)).alias(count))
+    before = Window.partitionBy(own).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(own, part, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(base))
+    number = F.row_number().over(Window.partitionBy(at, sub).orderBy(*cols)) - 1
+    placed = dealt.withColumn(rank, number).join(F.broadcast(bases), (at == F.col(own)) & (F.col(sub) == F.col(part)))
+    return placed.withColumn(into, (F.col(base) + F.col(rank)).cast("long")).drop(sub, rank, own, part, base)
+
+
+#: Rows that a sub-bucket should have, and the limits of the number of sub-buckets of a shard.
+SUB_ROWS, LEAST_SUBS, MOST_SUBS = 20_000, 16, 4096
 
 
-def shard_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", weights: Sequence[float] = (1.0,) * 16, sub_buckets: int = 256) -> DataFrame:
+def shard_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", weights: Sequence[float] = (1.0,) * 16, sub_buckets: int | None = None) -> DataFrame:
     """Deal documents over weighted shards by their key (law ``key``).
 
     Returns ``key, size, text_crc32, law, shard, slot, grown_shard``: size is
@@ -77,6 +85,8 @@ def shard_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     keys, equal texts or null keys are all kept, each with its own slot.
     Only digests enter the shuffle, never the texts.
     """
+    if sub_buckets is None:  # by the number of rows, which Parquet files state
+        sub_buckets = min(MOST_SUBS, max(LEAST_SUBS, docs.count() // (SUB_ROWS * len(weights))))
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     slim = docs.select(
         F.col(f"`{key}`"),

@@ -3,13 +3,17 @@
 import base64
 import hashlib
 import itertools
+import math
+import re
 import zlib
 from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -219,6 +223,62 @@ def test_sharding_query(spark, documents, odd_documents, no_documents):
     assert not sharding.shard_documents(no_documents).count()
 
 
+def python_xxhash64(parts):
+    """Spark's xxhash64 of several values: each one's hash is the next one's seed."""
+    seed = 42
+    for raw in parts:
+        seed = xxhash.xxh64_intdigest(raw, seed=seed)
+    return seed
+
+
+def test_shards_by_brute_force(spark, documents):
+    """Every shard's score anew for every document, from the 4 low bytes of the shard's number."""
+    found = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in sharding.shard_documents(documents).collect()}
+    for doc, (shard, grown) in found.items():
+        score = lambda n: -math.log(((python_xxhash64([str(doc).encode(), n.to_bytes(4, "little")]) >> 11) + 0.5) / 2**53)  # noqa: B023, E731
+        assert shard == min(range(16), key=score) and grown == min(range(17), key=score)
+
+
+def test_slots_of_clashing_names(spark):
+    df = spark.range(300).selectExpr("id AS doc_id", "'x' AS __sub", "1 AS __rank", "2 AS __base", "CAST(id % 3 AS INT) AS shard", "'y' AS __s")
+    out = sharding.number_slots(df, "shard", ["doc_id"], sub_buckets=5)
+    assert out.columns == [*df.columns, "slot"]
+    rows = out.collect()
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(100)) for k in range(3)) and {r["__sub"] for r in rows} == {"x"}
+
+
+def brute_sketch(text, k=128):
+    """The k smallest hashes of the distinct 5-word shingles, each hashed on its own."""
+    from pathflow.llm import shingles
+
+    words = [w for w in re.split(r"[ \t-\r]+", "".join(c.lower() if c.isascii() else c for c in text)) if w]
+    if not words:
+        return set()
+    pieces = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    out = set()
+    for p in pieces:
+        h, b = shingles.text_sets(pa.array([p]), 5)
+        assert len(h) == 1
+        out.add(int(h[0]))
+    return set(sorted(out)[:k])
+
+
+def test_fingerprints_by_brute_force(documents):
+    """Fingerprints, edited fingerprints and both likenesses, text by text."""
+    docs = sorted((r["doc_id"], r["text"] or "") for r in documents.collect())
+    rows = {r["doc_id"]: r for r in fingerprint.compare_with_edits(documents).collect()}
+    whole = {d: brute_sketch(t) for d, t in docs}
+    like = lambda a, b: len(a & b & set(sorted(a | b)[:128])) / len(set(sorted(a | b)[:128])) if a | b else 1.0
+    for k, (doc, text) in enumerate(docs[:60]):
+        after = docs[(k + 1) % len(docs)]
+        n = len(text) // 2
+        edited = brute_sketch(text[: len(text) - n] + after[1][:n])
+        r = rows[doc]
+        assert set(fingerprint.from_text(r["fingerprint"]).tolist()) == whole[doc]
+        assert set(fingerprint.from_text(r["edited_fingerprint"]).tolist()) == edited
+        assert r["near_edited"] == pytest.approx(like(whole[doc], edited)) and r["near_next"] == pytest.approx(like(whole[doc], whole[after[0]]))
+
+
 def test_shards_by_weight(spark):
     counts = sharding.assign_shards(spark.range(40_000), "id", [1.0, 3.0, 0.0]).groupBy("shard").count().collect()
     found = {r["shard"]: r["count"] for r in counts}
