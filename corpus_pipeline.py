@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pathflow.llm import jaccard, langid, queries, toxicity
 from pathflow.llm.shared import free_name, written
 
-#: Least score with which a document's predicted language counts as recognised.
-LEAST_LANGUAGE_SCORE = 0.3
+#: Least score with which a document's predicted language counts as recognised; of four languages chance gives 0.25.
+LEAST_LANGUAGE_SCORE = 0.45
 #: Score from which a document is toxic.
 TOXIC_SCORE = 0.5
 #: Near duplicates share this percentage of their shingles of this many words.
@@ -22,8 +22,13 @@ NEAR_PERCENT, NEAR_WORDS = 80, 5
 
 
 def keep_recognised_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language the network doesn't recognise: no letters, or a score below the least."""
+    """Drop documents whose language the network doesn't recognise: no letters, or a score below the least.
+
+    Where no document names its language there is no network, and all documents with a letter stay.
+    """
     network = langid.train_on(docs, learn=f"{queries.remainder(3)} <> 1")
+    if network is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     lang, score = free_name(docs.columns, "__lang_pred"), free_name(docs.columns, "__lang_score")
     judged = langid.predict_languages(docs, network, into=(lang, score), keep=tuple(docs.columns))
     return judged.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).drop(lang, score)
