@@ -1,14 +1,17 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
-A block of vectors is indexed by posting segments: the rows of a dimension
-whose components lie in one of ``LEVELS`` steps of the dimension's range.  The
-impact of a segment on a query is what its best row gains in that dimension over
-the worst component that the block has there, so impacts are never below zero.
-A query processes the segments of all dimensions by descending impact,
-quantised, and each adds its rows' exact gains to their accumulators.  What is
-still to come for a row is at most the sum over dimensions of the impact of the
-next segment there.  Processing stops once this bound proves that only a few
-rows can be among the k best; those are scored exactly from their vectors.
+A block of vectors is indexed by posting segments.  In a dimension in which few
+rows have a component, a segment holds the rows whose components are of one
+sign and lie in one of ``LEVELS`` steps of size; a dimension in which most rows
+have one is a single segment with a value for every row.  The impact of a
+segment on a query is the size of the query's component times the largest one
+in the segment.  A query processes the segments of all dimensions by descending
+impact, quantised, and each adds its share to the accumulators of its rows.
+What the segments left can still add to a row is bounded by the sum over
+dimensions of the largest impact left there, and by the length of the query in
+those dimensions times the row's length.  Processing stops once these bounds
+prove that only a few rows can be among the k best; those are scored exactly
+from their vectors.
 
 Spark deals queries and candidates into blocks of bounded size, searches every
 pair of blocks as a task of its own, and merges the k best of each pair.
@@ -26,51 +29,41 @@ _LONG = np.iinfo(np.int64)
 
 
 class ImpactIndex:
-    """Posting segments of a block of integer vectors, one for each dimension and step of its components."""
+    """Posting segments of a block of integer vectors, by dimension and step of size."""
 
-    LEVELS = 8  # steps of a dimension's range
-    IMPACTS = 256  # steps to which a query's impacts are quantised
-    LOOK, LESS = 0.4, 0.8  # share of the whole bound at which it is first tried, and of that for every further time
+    LEVELS = 8  # steps of size of a dimension's components
+    IMPACTS = 64  # steps to which a query's impacts are quantised
+    SPARSE = 4  # a dimension with a component in fewer rows than one in so many has lists of rows
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
         n, dims = vectors.shape
-        self.low, self.high = vectors.min(axis=0, initial=0), vectors.max(axis=0, initial=0)
-        span = [max(1, int(h) - int(low)) for low, h in zip(self.low, self.high, strict=True)]
-        self.widest = max(span, default=1)
-        self.kind = np.int32 if self.widest * max(1, int(np.abs(vectors).max(initial=0))) * max(1, dims) < 1 << 30 else np.int64
-        self.rows, self.values, self.edges = [], [], []
+        self.norms = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-9)
+        self.largest = max((abs(int(x)) for x in (vectors.max(initial=0), vectors.min(initial=0))), default=0)
+        self.kind = np.int32 if self.largest**2 * max(1, dims) < 1 << 30 else np.int64
+        #: (dimension, largest size, rows or None for all, values)
+        self.segments: list[tuple[int, int, np.ndarray | None, np.ndarray]] = []
+        if self.largest >= 1 << 62:
+            return  # beyond 64-bit products; rows are compared one by one
         for d in range(dims):
-            order = np.argsort(vectors[:, d], kind="stable")
-            column = vectors[order, d]
-            # a step's rows lie side by side in order of the component
-            steps = np.array([int(self.low[d]) + span[d] * k // self.LEVELS for k in range(1, self.LEVELS)], np.int64)
-            self.rows.append(order.astype(np.int32))
-            self.values.append((column - self.low[d]).astype(self.kind))  # above the lowest component
-            self.edges.append(np.concatenate(([0], np.searchsorted(column, steps), [n])))
-
-    def segments(self, query: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(impact, dimension, first, end) of the non-empty segments, by descending quantised impact."""
-        found = []
-        for d in np.flatnonzero(query).tolist():
-            q, values, edges = int(query[d]), self.values[d], self.edges[d].tolist()
-            worst = 0 if q > 0 else int(values[-1])
-            for a, b in zip(edges, edges[1:]):
-                if a < b:
-                    found.append((q * (int(values[b - 1] if q > 0 else values[a]) - worst), d, a, b))
-        most = max((f[0] for f in found), default=0)
-        step = max(1, most // self.IMPACTS)
-        return sorted(found, key=lambda f: (-(f[0] // step), f[1], -f[0]))
+            column = vectors[:, d].astype(self.kind)
+            rows = np.flatnonzero(column)
+            if self.SPARSE * len(rows) >= n:
+                self.segments.append((d, int(np.abs(column).max(initial=0)), None, np.ascontiguousarray(column)))
+                continue
+            values = column[rows]
+            size = np.abs(values)
+            step = np.where(values > 0, 1, -1) * (1 + (self.LEVELS - 1) * size.astype(np.int64) // max(1, int(size.max(initial=0))))
+            for level in np.unique(step).tolist():
+                own = step == level
+                self.segments.append((d, int(size[own].max()), rows[own], values[own]))
 
     def search(self, query: np.ndarray, own: int, k: int, enough: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows whose id isn't ``own``, by falling score, then by id; scores beyond a long are its end."""
-        n, size = len(self.ids), int(np.abs(query).max(initial=0))
-        far = size == int(_LONG.max) or max(size, 1) * max(self.widest, int(np.abs(self.low).max(initial=0)), int(np.abs(self.high).max(initial=0))) * max(1, len(query)) >= 1 << 62
-        possible = np.arange(n)
-        if not far and n > k + 1:
-            possible = self.members(query, k, enough)
+        far = max((abs(int(x)) for x in query), default=0) * self.largest * max(1, len(query)) >= 1 << 62
+        possible = np.arange(len(self.ids)) if far else self.members(query, k, enough)
         possible = possible[self.ids[possible] != own]
-        if far:  # too large for 64 bits: exact integers of any size
+        if far:  # exact integers of any size
             exact = [sum(int(a) * int(b) for a, b in zip(row, query, strict=True)) for row in self.vectors[possible]]
             ends = [min(max(x, int(_LONG.min)), int(_LONG.max)) for x in exact]
             best = sorted(range(len(possible)), key=lambda i: (-ends[i], self.ids[possible[i]]))[:k]
@@ -79,34 +72,45 @@ class ImpactIndex:
         best = np.lexsort((self.ids[possible], -scores))[:k]
         return self.ids[possible][best], scores[best]
 
-    def members(self, query: np.ndarray, k: int, enough: int) -> np.ndarray:
-        """Rows that may be among the k + 1 best: all others are proven not to be."""
-        n, order = len(self.ids), self.segments(query)
-        # the impact that a dimension still has after each of its segments
-        rest, later = {}, []
-        for impact, d, _, _ in reversed(order):
-            later.append(rest.get(d, 0))
-            rest[d] = max(rest.get(d, 0), impact)
-        later.reverse()
-        open_ = sum(rest.values())
-        check = self.LOOK * open_
-        kind = self.kind if int(np.abs(query).max(initial=0)) * self.widest * max(1, len(query)) < 1 << 30 else np.int64
-        sums, weights = np.zeros(n, kind), query.astype(kind)
-        top = [kind(0) if q > 0 else v[-1] for q, v in zip(query.tolist(), self.values, strict=True)]
-        for place, (_, d, a, b) in enumerate(order):
-            gains = self.values[d][a:b] - top[d]
-            gains *= weights[d]
-            sums[self.rows[d][a:b]] += gains
-            open_ -= rest[d] - later[place]
-            rest[d] = later[place]
-            if open_ <= check:
-                check = self.LESS * open_
-                # one of the k + 1 best may be the query's own row
-                least = int(np.partition(sums, n - k - 1)[n - k - 1]) - open_
-                possible = np.flatnonzero(sums >= least)
-                if len(possible) <= enough:
-                    return possible
-        return np.flatnonzero(sums >= np.partition(sums, n - k - 1)[n - k - 1])
+    def members(self, query: np.ndarray, k: int, enough: int = 256) -> np.ndarray:
+        """Rows that may be among the k + 1 best (one of them may be the query's own row): all others are proven not to be."""
+        n, size = len(self.ids), np.abs(query)
+        if n <= k + 1:
+            return np.arange(n)
+        kind = self.kind if int(size.max(initial=0)) * self.largest * max(1, len(query)) < 1 << 30 else np.int64
+        weight, sums, term = query.astype(kind), np.zeros(n, kind), np.empty(n, kind)
+        impacts = [int(size[d]) * most for d, most, _, _ in self.segments]
+        step = max(1, max(impacts, default=0) // self.IMPACTS)
+        order = sorted((s for s in range(len(impacts)) if impacts[s]), key=lambda s: (-(impacts[s] // step), self.segments[s][0], -impacts[s]))
+        # after each place: the sum over dimensions of the largest impact left, and the query's squared length in those dimensions
+        left: dict[int, int] = {}
+        bounds, total, square = [], 0, 0
+        for s in reversed(order):
+            bounds.append((total, square))
+            d = self.segments[s][0]
+            if d not in left:
+                square += int(size[d]) ** 2
+            if impacts[s] > left.get(d, 0):
+                total += impacts[s] - left.get(d, 0)
+                left[d] = impacts[s]
+        bounds.reverse()
+        check = 0.12 * square**0.5
+        for s, (total, square) in zip(order, bounds, strict=True):
+            d, _, rows, values = self.segments[s]
+            if rows is None:
+                np.multiply(values, weight[d], out=term)
+                sums += term
+            else:
+                sums[rows] += values * weight[d]
+            if square**0.5 > check and total:
+                continue
+            check = square**0.5 / 2
+            more = np.minimum(self.norms * (square**0.5 * (1 + 1e-9)), total)
+            least = np.partition(sums - more, n - k - 1)[n - k - 1]
+            possible = np.flatnonzero(sums + more >= least)
+            if len(possible) <= enough or not total:
+                return possible
+        return np.arange(n)
 
 
 def quantised(vector: Column, scale: float = 64.0) -> Column:
