@@ -63,12 +63,17 @@ def _on_network(name: str, f: Callable[[Network], DataFrame], sql: str | None =
     _register(name, sql)(lambda spark, sf_dir: f(network_from_star(spark, sf_dir)))
 
 
+def standard_threshold(net: Network) -> float:
+    """The threshold of index 8."""
+    found = cls.threshold_values(net)
+    if len(found) <= STANDARD:
+        raise ValueError(f"fewer than {STANDARD + 1} thresholds")
+    return found[STANDARD]
+
+
 def standard_classes(net: Network) -> DataFrame:
     """Classes at the threshold of index 8."""
-    cut = cls.thresholds(net).where(F.col("threshold_index") == STANDARD).head()
-    if cut is None:
-        raise ValueError(f"fewer than {STANDARD + 1} thresholds")
-    return cls.path_classes(net, cut["threshold"])
+    return cls.path_classes(net, standard_threshold(net))
 
 
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -97,7 +102,7 @@ _REFERENCE = "(SELECT link.link_id, coalesce(v, 0.0e0) AS ref_volume FROM link L
 _STATS = f"SELECT min(ref_volume) AS min_volume, max(ref_volume) AS max_volume, round(avg(ref_volume), 6) AS mean_volume, count(*) AS n_links, CAST(sum(CASE WHEN ref_volume = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_zero, avg(ref_volume) < 0.1 OR sum(CASE WHEN ref_volume = 0 THEN 1 ELSE 0 END) > 0.8 * count(*) AS recompute FROM {_REFERENCE}"
 _on_network("ref_volume_stats", lambda n: _rounded(nw.reference_stats(nw.reference_volume(n)), 6, "mean_volume"), _STATS)
 _on_network("ref_volume_choice", nw.chosen_volume, f"SELECT r.link_id, CASE WHEN s.recompute THEN volume ELSE r.ref_volume END AS ref_volume FROM {_REFERENCE} r JOIN volume USING (link_id), ({_STATS}) s")
-_on_network("ref_volume_absent", lambda n: nw.chosen_volume(Network(n.links, n.routes)), "SELECT link_id, volume AS ref_volume FROM volume")
+_on_network("ref_volume_absent", lambda n: nw.chosen_volume(Network(n.links, n.routes, uses=n.uses)), "SELECT link_id, volume AS ref_volume FROM volume")
 _on_network("od_demand_inferred", nw.od_inferred, "SELECT o_zone_id, d_zone_id, inferred AS demand FROM od")
 _on_network("od_demand_joined", nw.od_demand, "SELECT o_zone_id, d_zone_id, demand FROM odd")
 _on_network("od_path_counts", nw.od_counts, "SELECT o_zone_id, d_zone_id, n_paths, n_paths = 1 AS is_singleton FROM od")
@@ -113,8 +118,10 @@ _on_network(
     "class_stats", lambda n: _rounded(cls.class_stats(standard_classes(n)), 6, "path_share", "flow_share"),
     "SELECT class, count(*) AS n_paths, CAST(sum(flow) AS DOUBLE) AS flow, round(100.0e0 * count(*) / sum(count(*)) OVER (), 6) AS path_share, round(100.0e0 * CAST(sum(flow) AS DOUBLE) / sum(CAST(sum(flow) AS DOUBLE)) OVER (), 6) AS flow_share FROM classes GROUP BY class",
 )
-_on_network("flow_deciles", lambda n: _rounded(cls.flow_deciles(n), 6, "flow"), "SELECT CAST(d AS INTEGER) AS decile, round(quantile_cont(CAST(flow AS DOUBLE), d / 100.0e0), 6) AS flow FROM route, (SELECT unnest([10,20,30,40,50,60,70,80,90]) AS d) WHERE flow > 0 GROUP BY d")
-ORACLE_SQL["flow_deciles"] = _sql("SELECT CAST(10 * i AS INTEGER) AS decile, round(p[i], 6) AS flow FROM (SELECT quantile_cont(CAST(flow AS DOUBLE), [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS p FROM route WHERE flow > 0), range(1, 10) r(i)")
+_on_network(
+    "flow_deciles", lambda n: _rounded(cls.flow_deciles(n), 6, "flow"),
+    "SELECT CAST(10 * i AS INTEGER) AS decile, round(p[i], 6) AS flow FROM (SELECT quantile_cont(CAST(flow AS DOUBLE), [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS p FROM route WHERE flow > 0), range(1, 10) r(i)",
+)
 _on_network("multi_flow_range", cls.multi_flow_range, "SELECT CAST(min(flow) AS DOUBLE) AS min_flow, CAST(max(flow) AS DOUBLE) AS max_flow FROM ranked WHERE n_paths > 1")
 _on_network(
     "singleton_volume", cls.singleton_volume,
@@ -248,10 +255,9 @@ def link_latent_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.join(_latent_rows(svd, entries), "route_id").groupBy("link_idx", "component").agg(F.sum(F.col("mult") * F.col("u")).alias("d"))
 
 
-def _prepared(spark: SparkSession, sf_dir: str) -> alm.Prepared:
+def _prepared(spark: SparkSession, sf_dir: str, every: bool = False) -> alm.Prepared:
     net = network_from_star(spark, sf_dir)
-    cut = cls.thresholds(net).where(F.col("threshold_index") == STANDARD).head()["threshold"]
-    return alm.prepare(net, cut)
+    return alm.prepare(net, standard_threshold(net), every=every)
 
 
 @_register("evaluator_agreement")
@@ -259,7 +265,7 @@ def evaluator_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value and gradient norm of every evaluator at one point, with their distance from the first."""
     import numpy as np
 
-    p = _prepared(spark, sf_dir).problem
+    p = _prepared(spark, sf_dir, every=True).problem
     rng = np.random.default_rng(1)
     state = State(rng.uniform(0, 100, p.n_major), rng.normal(0, 5, p.rank), rng.normal(0, 1, p.n_pairs), rng.uniform(0, 5, p.n_minor), 10.0, 5.0)
     found = {name: p.value_and_gradient(state, name) for name in EVALUATORS}

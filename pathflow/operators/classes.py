@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.network import Network
-from .indexing import LANES, lane_of
-from .network import od_demand, steps, with_od_counts
+from .indexing import LANES, bounds_of, lane_among, lane_of
+from .network import od_demand, with_od_counts, written_steps
 
 OD = ("o_zone_id", "d_zone_id")
 
@@ -18,51 +20,75 @@ def above(flow: Column, threshold: float) -> Column:
     return F.coalesce((value > F.lit(float(threshold))) & ~F.isnan(value), F.lit(False))
 
 
-def _best_first() -> Window:
-    # null and NaN flows count as the lowest
+def ranked(net: Network) -> DataFrame:
+    """``route_id, o_zone_id, d_zone_id, flow, n_paths, is_best``: every route with its pair's number of routes and whether it is the pair's best.
+
+    The best route has the largest flow, of equal ones the smallest id; null and
+    NaN flows count as the lowest.  Pairs are summed up before the shuffle and
+    joined back, so a pair of very many routes costs no task more than its share.
+    """
     value = F.col("flow").cast("double")
     sortable = F.when(~F.isnan(value), value)
-    return Window.partitionBy(*OD).orderBy(sortable.desc_nulls_last(), "route_id")
+    order = F.struct(sortable.isNull().alias("none"), (-sortable).alias("low"), "route_id")
+    pairs = net.routes.groupBy(*OD).agg(F.count(F.lit(1)).alias("n_paths"), F.min(order).alias("best"))
+    routes = net.routes.select("route_id", *OD, "flow").join(pairs.select(*OD, "n_paths", F.col("best.route_id").alias("best")), list(OD))
+    return routes.select("route_id", *OD, "flow", "n_paths", (F.col("route_id") == F.col("best")).alias("is_best"))
 
 
 def mandatory_majors(net: Network) -> DataFrame:
     """``route_id``: the route of the largest flow of every pair with several, ties to the smaller id."""
-    ranked = with_od_counts(net).where("n_paths > 1").withColumn("rn", F.row_number().over(_best_first()))
-    return ranked.where("rn = 1").select("route_id")
+    return ranked(net).where("n_paths > 1 and is_best").select("route_id")
 
 
 def can_be_minor(net: Network) -> DataFrame:
     """``route_id, flow``: routes of pairs with several, without the mandatory majors."""
-    return with_od_counts(net).where("n_paths > 1").join(mandatory_majors(net), "route_id", "left_anti").select("route_id", "flow")
+    return ranked(net).where("not is_best").select("route_id", "flow")
 
 
-def value_at(df: DataFrame, column: str, positions: DataFrame) -> DataFrame:
-    """``pos, value`` for positions (from 0) in the ascending order of a column; rows are ranked within ranges of values."""
-    lane = lane_of(df.withColumn("__d", F.col(column).cast("double")), "__d", LANES)
-    laned = df.select(F.col(column).alias("value"), F.col(column).cast("double").alias("__d")).withColumn("__lane", lane)
-    counts = laned.groupBy("__lane").agg(F.count(F.lit(1)).alias("__n"))
-    bases = counts.select("__lane", F.coalesce(F.sum("__n").over(Window.orderBy("__lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    rank = F.row_number().over(Window.partitionBy("__lane").orderBy("value")) - 1
-    ranked = laned.withColumn("__r", rank).join(F.broadcast(bases), "__lane").select("value", (F.col("__base") + F.col("__r")).alias("pos"))
-    return ranked.join(F.broadcast(positions), "pos").select("pos", "value")
-
-
-def thresholds(net: Network, bins: int = 10) -> DataFrame:
-    """``threshold_index, threshold``: values at evenly spaced positions among the flows that can be minor; the first is 0, repeats go.
+def value_at(df: DataFrame, column: str, places: Callable[[int], dict[int, int]]) -> dict[int, object]:
+    """Values at positions (from 0) in the ascending order of a column.
 
-    An error if no pair has several routes.
+    ``places`` gives the wanted positions for the number of rows, and names them.
+    The rows are counted by ranges of values; only the ranges that hold a wanted
+    position are ranked, each on its own.  Null values don't count.
     """
-    flows = can_be_minor(net)
-    n = flows.count()
-    if not n:
+    spark = df.sparkSession
+    held = df.select(F.col(column).alias("value")).where("value is not null")
+    wide = held.withColumn("__d", F.col("value").cast("double")).persist()  # read three times
+    bounds = bounds_of(wide, "__d", 4 * LANES)
+    laned = wide.withColumn("__lane", F.lit(2) * lane_among("__d", bounds) + F.col("__d").isin(bounds).cast("int") if bounds else F.lit(0))
+    counts = sorted((r["__lane"], r["n"], r["low"], r["high"]) for r in laned.groupBy("__lane").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect())
+    total = sum(n for _, n, _, _ in counts)
+    wanted, out, below, within = places(total) if total else {}, {}, 0, []
+    for lane, n, low, high in counts:
+        own = {name: at - below for name, at in wanted.items() if below <= at < below + n}
+        if low == high:  # a value that many rows have
+            out |= dict.fromkeys(own, low)
+        elif own:
+            within += [(lane, at, name) for name, at in own.items()]
+        below += n
+    if within:
+        at = spark.createDataFrame(within, "__lane int, __at long, name int")
+        rank = F.row_number().over(Window.partitionBy("__lane").orderBy("value")) - 1
+        kept = laned.where(F.col("__lane").isin(sorted({lane for lane, _, _ in within}))).withColumn("__r", rank)
+        found = kept.join(F.broadcast(at), (kept["__lane"] == at["__lane"]) & (F.col("__r") == F.col("__at")))
+        out |= {r["name"]: r["value"] for r in found.select("name", "value").collect()}
+    wide.unpersist()
+    return out
+
+
+def threshold_values(net: Network, bins: int = 10) -> list[float]:
+    """Values at evenly spaced positions among the flows that can be minor; the first is 0, repeats go.  An error if no pair has several routes."""
+    places = lambda n: {i: n - 1 if i == bins else int(i * ((n - 1) / float(bins))) for i in range(bins + 1)}
+    found = value_at(can_be_minor(net), "flow", places)
+    if not found:
         raise ValueError("No multi-path ODs found")
-    spark = flows.sparkSession
-    places = [(i, n - 1 if i == bins else int(i * ((n - 1) / float(bins)))) for i in range(bins + 1)]
-    at = spark.createDataFrame(places, "i int, pos long")
-    found = value_at(flows, "flow", at.select("pos").distinct())
-    values = at.join(found, "pos").select("i", F.when(F.col("i") == 0, 0.0).otherwise(F.col("value").cast("double")).alias("threshold"))
-    once = values.groupBy("threshold").agg(F.min("i").alias("i"))
-    return once.select((F.row_number().over(Window.orderBy("i")) - 1).alias("threshold_index"), "threshold")  # at most bins + 1 rows
+    return list(dict.fromkeys([0.0] + [float(found[i]) for i in range(1, bins + 1)]))
+
+
+def thresholds(net: Network, bins: int = 10) -> DataFrame:
+    """``threshold_index, threshold``: see ``threshold_values``."""
+    return net.routes.sparkSession.createDataFrame(list(enumerate(threshold_values(net, bins))), "threshold_index int, threshold double")
 
 
 def path_classes(net: Network, threshold: float, *, ensure_major: bool = True) -> DataFrame:
@@ -72,9 +98,9 @@ def path_classes(net: Network, threshold: float, *, ensure_major: bool = True) -
     threshold, else minor.  With ``ensure_major`` a pair without a major has its
     largest route promoted.
     """
-    classed = with_od_counts(net).withColumn("is_major", (F.col("n_paths") > 1) & above(F.col("flow"), threshold))
-    classed = classed.withColumn("any_major", F.max("is_major").over(Window.partitionBy(*OD))).withColumn("rn", F.row_number().over(_best_first()))
-    promoted = F.lit(ensure_major) & (F.col("n_paths") > 1) & ~F.col("any_major") & (F.col("rn") == 1)
+    # the largest flow of a pair is above the threshold if any is
+    classed = ranked(net).withColumn("is_major", (F.col("n_paths") > 1) & above(F.col("flow"), threshold))
+    promoted = F.lit(ensure_major) & (F.col("n_paths") > 1) & ~F.col("is_major") & F.col("is_best")
     kind = F.when(F.col("n_paths") == 1, "singleton").when(F.col("is_major") | promoted, "major").otherwise("minor")
     return classed.select("route_id", *OD, "flow", "n_paths", kind.alias("class"), promoted.alias("promoted"))
 
@@ -102,8 +128,15 @@ def class_stats(classes: DataFrame) -> DataFrame:
 def flow_deciles(net: Network) -> DataFrame:
     """``decile, flow``: exact interpolated percentiles 10 to 90 of the flows above zero."""
     used = net.routes.select(F.col("flow").cast("double").alias("flow")).where("flow > 0 and not isnan(flow)")
-    marks = [i / 10 for i in range(1, 10)]
-    return used.agg(F.percentile("flow", F.lit(marks)).alias("p")).select(F.posexplode("p")).select((F.col("pos") * 10 + 10).alias("decile"), F.col("col").alias("flow"))
+    marks: dict[int, float] = {}
+
+    def places(n: int) -> dict[int, int]:
+        marks.update({d: (n - 1) * d / 100 for d in range(10, 100, 10)})
+        return {d: int(x) for d, x in marks.items()} | {1000 + d: min(n - 1, int(x) + 1) for d, x in marks.items()}
+
+    at = value_at(used, "flow", places)
+    rows = [(d, at[d] + (at[1000 + d] - at[d]) * (x - int(x))) for d, x in marks.items()] if at else []
+    return net.routes.sparkSession.createDataFrame(rows, "decile int, flow double")
 
 
 def multi_flow_range(net: Network) -> DataFrame:
@@ -114,7 +147,7 @@ def multi_flow_range(net: Network) -> DataFrame:
 def singleton_volume(net: Network) -> DataFrame:
     """``link_id, volume``: what singleton routes, carrying their pair's whole demand, put on every link."""
     alone = with_od_counts(net).where("n_paths = 1").join(od_demand(net), list(OD)).select("route_id", "demand")
-    used = steps(net).join(alone, "route_id").groupBy("link_id").agg(F.sum("demand").alias("v"))
+    used = written_steps(net).join(alone, "route_id").groupBy("link_id").agg(F.sum("demand").alias("v"))
     return net.links.select("link_id").join(used, "link_id", "left").select("link_id", F.coalesce("v", F.lit(0.0)).alias("volume"))
 
 

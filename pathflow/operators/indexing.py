@@ -10,28 +10,47 @@ from pyspark.sql import functions as F
 LANES = 32
 
 
-def lane_of(df: DataFrame, column: str, lanes: int) -> Column:
-    """Which of some ranges of a numeric column a row lies in; the bounds are quantiles."""
+def bounds_of(df: DataFrame, column: str, lanes: int) -> list:
+    """Bounds that part a column into ranges: quantiles, of text those of a bounded number of its values."""
     if lanes < 2:
-        return F.lit(0)
-    bounds = df.select(F.percentile_approx(column, F.lit([(i + 1) / lanes for i in range(lanes - 1)]), 20 * lanes)).head()[0]
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.lit(sorted(set(bounds))), lambda b: b < F.col(column)))
+        return []
+    if dict(df.dtypes)[column] == "string":
+        some = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(F.xxhash64(column), column).limit(50 * lanes).collect())
+        bounds = some[49::50]
+    else:
+        bounds = df.select(F.percentile_approx(column, F.lit([(i + 1) / lanes for i in range(lanes - 1)]), 20 * lanes)).head()[0]
+    return sorted(set(bounds or []))
+
+
+def lane_among(column: str, bounds: list) -> Column:
+    """The number of bounds below a value."""
+    return F.size(F.filter(F.lit(bounds), lambda b: b < F.col(column))) if bounds else F.lit(0)
+
+
+def lane_of(df: DataFrame, column: str, lanes: int) -> Column:
+    """Which of some ranges of a column a row lies in."""
+    return lane_among(column, bounds_of(df, column, lanes))
 
 
 def dense_index(df: DataFrame, keys: Sequence[str], into: str, *, lanes: int = LANES) -> DataFrame:
     """Number the rows of ``df``, whose keys are distinct and not null, from 0 in order of the keys.
 
-    Rows are ranked within (leading keys, range of the last key) and the ranges'
-    sizes summed up; the last key must be numeric.  The summing window sees a
-    row for each range alone.
+    Rows are ranked within ranges of the first key and the ranges' sizes summed
+    up.  A value of the first key that has very many rows bounds a range and has
+    one of its own, which is parted by the last key.  The summing window sees a
+    row for each range alone, whose number is bounded.
     """
-    last = keys[-1]
-    laned = df.withColumn("__lane", lane_of(df, last, lanes))
-    groups = [*keys[:-1], "__lane"]
+    bounds = bounds_of(df, keys[0], lanes)
+    lane = F.lit(2) * lane_among(keys[0], bounds)
+    groups = ["__lane"]
+    if len(keys) > 1 and bounds:
+        alone = F.col(keys[0]).isin(bounds)
+        laned = df.withColumn("__lane", lane + alone.cast("int")).withColumn("__sub", F.when(alone, lane_of(df, keys[-1], lanes)).otherwise(0))
+        groups.append("__sub")
+    else:
+        laned = df.withColumn("__lane", lane)
     counts = laned.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(*groups, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(last)) - 1
-    return laned.withColumn("__rank", rank).join(bases, groups).withColumn(into, (F.col("__base") + F.col("__rank")).cast("long")).select(*df.columns, into)
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*keys)) - 1
+    return laned.withColumn("__rank", rank).join(F.broadcast(bases), groups).withColumn(into, (F.col("__base") + F.col("__rank")).cast("long")).select(*df.columns, into)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.congestion import beckmann_term, travel_time
@@ -27,10 +27,19 @@ def od_dim(net: Network) -> DataFrame:
     return dense_index(pairs, ["o_zone_id", "d_zone_id"], "od_idx").select("od_idx", "o_zone_id", "d_zone_id")
 
 
+def written_steps(net: Network) -> DataFrame:
+    """``route_id, link_id``: a row for each step as the tables have it, unknown routes and links among them."""
+    if net.uses is not None:
+        return net.uses.select("route_id", "link_id")
+    return net.routes.select("route_id", F.explode(parse_link_sequence(F.col("link_seq"))).alias("link_id"))
+
+
 def steps(net: Network) -> DataFrame:
-    """``route_id, link_id``: a row for each step over a known link."""
-    parsed = net.routes.select("route_id", F.explode(parse_link_sequence(F.col("link_seq"))).alias("link_id"))
-    return parsed.join(net.links.select("link_id"), "link_id").select("route_id", "link_id")
+    """``route_id, link_id``: a row for each step of a route over a known link."""
+    own = written_steps(net)
+    if net.uses is not None:
+        own = own.join(net.routes.select("route_id"), "route_id", "left_semi")
+    return own.join(net.links.select("link_id"), "link_id", "left_semi").select("route_id", "link_id")
 
 
 def multiplicities(net: Network) -> DataFrame:
@@ -46,7 +55,8 @@ def incidence(net: Network) -> DataFrame:
 def link_volume(net: Network, flows: DataFrame | None = None, column: str = "flow") -> DataFrame:
     """``link_id, volume`` of every link under the routes' flows (``route_id, flow``); 0 where none passes."""
     flows = flows if flows is not None else net.routes.select("route_id", "flow")
-    used = steps(net).join(flows, "route_id").groupBy("link_id").agg(F.sum(column).cast("double").alias("v"))
+    # the joins with flows and links turn unknown routes and links away
+    used = written_steps(net).join(flows, "route_id").groupBy("link_id").agg(F.sum(column).cast("double").alias("v"))
     return net.links.select("link_id").join(used, "link_id", "left").select("link_id", F.coalesce("v", F.lit(0.0)).alias("volume"))
 
 
@@ -114,4 +124,4 @@ def od_routes(net: Network) -> DataFrame:
 
 def with_od_counts(net: Network) -> DataFrame:
     """Routes with the number of routes of their pair."""
-    return net.routes.withColumn("n_paths", F.count(F.lit(1)).over(Window.partitionBy("o_zone_id", "d_zone_id")))
+    return net.routes.join(od_counts(net).select("o_zone_id", "d_zone_id", "n_paths"), ["o_zone_id", "d_zone_id"])

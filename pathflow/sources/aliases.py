@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accepted header names per logical column, in order of preference.
@@ -37,6 +37,29 @@ def find_column(df: DataFrame, candidates: tuple[str, ...], context: str) -> str
     raise ValueError(f"{context}: none of the columns {list(candidates)} among {df.columns}")
 
 
+def whole_number(value: Column) -> Column:
+    """A column as long: of text also numbers written with a fraction of zero (``0.0``); null where it isn't a whole number."""
+    exact, wide = value.try_cast("long"), value.try_cast("double")
+    whole = F.when((wide == F.floor(wide)) & (F.abs(wide) < F.lit(2.0**53)), wide.try_cast("long"))
+    return F.coalesce(F.when(exact.cast("double") == wide, exact), whole)
+
+
+def identifier(df: DataFrame, *columns: str) -> str:
+    """The type in which identifiers are read: long if every value of the columns is a whole number, else string."""
+    odd = [F.count_if(F.col(f"`{c}`").isNotNull() & whole_number(F.col(f"`{c}`")).isNull()) for c in columns]
+    return "string" if sum(df.agg(*odd).head()) else "long"
+
+
 def canonical(df: DataFrame, wanted: dict[str, tuple[str, ...]], types: dict[str, str], context: str) -> DataFrame:
-    """Only the wanted columns, under their canonical names and types."""
-    return df.select(*[F.col(f"`{find_column(df, names, context)}`").cast(types[c]).alias(c) for c, names in wanted.items()])
+    """Only the wanted columns, under their canonical names and types; a long that isn't one is an error when the row is read."""
+
+    def typed(name: str, kind: str) -> Column:
+        value = F.col(f"`{name}`")
+        if kind == "string":
+            return F.trim(value.cast("string"))
+        if kind != "long":
+            return value.cast(kind)
+        told = F.concat(F.lit(f"{context}: {name} is not a whole number: "), value.cast("string"))
+        return F.when(value.isNull(), F.lit(None).cast("long")).otherwise(F.coalesce(whole_number(value), F.raise_error(told).cast("long")))
+
+    return df.select(*[typed(find_column(df, names, context), types[c]).alias(c) for c, names in wanted.items()])

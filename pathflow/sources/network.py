@@ -21,15 +21,18 @@ class Network:
     """Canonical tables.
 
     ``links``: link_id, capacity, length, speed, t0 [, ref_volume];
-    ``routes``: route_id, o_zone_id, d_zone_id, flow, link_seq;
+    ``routes``: route_id, o_zone_id, d_zone_id, flow [, link_seq];
     ``demand``: o_zone_id, d_zone_id, demand, or None;
-    ``performance``: link_id, ref_volume, or None.
+    ``performance``: link_id, ref_volume, or None;
+    ``uses``: route_id, link_id, a row for each step of a route, or None where
+    ``link_seq`` holds the steps as text.
     """
 
     links: DataFrame
     routes: DataFrame
     demand: DataFrame | None = None
     performance: DataFrame | None = None
+    uses: DataFrame | None = None
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -60,8 +63,20 @@ def require_unique(df: DataFrame, key: str, what: str) -> DataFrame:
     return df
 
 
+def beside(path: str, name: str) -> str:
+    """A file of another name in the same folder."""
+    return path[: path.rstrip("/").rfind("/") + 1] + name
+
+
 def read_network(spark: SparkSession, links: str, routes: str, demand: str | None = None, performance: str | None = None) -> Network:
-    """Read a network; files named for ``demand`` and ``performance`` that aren't there count as not given."""
+    """Read a network.
+
+    A demand file that is named must be there.  Without ``performance`` the file
+    ``link_performance_ue.csv`` beside the links serves if there is one; a
+    performance file that isn't there counts as not given.  Route and zone ids
+    are whole numbers (also written ``0.0``); where any is not, they are text,
+    zones alike in routes and demand.
+    """
     raw = read_table(spark, links)
     link = aliases.canonical(raw, aliases.LINK, TYPES, "links")
     have = {c.lower() for c in raw.columns}
@@ -69,12 +84,22 @@ def read_network(spark: SparkSession, links: str, routes: str, demand: str | Non
         named = aliases.LINK | {"ref_volume": aliases.LINK_VOLUME}
         link = aliases.canonical(raw, named, TYPES, "links")
     link = require_unique(checked_links(link), "link_id", "links")
-    route = require_unique(aliases.canonical(read_table(spark, routes), aliases.ROUTE, TYPES, "routes"), "route_id", "routes")
-    wanted = perf = None
-    if demand and exists(spark, demand):
-        wanted = aliases.canonical(read_table(spark, demand), aliases.DEMAND, TYPES, "demand")
-    if performance and exists(spark, performance):
+    raw = read_table(spark, routes)
+    zones = {c: aliases.find_column(raw, aliases.ROUTE[c], "routes") for c in ("o_zone_id", "d_zone_id")}
+    kinds = [aliases.identifier(raw, *zones.values())]
+    given = None
+    if demand:
+        given = read_table(spark, demand)
+        kinds.append(aliases.identifier(given, *(aliases.find_column(given, aliases.DEMAND[c], "demand") for c in zones)))
+    zone = "string" if "string" in kinds else "long"
+    types = TYPES | {"o_zone_id": zone, "d_zone_id": zone, "route_id": aliases.identifier(raw, aliases.find_column(raw, aliases.ROUTE["route_id"], "routes"))}
+    route = require_unique(aliases.canonical(raw, aliases.ROUTE, types, "routes"), "route_id", "routes")
+    wanted = None if given is None else aliases.canonical(given, aliases.DEMAND, types, "demand")
+    perf = None
+    performance = performance or beside(links, "link_performance_ue.csv")
+    if exists(spark, performance):
         raw = read_table(spark, performance)
+        aliases.find_column(raw, aliases.LINK["link_id"], "performance")
         if any(n in {c.lower() for c in raw.columns} for n in aliases.PERFORMANCE_VOLUME):
             names = {"link_id": aliases.LINK["link_id"], "ref_volume": aliases.PERFORMANCE_VOLUME}
             perf = aliases.canonical(raw, names, TYPES, "performance")  # without a volume column the link table serves
@@ -98,11 +123,11 @@ def network_from_star(spark: SparkSession, sf_dir: str) -> Network:
     )
     flow = F.expr("cast(cast(o_totalprice as decimal(18,2)) * cast(0.001 as decimal(4,3)) as decimal(18,5))")
     customers = read("customer").select("c_custkey", "c_nationkey")
-    sequence = read("lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("l_partkey")).cast("array<string>"), ";").alias("link_seq"))
     routes = (
-        read("orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).join(sequence, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .select(F.col("o_orderkey").alias("route_id"), F.col("c_nationkey").cast("long").alias("o_zone_id"), F.col("o_custkey").alias("d_zone_id"), flow.alias("flow"), "link_seq")
+        read("orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .select(F.col("o_orderkey").alias("route_id"), F.col("c_nationkey").cast("long").alias("o_zone_id"), F.col("o_custkey").alias("d_zone_id"), flow.alias("flow"))
     )
+    uses = read("lineitem").select(F.col("l_orderkey").alias("route_id"), F.col("l_partkey").alias("link_id"))
     demand = routes.where("d_zone_id % 7 <> 0").groupBy("o_zone_id", "d_zone_id").agg((F.sum("flow") * F.expr("cast(1.1 as decimal(2,1))")).cast("double").alias("demand"))
     performance = read("lineitem").groupBy(F.col("l_partkey").alias("link_id")).agg(F.sum("l_quantity").alias("ref_volume"))
-    return Network(checked_links(links), routes, demand, performance)
+    return Network(checked_links(links), routes, demand, performance, uses)
