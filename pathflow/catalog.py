@@ -118,6 +118,10 @@ _on_network(
     "class_stats", lambda n: _rounded(cls.class_stats(standard_classes(n)), 6, "path_share", "flow_share"),
     "SELECT class, count(*) AS n_paths, CAST(sum(flow) AS DOUBLE) AS flow, round(100.0e0 * count(*) / sum(count(*)) OVER (), 6) AS path_share, round(100.0e0 * CAST(sum(flow) AS DOUBLE) / sum(CAST(sum(flow) AS DOUBLE)) OVER (), 6) AS flow_share FROM classes GROUP BY class",
 )
+_on_network(
+    "decomposition_stats", lambda n: _rounded(cls.class_stats(standard_classes(n).where("class <> 'singleton'")), 6, "path_share", "flow_share"),
+    "SELECT class, count(*) AS n_paths, CAST(sum(flow) AS DOUBLE) AS flow, round(100.0e0 * count(*) / sum(count(*)) OVER (), 6) AS path_share, round(100.0e0 * CAST(sum(flow) AS DOUBLE) / sum(CAST(sum(flow) AS DOUBLE)) OVER (), 6) AS flow_share FROM classes WHERE class <> 'singleton' GROUP BY class",
+)
 _on_network(
     "flow_deciles", lambda n: _rounded(cls.flow_deciles(n), 6, "flow"),
     "SELECT CAST(10 * i AS INTEGER) AS decile, round(p[i], 6) AS flow FROM (SELECT quantile_cont(CAST(flow AS DOUBLE), [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS p FROM route WHERE flow > 0), range(1, 10) r(i)",
