@@ -1,4 +1,4 @@
-"""Sparse products and the truncated SVD of the minor incidence."""
+"""The Gramian and the truncated SVD of the minor incidence."""
 
 from __future__ import annotations
 
@@ -18,11 +18,6 @@ EXACT_LINKS = 2_500
 BLOCKS = 10
 
 
-def spmv(matrix: DataFrame, vector: DataFrame, *, on: str, by: str) -> DataFrame:
-    """``by, val``: the product of a matrix (columns ``by``, ``on``, ``mult``) and a vector (``on``, ``val``)."""
-    return matrix.join(vector, on).groupBy(by).agg(F.sum(F.col("mult") * F.col("val")).alias("val"))
-
-
 def gramian(matrix: DataFrame, *, row: str = "route_id", col: str = "link_id") -> DataFrame:
     """``a, b, val`` with a <= b: the products of columns that share rows.
 
