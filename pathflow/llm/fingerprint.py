@@ -93,6 +93,44 @@ def fingerprint_texts(df: DataFrame, *, text: str = "text", into: str = "fingerp
     return kept.mapInArrow(run, schema)
 
 
+def merge_fingerprints(df: DataFrame, *, by: str, fingerprint: str = "fingerprint", k: int = K, held: int = 20_000) -> DataFrame:
+    """``by, fingerprint, n_shingles``: the fingerprint of the union of every group's texts, and its estimated number of distinct shingles.
+
+    Tasks merge their rows first, ``held`` groups at a time, so a group reaches
+    the shuffle with about one fingerprint for each task, however many rows it
+    has.  Null fingerprints count as empty, rows with a null ``by`` are a group
+    of their own; an empty table gives an empty one.
+    """
+    kept = df.select(F.col(f"`{by}`").alias("by"), F.coalesce(F.col(f"`{fingerprint}`"), F.lit("")).alias("fp"))
+    kind = dict(kept.dtypes)["by"]
+
+    def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict = {}
+        keys = None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(groups), keys), pa.array([to_text(x) for x in groups.values()], pa.string())], names=["by", "fp"])
+
+        for batch in batches:
+            keys = batch.column(0).type
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                groups[key] = merge(groups[key], from_text(text), k) if key in groups else from_text(text)
+                if len(groups) >= held:
+                    yield out()
+                    groups.clear()
+        if groups:
+            yield out()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged = [sketch(np.concatenate([from_text(t) for t in parts]), k) for parts in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([to_text(m) for m in merged], pa.string()), pa.array([distinct_count(m, k) for m in merged], pa.float64())], names=["by", "fingerprint", "n_shingles"])
+
+    parts = kept.mapInArrow(partly, f"by {kind}, fp string").groupBy("by").agg(F.collect_list("fp").alias("parts"))
+    out = parts.mapInArrow(whole, f"by {kind}, fingerprint string, n_shingles double")
+    return out.select(F.col("by").alias(by), "fingerprint", "n_shingles")
+
+
 def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lanes: int | None = None) -> DataFrame:
     """Rows ``lane, key, text`` such that the rows of a lane in order of (key,
     text) are neighbours in the order of the whole table, and its last row,

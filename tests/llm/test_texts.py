@@ -173,6 +173,21 @@ def test_sketches_estimate_and_merge():
     assert (fingerprint.sketch(repeated) == np.unique(a[:200])[: fingerprint.K]).all()
 
 
+def test_merged_fingerprints(spark, odd_documents, no_documents):
+    """The fingerprint of a group is that of all its shingles, however the rows lie."""
+    whole = {}
+    for r in odd_documents.collect():
+        (own,) = fingerprint.sketches(pa.array([r["text"]], pa.string()), 10_000)
+        whole[r["lang"]] = np.union1d(whole.get(r["lang"], own), own)
+    parts = fingerprint.fingerprint_texts(odd_documents.repartition(5), keep=("lang",))
+    for held in (1, 20_000):
+        found = {r["lang"]: r for r in fingerprint.merge_fingerprints(parts, by="lang", held=held).collect()}
+        assert set(found) == set(whole)
+        for lang, r in found.items():
+            assert (fingerprint.from_text(r["fingerprint"]) == whole[lang][: fingerprint.K]).all() and r["n_shingles"] == len(whole[lang])
+    assert not fingerprint.merge_fingerprints(fingerprint.fingerprint_texts(no_documents, keep=("lang",)), by="lang").count()
+
+
 def check_fingerprints(rows, docs):
     docs = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or ""))
     expected = []
