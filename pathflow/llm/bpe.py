@@ -21,18 +21,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name
+from .shared import free_name, slices
 
 #: Bytes, with what Python needs for an entry, that a generation of a worker's cache of chunks may hold; there are two of them, and two of a quarter for pre-tokens.
 CACHE_BYTES, ENTRY_BYTES = 48 << 20, 220
-#: Bytes of texts encoded together, and of pre-tokens merged in one run of the queue; a longer one has a run of its own.
-SLICE_BYTES, RUN_BYTES = 1 << 20, 1 << 17
+#: Bytes of pre-tokens merged in one run of the queue; a longer one has a run of its own.
+RUN_BYTES = 1 << 17
 
 
 class Merger:
@@ -303,19 +302,6 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-def _slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about ``most`` bytes in one column, a row at least."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-    begin = total = 0
-    for i, n in enumerate(sizes):
-        if total and total + n > most:
-            yield batch.slice(begin, i - begin)
-            begin, total = i, 0
-        total += n
-    if begin < len(sizes):
-        yield batch.slice(begin)
-
-
 def _ids(packed: list[bytes]) -> pa.Array:
     """list<int32> from packed ids."""
     offsets = array("i", [0])
@@ -340,7 +326,7 @@ def encode_texts(df: DataFrame, *, path: str, pattern: str, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for part in _slices(batch, len(keep)):
+            for part in slices(batch, len(keep)):
                 ids = _ids(own.encode_batch(part.column(len(keep)).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], ids], names=[*keep, into])
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name, parallelism
+from .shared import free_name, parallelism, slices
 from .shingles import shingle_hashes, text_bytes, word_hashes
 
 #: Hashes kept by a fingerprint, and words of a shingle.
@@ -85,8 +85,7 @@ def fingerprint_texts(df: DataFrame, *, text: str = "text", into: str = "fingerp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, len(keep), rows=500):
                 found = pa.array([to_text(s) for s in sketches(part.column(len(keep)), k, words)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], found], names=[*keep, into])
 
@@ -186,8 +185,7 @@ def compare_with_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row so far: lane, key, text, sketch
         for batch in batches:
-            for at in range(0, batch.num_rows, 300):
-                part = batch.slice(at, 300)
+            for part in slices(batch, 2, rows=300):
                 lane, keys, texts, borrowed = (part.column(c) for c in range(4))
                 rows = list(zip(lane.to_pylist(), keys.to_pylist(), texts.to_pylist(), sketches(texts, k, words), borrowed.to_pylist(), strict=True))
                 pairs = []

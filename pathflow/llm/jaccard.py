@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import discard, parallelism, written
+from .shared import SLICE_BYTES, discard, parallelism, written
 from .shingles import mix, text_sets
 
 _U = np.uint64
@@ -321,8 +321,8 @@ def link_block(sets: list[np.ndarray], percent: int, probes: np.ndarray | None =
     return links, label
 
 
-def _sets(texts: pa.Array, words: int, most: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Shingle sets of an array of texts in parts of a few MB: (first row, hashes, bounds)."""
+def _sets(texts: pa.Array, words: int, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Shingle sets of an array of texts in parts of bounded bytes: (first row, hashes, bounds)."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     edges = np.unique(np.concatenate(([0], np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1, [len(texts)])))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import free_name
+from .shared import free_name, slices
 from .shingles import text_bytes
 
 UNKNOWN = "und"
@@ -224,8 +224,7 @@ def predict_languages(df: DataFrame, network: Network | None, *, text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for part in slices(batch, len(keep), rows=500):
                 langs, scores = predict_batch(network, part.column(len(keep)))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *into])
 

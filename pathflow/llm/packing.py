@@ -25,8 +25,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Codec, _slices, read_added, read_ranks
-from .shared import free_name
+from .bpe import Codec, read_added, read_ranks
+from .shared import free_name, slices
 
 #: Rows of a rank bucket: a length with more pieces is ranked in several tasks.
 BUCKET_ROWS = 4_000
@@ -180,7 +180,7 @@ def cut_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
-            for part in _slices(batch, len(keep)):
+            for part in slices(batch, len(keep)):
                 rows, starts, lengths, totals, ids = [], [], [], [], []
                 for k, text in enumerate(part.column(len(keep)).to_pylist()):
                     packed = own(text) + end

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of texts that an operator looks at together; its arrays take some fifty times as much.
+SLICE_BYTES = 1 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
@@ -52,6 +58,19 @@ def discard(*tables: DataFrame | None) -> None:
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``most`` bytes in one column, a row at least and ``rows`` at most."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    begin = total = 0
+    for i, n in enumerate(sizes):
+        if i > begin and (total + n > most or i - begin >= rows):
+            yield batch.slice(begin, i - begin)
+            begin, total = i, 0
+        total += n
+    if begin < len(sizes):
+        yield batch.slice(begin)
+
+
 def parallelism(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, free_name, written
+from .shared import discard, free_name, slices, written
 from .shingles import _BASE, _BASE_INVERSE, _M3, _powers, mix, text_bytes
 
 PREFIXES = (4, 5, 6, 7, 8)
@@ -144,8 +144,7 @@ def mine_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, settings: Settin
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 250):
-                part = batch.slice(a, 250)
+            for part in slices(batch, 1, rows=250):
                 owner, hashes, _ = distinct_features(part.column(1))
                 toxic = part.column(0).to_numpy(zero_copy_only=False)[owner] == 1
                 features, at = np.unique(hashes, return_inverse=True)
@@ -168,8 +167,7 @@ def collect_votes(sample: DataFrame, features: np.ndarray) -> tuple[np.ndarray,
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 250):
-                part = batch.slice(a, 250)
+            for part in slices(batch, 2, rows=250):
                 owner, hashes, patterns = batch_features(part.column(2))
                 found, m = presence(owner, hashes, features, part.num_rows), max(1, len(features))
                 edges = np.searchsorted(found // m, np.arange(part.num_rows + 1))
@@ -373,8 +371,7 @@ def score_texts(df: DataFrame, model: Model | None, *, text: str = "text", into:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for part in slices(batch, len(keep), rows=500):
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(score_batch(model, part.column(len(keep))), pa.float64())], names=[*keep, into])
 
     return kept.mapInArrow(run, schema)
