@@ -31,7 +31,7 @@ from .shared import free_name, slices
 #: Bytes, with what Python needs for an entry, that a generation of a worker's cache of chunks may hold; there are two of them, and two of a quarter for pre-tokens.
 CACHE_BYTES, ENTRY_BYTES = 48 << 20, 220
 #: Bytes of pre-tokens merged in one run of the queue; a longer one has a run of its own.
-RUN_BYTES = 1 << 17
+RUN_BYTES = 1 << 14
 
 
 class Merger:
