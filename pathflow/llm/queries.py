@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, fingerprint, html_text, jaccard, langid, packing, sharding, topk, toxicity, url_filter
+from . import bpe, fingerprint, html_text, infill, jaccard, langid, packing, sharding, topk, toxicity, url_filter
 from .shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fill-in-the-middle form, and the text rebuilt from it."""
+    out = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    rebuilt = infill.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(rebuilt, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_jaccard_join": op2_jaccard_join,
@@ -104,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op8_exact_topk": op8_exact_topk,
     "op9_sharding": op9_sharding,
     "op10_html_extraction": op10_html_extraction,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_url_filter": url_filter.SQL, "op8_exact_topk": topk.SQL}
+ORACLE_SQL: dict[str, str] = {"op7_url_filter": url_filter.SQL, "op8_exact_topk": topk.SQL, "op11_fill_in_middle": infill.SQL}
