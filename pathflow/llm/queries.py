@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, fingerprint, html_text, infill, jaccard, langid, packing, sharding, topk, toxicity, url_filter
+from . import bpe, conversation_trie, fingerprint, html_text, infill, jaccard, langid, packing, sharding, topk, toxicity, url_filter
 from .shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(rebuilt, 256).alias("restored_sha256"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    nodes = conversation_trie.prefix_trie(table(spark, sf_dir, "conversations")).nodes
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_jaccard_join": op2_jaccard_join,
@@ -112,6 +118,7 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": op9_sharding,
     "op10_html_extraction": op10_html_extraction,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_url_filter": url_filter.SQL, "op8_exact_topk": topk.SQL, "op11_fill_in_middle": infill.SQL}
+ORACLE_SQL: dict[str, str] = {"op7_url_filter": url_filter.SQL, "op8_exact_topk": topk.SQL, "op11_fill_in_middle": infill.SQL, "op12_conversation_trie": conversation_trie.SQL}
