@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, conversation_trie, fingerprint, html_text, infill, jaccard, langid, packing, sharding, topk, toxicity, url_filter
+from . import bpe, conversation_trie, fingerprint, html_text, infill, jaccard, langid, packing, quality, sharding, topk, toxicity, url_filter
 from .shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,18 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+#: Score from which a document's quality counts as good.
+GOOD_QUALITY = 0.3
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; a fifth of the ids is held out from learning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train_on(docs, table(spark, sf_dir, "labels"), learn=f"{remainder(5)} <> 0")
+    scored = quality.score_texts(docs, model)
+    return scored.select("doc_id", F.expr(f"{remainder(5)} = 0").alias("held_out"), "score", F.when(F.col("score") >= GOOD_QUALITY, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_jaccard_join": op2_jaccard_join,
@@ -119,6 +131,7 @@ QUERIES: dict[str, Query] = {
     "op10_html_extraction": op10_html_extraction,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_quality": op13_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_url_filter": url_filter.SQL, "op8_exact_topk": topk.SQL, "op11_fill_in_middle": infill.SQL, "op12_conversation_trie": conversation_trie.SQL}

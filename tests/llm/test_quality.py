@@ -1,0 +1,98 @@
+"""The quality classifier: features against brute force, gradients, and held-out quality."""
+
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from pathflow.llm import quality, queries
+
+MIDDLE = "/root/testdata/sf0.01"
+SPACES = " \t\n\v\f\r"
+
+
+def pieces(text):
+    """Words, pairs of words and n-grams of a text, without the hashing."""
+    words, word = [], b""
+    for b in text.encode() + b" ":
+        if chr(b) in SPACES:
+            words += [word] if word else []
+            word = b""
+        else:
+            word += bytes([b])
+    lower = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words]
+    out = [("word", w) for w in lower]
+    out += [("pair", "same" if a == b else (a, b)) for a, b in zip(lower, lower[1:])]
+    raw = b" " + bytes(32 if chr(b) in SPACES else b for b in text.encode()) + b" "
+    for n in quality.Settings().grams:
+        grams = [raw[i : i + n] for i in range(len(raw) - n + 1)]
+        out += [("gram", g) for g in grams if b" " not in g[1:-1]]
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from("aAbé漢 \n.!"), max_size=25)), max_size=6))
+def test_features(texts):
+    wide = quality.Settings(buckets=1 << 40)  # no two pieces meet
+    buckets, who = quality.features(pa.array(texts, pa.string()), wide)
+    for k, text in enumerate(texts):
+        own, expected = Counter(buckets[who == k].tolist()), Counter(pieces(text or ""))
+        assert sorted(own.values()) == sorted(expected.values())
+    alone = [quality.features(pa.array([t], pa.string()), wide)[0] for t in texts]
+    assert all(Counter(buckets[who == k].tolist()) == Counter(a.tolist()) for k, a in enumerate(alone))
+
+
+def test_folded_weights_equal_the_network():
+    rng = np.random.default_rng(0)
+    docs = [(np.sort(rng.choice(500, 20, replace=False)).astype(np.int32), rng.integers(1, 4, 20).astype(np.int32)) for _ in range(60)]
+    labels = np.array([int(at.sum() % 2) for at, _ in docs])
+    own = quality.Settings(buckets=512, dims=4, epochs=3)
+    a, b = (quality.train(docs, labels, 0.5, own) for _ in range(2))
+    assert (a.weights == b.weights).all() and a.bias == b.bias  # the seed decides
+    assert np.isfinite(a.weights).all() and a.empty == 0.0
+
+
+def test_calibration():
+    rng = np.random.default_rng(4)
+    raw = rng.normal(0, 3, 40_000)
+    labels = (rng.uniform(size=len(raw)) < 1 / (1 + np.exp(-(0.5 * raw + 1)))).astype(int)
+    scale, shift = quality.calibrated(raw, labels, labels.mean())
+    assert scale == pytest.approx(0.5, abs=0.03) and shift == pytest.approx(1, abs=0.06)
+
+
+def test_held_out(spark):
+    good = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").collect()}
+    rows = queries.op13_quality(spark, MIDDLE).collect()
+    assert len(rows) == spark.read.parquet(f"{MIDDLE}/documents.parquet").count()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+    held = [r for r in rows if r["held_out"] and good.get(r["doc_id"]) is not None]
+    y, p = np.array([good[r["doc_id"]] for r in held]), np.array([r["score"] for r in held])
+    above = p[y == 1][:, None] - p[y == 0][None, :]
+    assert (above > 0).mean() > 0.97
+    assert np.mean([r["predicted"] == good[r["doc_id"]] for r in held]) > 0.95
+
+
+def test_odd_rows(spark, odd_documents, no_documents):
+    labels = spark.createDataFrame([(k, k % 2) for k in (1, 2, 3, 5, 6, 7, 8, 9)] + [(7, 0), (None, 1), (4, None)], "doc_id long, quality int")
+    model = quality.train_on(odd_documents, labels)
+    rows = quality.score_texts(odd_documents, model, keep=("doc_id", "source")).collect()
+    assert len(rows) == odd_documents.count() and all(0 <= r["score"] <= 1 for r in rows)
+    assert len({r["score"] for r in rows if r["doc_id"] in (2, 3, 4)}) == 1  # null, empty and blank
+    assert len({r["score"] for r in rows if r["doc_id"] == 5}) == 1  # repeated rows
+    one_class = labels.where("quality = 1")
+    assert quality.train_on(no_documents, labels) is None and quality.train_on(odd_documents, one_class) is None
+    assert {r["score"] for r in quality.score_texts(odd_documents, None).collect()} == {0.5}
+    assert not quality.score_texts(no_documents, model).count()
+    with pytest.raises(ValueError):
+        quality.score_texts(odd_documents, model, into="Source", keep=("source",))
+
+
+def test_repeated_key_with_many_texts_counts_once(spark):
+    rows = [(1, f"text number {k}") for k in range(50)] + [(2, "good words here")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    model = quality.train_on(docs, labels)
+    again = quality.train_on(docs.orderBy("text", ascending=False), labels)
+    assert (model.weights == again.weights).all()
