@@ -23,22 +23,25 @@ def load(spark: SparkSession, config: Config, base: str) -> Network:
 
 
 def run(spark: SparkSession, config: Config, base: str, *, sweep: bool = False, out: str | None = None) -> str:
-    """The report's text; with ``out`` its tables are written there as well."""
+    """The reports' text; with ``out`` they are written there as tables as well, with the links' flows."""
     net = load(spark, config, base)
     if sweep:
-        found = alm.sweep(net, config)
+        reports = {"sweep": alm.sweep(net, config).orderBy("threshold_index")}
         if out:
-            found.write.mode("overwrite").parquet(f"{out.rstrip('/')}/sweep.parquet")
-        return "\n".join(report.sweep_text(r.asDict() for r in found.orderBy("threshold_index").collect()))
+            report.write_reports(reports, out)
+        return report.report_text(reports)
     values = threshold_values(net)
     if not 0 <= config.threshold_index < len(values):
-        raise ValueError(f"threshold_index={config.threshold_index} is out of range [0, {len(values) - 1}]")
+        raise ValueError(f"there are {len(values)} thresholds, numbered from 0; number {config.threshold_index} is out of range")
     p = alm.prepare(net, values[config.threshold_index], config)
     solved = alm.solve(p, config)
+    reports = report.input_reports(net) | report.solve_reports(p, solved, config.alm.tolerance)
+    text = f"Solve at threshold {p.threshold}\n\n" + report.report_text(reports)
     if out:
-        report.write_reports(spark, p, solved, out)
-    p.problem.release()
-    return f"Threshold {p.threshold}\n" + report.report_text(p, solved, config.alm.tolerance)
+        report.write_reports(reports | {"link_flows": alm.link_flow_frame(spark, p, solved)}, out)
+    solved.release()
+    p.release()
+    return text
 
 
 def main(arguments: Sequence[str] | None = None) -> None:

@@ -13,7 +13,6 @@ from .operators import linalg
 from .operators import network as nw
 from .plans import alm, fixtures
 from .plans.config import Config
-from .plans.problem import EVALUATORS, State
 from .sources.network import Network, network_from_star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,6 +155,10 @@ _on_network(
     "od_accuracy", lambda n: _rounded(asg.od_accuracy(reference_errors(n)), 4, "max_violation", "mean_violation", "mean_pct_error"),
     f"SELECT count(*) AS n_od, round(max(abs(violation)), 4) AS max_violation, round(avg(abs(violation)), 4) AS mean_violation, CAST(sum(CASE WHEN abs(violation) > 0.0001 THEN 1 ELSE 0 END) AS BIGINT) AS n_violated, round(avg(pct_error), 4) AS mean_pct_error FROM ({_SCALED})",
 )
+_on_network(
+    "threshold_counts", lambda n: _rounded(cls.threshold_counts(n), 4, "major_share", "major_flow", "flow_share"),
+    "SELECT threshold_index, threshold, count(*) FILTER (WHERE major) AS n_major, count(*) FILTER (WHERE NOT major) AS n_minor, round(100.0e0 * count(*) FILTER (WHERE major) / count(*), 4) AS major_share, round(coalesce(CAST(sum(flow) FILTER (WHERE major) AS DOUBLE), 0.0e0), 4) AS major_flow, round(100.0e0 * coalesce(CAST(sum(flow) FILTER (WHERE major) AS DOUBLE), 0.0e0) / CAST(sum(flow) AS DOUBLE), 4) AS flow_share FROM (SELECT listed.*, flow, CAST(flow AS DOUBLE) > threshold OR rn = 1 AS major FROM listed, ranked WHERE n_paths > 1) GROUP BY ALL",
+)
 _on_network(
     "od_violation_top5", lambda n: _rounded(asg.worst_pairs(reference_errors(n)), 6, "flow", "demand", "violation", "pct_error"),
     f"SELECT o_zone_id, d_zone_id, round(flow, 6) AS flow, round(demand, 6) AS demand, round(violation, 6) AS violation, round(pct_error, 6) AS pct_error FROM ({_SCALED}) ORDER BY abs(violation) DESC, o_zone_id, d_zone_id LIMIT 5",
@@ -267,35 +270,30 @@ def _prepared(spark: SparkSession, sf_dir: str, every: bool = False) -> alm.Prep
 @_register("evaluator_agreement")
 def evaluator_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value and gradient norm of every evaluator at one point, with their distance from the first."""
-    import numpy as np
+    return spark.createDataFrame(alm.agreement(_prepared(spark, sf_dir, every=True)), "evaluator string, value double, gradient_norm double, value_gap double, gradient_gap double")
+
 
-    p = _prepared(spark, sf_dir, every=True).problem
-    rng = np.random.default_rng(1)
-    state = State(rng.uniform(0, 100, p.n_major), rng.normal(0, 5, p.rank), rng.normal(0, 1, p.n_pairs), rng.uniform(0, 5, p.n_minor), 10.0, 5.0)
-    found = {name: p.value_and_gradient(state, name) for name in EVALUATORS}
-    f0, g0 = found["chain_rule"]
-    rows = [(name, f, float(np.linalg.norm(g)), abs(f - f0) / abs(f0), float(np.linalg.norm(g - g0) / np.linalg.norm(g0))) for name, (f, g) in found.items()]
-    return spark.createDataFrame(rows, "evaluator string, value double, gradient_norm double, value_gap double, gradient_gap double")
+def _solved(spark: SparkSession, sf_dir: str) -> tuple[alm.Prepared, alm.Solution]:
+    p = _prepared(spark, sf_dir)
+    return p, alm.solve(p)
 
 
 @_register("alm_history")
 def alm_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each outer turn of the solve."""
-    return alm.history_frame(spark, alm.solve(_prepared(spark, sf_dir)))
+    return alm.history_frame(spark, _solved(spark, sf_dir)[1])
 
 
 @_register("alm_summary")
 def alm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary row of the solve."""
-    p = _prepared(spark, sf_dir)
-    return alm.summary_frame(spark, [alm.summary_row(p, alm.solve(p))])
+    return alm.summary_frame(spark, [alm.summary_row(*_solved(spark, sf_dir))])
 
 
 @_register("alm_link_flows")
 def alm_link_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link volumes and travel times of the solve."""
-    p = _prepared(spark, sf_dir)
-    return alm.link_flow_frame(spark, p, alm.solve(p))
+    return alm.link_flow_frame(spark, *_solved(spark, sf_dir))
 
 
 @_register("threshold_sweep")

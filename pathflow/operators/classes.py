@@ -82,7 +82,7 @@ def threshold_values(net: Network, bins: int = 10) -> list[float]:
     places = lambda n: {i: n - 1 if i == bins else int(i * ((n - 1) / float(bins))) for i in range(bins + 1)}
     found = value_at(can_be_minor(net), "flow", places)
     if not found:
-        raise ValueError("No multi-path ODs found")
+        raise ValueError("every pair has one route: there is nothing to part")
     return list(dict.fromkeys([0.0] + [float(found[i]) for i in range(1, bins + 1)]))
 
 
@@ -91,6 +91,24 @@ def thresholds(net: Network, bins: int = 10) -> DataFrame:
     return net.routes.sparkSession.createDataFrame(list(enumerate(threshold_values(net, bins))), "threshold_index int, threshold double")
 
 
+def threshold_counts(net: Network, bins: int = 10) -> DataFrame:
+    """``threshold_index, threshold, n_major, n_minor, major_share, major_flow, flow_share`` at every threshold, by one pass over the routes.
+
+    A route is major where its flow is above the threshold; below the largest
+    flow of a pair its best route is major as well.  Shares are of the routes
+    with alternatives, in per cent.
+    """
+    values = threshold_values(net, bins)
+    several = ranked(net).where("n_paths > 1").withColumn("value", F.coalesce(F.when(~F.isnan(F.col("flow").cast("double")), F.col("flow").cast("double")), F.lit(0.0)))
+    major = lambda t: above(F.col("flow"), t) | F.col("is_best")
+    found = several.agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("flow"), *[F.count_if(major(t)).alias(f"n{i}") for i, t in enumerate(values)], *[F.coalesce(F.sum(F.when(major(t), F.col("value"))), F.lit(0.0)).alias(f"flow{i}") for i, t in enumerate(values)]
+    ).head()
+    share = lambda part, whole: 100.0 * part / whole if whole else 0.0
+    rows = [(i, t, found[f"n{i}"], found["n"] - found[f"n{i}"], share(found[f"n{i}"], found["n"]), found[f"flow{i}"], share(found[f"flow{i}"], found["flow"])) for i, t in enumerate(values)]
+    return net.routes.sparkSession.createDataFrame(rows, "threshold_index int, threshold double, n_major long, n_minor long, major_share double, major_flow double, flow_share double")
+
+
 def path_classes(net: Network, threshold: float, *, ensure_major: bool = True) -> DataFrame:
     """``route_id, o_zone_id, d_zone_id, flow, n_paths, class, promoted``.
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,21 +55,26 @@ class Svd:
         return self.v / self.sigma
 
 
-def _coordinates(rows: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    row, col, val, n = [], [], [], 0
-    for r in rows:
-        for link, mult in zip(r["links"], r["mults"], strict=True):
-            row.append(n)
-            col.append(link)
-            val.append(mult)
-        n += 1
-    yield np.array(row, np.int64), np.array(col, np.int64), np.array(val, float), n
-
-
-def slabs_of(incidence: DataFrame) -> RDD:
-    """A matrix (``path_idx, link_idx, mult``) as one set of coordinates for each partition, rows kept together."""
-    rows = incidence.groupBy("path_idx").agg(F.collect_list("link_idx").alias("links"), F.collect_list("mult").alias("mults"))
-    return rows.rdd.mapPartitions(_coordinates).persist(StorageLevel.MEMORY_AND_DISK)
+def _coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches (links, mults) as one set of coordinates."""
+    rows, cols, vals, n = [], [], [], 0
+    for batch in batches:
+        links, mults = (pc.fill_null(c, []) for c in batch.columns)
+        sizes = pc.list_value_length(links).to_numpy(zero_copy_only=False)
+        rows.append(n + np.repeat(np.arange(len(sizes)), sizes))
+        cols.append(pc.list_flatten(links).to_numpy(zero_copy_only=False))
+        vals.append(pc.list_flatten(mults).to_numpy(zero_copy_only=False))
+        n += len(sizes)
+    parts = [np.concatenate(x or [np.zeros(0)]).astype(t) for x, t in ((rows, np.int64), (cols, np.int64), (vals, float))]
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((*parts, n), pickle.HIGHEST_PROTOCOL)], pa.binary())], names=["slab"])
+
+
+def slabs_of(matrix: DataFrame) -> RDD:
+    """A matrix as one set of coordinates for each partition: rows with ``links, mults``, or entries ``path_idx, link_idx, mult``."""
+    if "links" not in matrix.columns:
+        matrix = matrix.groupBy("path_idx").agg(F.collect_list("link_idx").alias("links"), F.collect_list("mult").alias("mults"))
+    blobs = matrix.select(F.col("links").cast("array<long>"), F.col("mults").cast("array<double>")).mapInArrow(_coordinates, "slab binary")
+    return blobs.rdd.map(lambda r: pickle.loads(r["slab"])).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _pairs(slab: tuple, n_links: int) -> np.ndarray:

@@ -1,132 +1,107 @@
-"""Reports on a solve: tables as DataFrames, and the text that the command line prints."""
+"""Reports: each is a DataFrame, and one renderer prints any of them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..operators.classes import flow_deciles, multi_flow_range, threshold_counts
+from ..operators.network import chosen_volume, reference_stats, reference_volume
+from ..sources.network import Network
 from . import alm
 
-#: A pair's error above which the list of worst pairs names it.
+#: A pair's error above which it is among the worst pairs.
 SHOWN_ERROR = 0.01
-_RULE = "-" * 100
+#: Rows of a table that are printed.
+PRINTED = 40
+
+
+def input_reports(net: Network) -> dict[str, DataFrame]:
+    """What is known before a solve: reference volumes, the distribution of flows, and the classes at every threshold."""
+    stats = reference_stats(reference_volume(net)).withColumn("source", F.when(F.col("recompute"), "route flows").otherwise("table")).drop("recompute")
+    used = chosen_volume(net).agg(F.avg("ref_volume").alias("mean_used"), F.max("ref_volume").alias("max_used"))
+    return {"reference volumes": stats.crossJoin(used), "flow range": multi_flow_range(net), "flow deciles": flow_deciles(net), "classes by threshold": threshold_counts(net)}  # one row each
 
 
-def decomposition_frame(spark: SparkSession, p: alm.Prepared) -> DataFrame:
+def decomposition_frame(p: alm.Prepared) -> DataFrame:
     """``class, n_paths, path_share, flow, flow_share`` of majors and minors, singletons left out."""
-    n, flow = p.problem.n_major + p.problem.n_minor, p.major_flow + p.minor_flow
-    rows = [(k, c, 100.0 * c / n if n else 0.0, f, 100.0 * f / flow if flow > 0 else 0.0) for k, c, f in (("major", p.problem.n_major, p.major_flow), ("minor", p.problem.n_minor, p.minor_flow))]
-    return spark.createDataFrame(rows, "class string, n_paths long, path_share double, flow double, flow_share double")
+    q = p.problem
+    n, flow = q.n_major + q.n_minor, p.major_flow + p.minor_flow
+    rows = [(k, c, 100.0 * c / n if n else 0.0, f, 100.0 * f / flow if flow > 0 else 0.0) for k, c, f in (("major", q.n_major, p.major_flow), ("minor", q.n_minor, p.minor_flow))]
+    return p.pairs.sparkSession.createDataFrame(rows, "class string, n_paths long, path_share double, flow double, flow_share double")
 
 
-def worst_pairs(p: alm.Prepared, s: alm.Solution, n: int = 5) -> list[dict]:
-    """The pairs of the largest error, if above ``SHOWN_ERROR``: position among the pairs with several routes, zones, demand, flow and error."""
-    size = np.abs(s.errors)
-    best = np.lexsort((np.arange(len(size)), -size))[:n]
-    return [{"position": int(k), "o_zone_id": p.pairs[k][0], "d_zone_id": p.pairs[k][1], "demand": float(p.demand[k]), "flow": float(p.demand[k] + s.errors[k]), "error": float(size[k])} for k in best if size[k] > SHOWN_ERROR]
+def link_frame(p: alm.Prepared, s: alm.Solution) -> DataFrame:
+    """One row about the links' distance from their reference volumes; those above half their capacity are congested."""
+    off, busy = np.abs(s.volumes - p.v_ref), p.v_ref > 0.5 * p.problem.capacity
+    over = int((100 * off / (p.v_ref + 1e-10) > 10).sum())
+    row = (len(off), float(off.max(initial=0.0)), over, int(busy.sum()), float(off[busy].mean()) if busy.any() else None)
+    return p.pairs.sparkSession.createDataFrame([row], "n_links long, max_error double, n_over_10pct long, n_congested long, congested_mae double")
 
 
-def lowest_minors(s: alm.Solution, tolerance: float, n: int = 3) -> list[tuple[int, float]]:
-    """Positions and flows of the minor routes furthest below -tolerance."""
-    low = np.lexsort((np.arange(len(s.minor)), s.minor))[:n]
-    return [(int(k), float(s.minor[k])) for k in low if s.minor[k] < -tolerance]
+def pair_frame(flows: DataFrame, s: alm.Solution, tolerance: float) -> DataFrame:
+    """One row about the pairs' errors."""
+    size = F.abs("error")
+    own = flows.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(size > tolerance).alias("n_violated"), F.coalesce(F.max(size), F.lit(0.0)).alias("max_error"), F.coalesce(F.avg(size), F.lit(0.0)).alias("mean_error"))
+    return own.select("*", *[F.lit(float(s.pair_fit[k])).alias(k) for k in ("r2", "mae", "rmse")])
 
 
-def decomposition_text(p: alm.Prepared) -> list[str]:
-    q = p.problem
-    n, flow, used = q.n_major + q.n_minor, p.major_flow + p.minor_flow, q.n_major + q.rank
-    share, flow_share = (100.0 * q.n_major / n if n else 0.0), (100.0 * p.major_flow / flow if flow > 0 else 0.0)
-    out = [
-        "  Decomposition:",
-        f"    Major: {q.n_major} paths ({share:.1f}%), flow: {p.major_flow:.2f} ({flow_share:.1f}%)",
-        f"    Minor: {q.n_minor} paths ({100 - share:.1f}%), flow: {p.minor_flow:.2f} ({100 - flow_share:.1f}%)",
-    ]
-    if q.rank:
-        out.append(f"  SVD: {q.n_minor} minor paths to {q.rank} latent variables (compression: {q.n_minor / q.rank:.2f}x, time: {p.svd_seconds:.3f}s)")
-    return [*out, f"  Total decision variables: {used} (of {n} paths)"]
-
-
-def history_text(s: alm.Solution) -> list[str]:
-    out = [f"{'Outer':>6} {'Inner':>6} {'Status':>6} {'Objective':>12} {'OD Viol':>10} {'Minor Viol':>11} {'c1':>10} {'c2':>10} {'Link R2':>8} {'Inner(s)':>10} {'Outer(s)':>10}", _RULE]
-    for h in s.history:
-        status = "S" if h["inner_ok"] else "F"
-        out.append(
-            f"{h['outer_iter']:>6} {h['inner_iter']:>6} {status:>6} {h['objective']:>12.4e} {h['od_violation']:>10.7f} {h['minor_violation']:>11.7f} "
-            f"{h['c1']:>10.2e} {h['c2']:>10.2e} {h['link_r2']:>8.4f} {h['inner_seconds']:>10.3f} {h['seconds']:>10.3f}"
-        )
-    return out
-
-
-def link_text(p: alm.Prepared, s: alm.Solution) -> list[str]:
-    off = s.volumes - p.v_ref
-    busy = p.v_ref > 0.5 * p.problem.capacity
-    out = [
-        "  Link Volume Analysis:",
-        f"    Max absolute error: {np.abs(off).max(initial=0.0):.2f}",
-        f"    Links with >10% error: {int((np.abs(100 * off / (p.v_ref + 1e-10)) > 10).sum())}/{len(off)}",
-        f"    Congested links (>50% capacity): {int(busy.sum())}",
-    ]
-    return [*out, f"    Congested links MAE: {np.abs(off[busy]).mean():.2f}"] if busy.any() else out
-
-
-def pair_text(p: alm.Prepared, s: alm.Solution, tolerance: float) -> list[str]:
-    size, pairs = np.abs(s.errors), alm.fit(p.demand + s.errors, p.demand)
-    out = [
-        "  OD Constraint Details:",
-        f"    R2: {pairs['r2']:.6f}, MAE: {pairs['mae']:.6f}, RMSE: {pairs['rmse']:.6f}",
-        f"    Max violation: {size.max(initial=0.0):.7f}, mean violation: {size.mean() if len(size) else 0.0:.7f}",
-        f"    OD pairs violated (>{tolerance}): {int((size > tolerance).sum())}/{len(size)}",
-    ]
-    for k, w in enumerate(worst_pairs(p, s)[:3], 1):
-        out.append(f"      {k}. OD #{w['position']} ({w['o_zone_id']} to {w['d_zone_id']}): demand={w['demand']:.1f}, predicted={w['flow']:.1f}, error={w['error']:.7f}")
-    out.append("  Minor Path Non-negativity Details:")
-    low = s.minor[s.minor < -tolerance]
-    if not len(s.minor):
-        return [*out, "    No minor paths in this decomposition"]
-    if not len(low):
-        return [*out, f"    All {len(s.minor)} minor paths have non-negative flow"]
-    out += [f"    Minor paths with negative flow: {len(low)}/{len(s.minor)}", f"    Min flow: {low.min():.7f}, mean negative flow: {low.mean():.7f}, max violation: {-low.min():.7f}"]
-    return out + [f"      {k}. Path #{at}: flow={u:.7f}" for k, (at, u) in enumerate(lowest_minors(s, tolerance), 1)]
-
-
-def summary_text(row: dict) -> list[str]:
-    return [
-        "  Summary:",
-        f"    Converged: {row['converged']} ({row['reason']})",
-        f"    BPR: {row['bpr']:.4e} | Reference: {row['bpr_ref']:.4e} | Difference: {row['bpr_gap_pct']:.6f}%",
-        f"    Link Volume R2: {row['link_r2']:.6f}, MAE: {row['link_mae']:.6f}",
-        f"    Travel Time R2: {row['tt_r2']:.6f}, MAE: {row['tt_mae']:.6f}",
-        f"    Time: SVD={row['svd_seconds']:.6f}s, optimisation={row['seconds']:.6f}s, per outer={row['seconds_per_outer']:.6f}s, per inner={row['seconds_per_inner']:.6f}s",
-        f"    Variables reduced by: {row['reduction_pct']:.2f}%",
-        f"    Speedup upper bound: {row['speedup_bound']:.2f}x",
-    ]
-
-
-#: Columns of the sweep's table with their widths and formats.
-SWEEP = (
-    ("threshold", 10, ".2f"), ("n_major", 12, ",d"), ("n_minor", 12, ",d"), ("rank", 6, ",d"), ("compression_ratio", 18, ".2f"), ("reduction_pct", 14, ".2f"), ("link_r2", 9, ".4f"), ("bpr_gap_pct", 12, ".3f"),
-    ("od_violation", 13, ".7f"), ("minor_violation", 16, ".7f"), ("seconds", 10, ".2f"), ("speedup", 9, ".2f"), ("speedup_bound", 14, ".2f"), ("converged", 10, ""), ("reason", 18, ""),
-)
-
-
-def sweep_text(rows: Iterable[dict]) -> list[str]:
-    """The table of a sweep: a header and a line for each threshold."""
-    cell = lambda r, c, w, f: f"{str(r[c]) if isinstance(r[c], bool) else r[c]:>{w}{f}}"
-    return [" ".join(f"{c:>{w}}" for c, w, _ in SWEEP), *(" ".join(cell(r, *x) for x in SWEEP) for r in rows)]
-
-
-def report_text(p: alm.Prepared, s: alm.Solution, tolerance: float) -> str:
-    """Everything about one solve."""
-    parts = decomposition_text(p), history_text(s), link_text(p, s), pair_text(p, s, tolerance), summary_text(alm.summary_row(p, s))
-    return "\n".join(line for part in parts for line in part)
+def worst_pairs(flows: DataFrame, n: int = 5) -> DataFrame:
+    """The pairs of the largest error, if above ``SHOWN_ERROR``: number among the pairs with several routes, zones, demand, flow and error."""
+    size = F.abs("error")
+    worst = flows.where(size > SHOWN_ERROR).orderBy(size.desc(), "pair_no").limit(n)
+    return worst.select("pair_no", "o_zone_id", "d_zone_id", "demand", (F.col("demand") + F.col("error")).alias("flow"), size.alias("error"))
+
+
+def minor_frame(routes: DataFrame, tolerance: float) -> DataFrame:
+    """One row about minor routes below -tolerance."""
+    flow = F.when(F.col("flow") < -tolerance, F.col("flow"))
+    return routes.where("class = 'minor'").agg(F.count(F.lit(1)).alias("n_minor"), F.count(flow).alias("n_negative"), F.min(flow).alias("lowest"), F.avg(flow).alias("mean_negative"))
+
+
+def lowest_minors(routes: DataFrame, tolerance: float, n: int = 3) -> DataFrame:
+    """Numbers and flows of the minor routes furthest below -tolerance."""
+    return routes.where((F.col("class") == "minor") & (F.col("flow") < -tolerance)).select("no", "flow").orderBy("flow", "no").limit(n)
 
 
-def write_reports(spark: SparkSession, p: alm.Prepared, s: alm.Solution, folder: str) -> None:
-    """Summary, history, link flows and decomposition as Parquet tables in a folder."""
-    tables = {
-        "summary": alm.summary_frame(spark, [alm.summary_row(p, s)]), "history": alm.history_frame(spark, s), "link_flows": alm.link_flow_frame(spark, p, s), "decomposition": decomposition_frame(spark, p),
+def solve_reports(p: alm.Prepared, s: alm.Solution, tolerance: float) -> dict[str, DataFrame]:
+    """Everything about one solve."""
+    spark = p.pairs.sparkSession
+    pairs, routes = s.pair_flows(p), s.route_flows(p)
+    return {
+        "decomposition": decomposition_frame(p), "history": alm.history_frame(spark, s), "links": link_frame(p, s), "pairs": pair_frame(pairs, s, tolerance), "worst pairs": worst_pairs(pairs),
+        "minor routes": minor_frame(routes, tolerance), "lowest minor routes": lowest_minors(routes, tolerance), "summary": alm.summary_frame(spark, [alm.summary_row(p, s)]),
     }
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def cell(value: object) -> str:
+    """A value as text: numbers with six significant digits, nothing for null."""
+    if value is None:
+        return ""
+    return f"{value:.6g}" if isinstance(value, float) else str(value)
+
+
+def rendered(title: str, df: DataFrame, most: int = PRINTED) -> list[str]:
+    """A title and a table: names beside values for one row, else a line for each of the first rows."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) == 1:
+        width = max(map(len, df.columns))
+        body = [f"  {name:<{width}}  {cell(value)}" for name, value in zip(df.columns, rows[0], strict=True)]
+    else:
+        table = [df.columns, *([cell(v) for v in r] for r in rows[:most])]
+        widths = [max(len(line[i]) for line in table) for i in range(len(df.columns))]
+        body = ["  " + "  ".join(text.rjust(w) for text, w in zip(line, widths, strict=True)) for line in table] if rows else ["  (none)"]
+        body += ["  ..."] if len(rows) > most else []
+    return [f"[{title}]", *body, ""]
+
+
+def report_text(reports: dict[str, DataFrame]) -> str:
+    """All reports, one after the other."""
+    return "\n".join(line for title, df in reports.items() for line in rendered(title, df))
+
+
+def write_reports(reports: dict[str, DataFrame], folder: str) -> None:
+    """Reports as Parquet tables in a folder, named after their titles."""
+    for title, df in reports.items():
+        df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{title.replace(' ', '_')}.parquet")

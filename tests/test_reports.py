@@ -140,25 +140,34 @@ def test_bounds_of_compressed_solves(spark, index, most):
 
 def test_report(spark, data, tmp_path):
     text = cli.run(spark, Config(), str(data), out=str(tmp_path))
-    for part in ("Major: 5 paths (83.3%)", "1 minor paths to 1 latent", "Total decision variables: 6 (of 6 paths)", "Congested links (>50% capacity): 5", "Converged: True"):
-        assert part in text, part
-    tables = {t: spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("summary", "history", "link_flows", "decomposition")}
-    assert tables["summary"].count() == 1 and tables["link_flows"].count() == 6
+    for title in ("reference volumes", "flow deciles", "classes by threshold", "decomposition", "history", "links", "pairs", "minor routes", "summary"):
+        assert f"[{title}]" in text, title
+    tables = {t: spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("summary", "history", "link_flows", "decomposition", "links", "classes_by_threshold", "flow_deciles")}
+    assert tables["summary"].count() == 1 and tables["link_flows"].count() == 6 and tables["links"].head()["n_congested"] == 5
     assert {r["class"]: r["path_share"] for r in tables["decomposition"].collect()} == pytest.approx({"major": 100 * 5 / 6, "minor": 100 / 6})
+    assert [r["n_major"] for r in tables["classes_by_threshold"].orderBy("threshold_index").collect()] == [5, 4, 3, 2, 1]
     with pytest.raises(ValueError, match="out of range"):
         cli.run(spark, Config(threshold_index=9), str(data))
 
 
 def test_sweep_table(spark, data):
     lines = cli.run(spark, Config(), str(data), sweep=True).split("\n")
-    assert len(lines) == 6 and lines[0].split()[:3] == ["threshold", "n_major", "n_minor"] and [line.split()[1] for line in lines[1:]] == ["5", "4", "3", "2", "1"]
+    assert lines[0] == "[sweep]" and lines[1].split()[:3] == ["threshold_index", "threshold", "n_major"] and [line.split()[2] for line in lines[2:7]] == ["5", "4", "3", "2", "1"]
 
 
 def test_violation_reports(spark):
-    net = fixtures.two_corridor(spark)
-    p = alm.prepare(net, 100.0)
+    p = alm.prepare(fixtures.two_corridor(spark), 100.0)
     s = alm.solve(p, Config(alm=AlmSettings(max_outer_iter=1, max_inner_iter=1)))
     s.errors, s.minor = np.array([-3.0]), np.array([0.5, -0.2, -0.7])
-    text = "\n".join(report.pair_text(p, s, 1e-4))
-    assert "OD #0 (1 to 2): demand=2000.0, predicted=1997.0, error=3.0" in text and "negative flow: 2/3" in text and "1. Path #2: flow=-0.7" in text
-    assert report.worst_pairs(p, s)[0]["position"] == 0 and report.lowest_minors(s, 1e-4) == [(2, -0.7), (1, -0.2)]
+    found = report.solve_reports(p, s, 1e-4)
+    assert [tuple(r) for r in found["worst pairs"].collect()] == [(0, 1, 2, 2000.0, 1997.0, 3.0)]
+    assert found["pairs"].head()[:4] == (1, 1, 3.0, 3.0)
+    assert found["minor routes"].head()[:] == pytest.approx((3, 2, -0.7, -0.45))
+    assert [tuple(r) for r in found["lowest minor routes"].collect()] == [(2, -0.7), (1, -0.2)]
+
+
+def test_rendering(spark):
+    many = spark.createDataFrame([(k, None if k else 1234567.891, "x" * k) for k in range(5)], "a int, b double, c string")
+    assert report.rendered("t", many, most=3) == ["[t]", "  a            b   c", "  0  1.23457e+06    ", "  1                x", "  2               xx", "  ...", ""]
+    assert report.rendered("t", many.limit(1)) == ["[t]", "  a  0", "  b  1.23457e+06", "  c  ", ""]
+    assert report.rendered("t", many.where("false")) == ["[t]", "  (none)", ""]
