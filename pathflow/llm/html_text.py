@@ -2,20 +2,19 @@
 
 A page is a sequence of tags and words.  Words score above zero, tags below
 zero, and the contiguous run of the highest total is the content region; one
-linear scan finds it.  The scores come from labelled pages: pages that mark
-their content with ``<article>`` or ``<main>`` show how often each tag and each
-kind of word (plain or link text) stands inside and outside of it.  On a page
-that marks its content, a border of it costs as much as what pages commonly hold
-outside, and tags within it cost next to nothing.
-
-The same pages show which elements are no content: elements of a tag, or with a
-word in class, id or role, whose words stand outside of the marked content.
-Such an element is one item of the sequence, with a penalty, and is not part of
-the returned text; so an advert within an article neither ends it nor stays.
-For names that labelled pages don't hold a list of the usual ones serves as
-prior.  A name is weaker evidence than a tag: an element that is cut for its
-name, or a form, stays if it holds so much of the page's remaining words
-(``SPARED``) that it must be a wrapper of the content.
+linear scan finds it.  The scores come from labelled pages, those that mark their
+content with ``<article>`` or ``<main>``: with the marks hidden, each tag's score
+follows from how often it stands inside and outside of the content, and the
+words' score is the one with which the scan finds the content best.
+
+On a page that marks its content the scan goes over what is marked, of all such
+elements.  Elements that are no content by their tag or their whole name, and
+reader comments, are no part of any page.  A name of which only a part tells, a
+name that labelled pages show outside of their content, and a form are doubtful:
+they may as well wrap the content.  Doubtful words score a tenth and their
+borders cost, so the scan decides; a doubtful element that begins within the run
+is left out.  No rule asks for an element's size.  Where nothing would be left
+of a page that has words, doubtful elements stay, and if need be named ones.
 """
 
 from __future__ import annotations
@@ -26,6 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,10 +50,14 @@ _EMPTY = frozenset("svg canvas math".split())  # without content where they end
 _NEVER = frozenset("nav footer aside head button select option menu dialog svg canvas object audio video map datalist search math".split())
 #: Tags that any part of a page is made of, and that tell nothing by themselves.
 _PLAIN = frozenset("html body main article section div span p a b i em strong u s small sub sup br hr h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th pre code blockquote q cite figure figcaption img picture time details summary abbr font center mark".split())
+#: Prior: words that name readers' comments, in whatever company.
+_COMMENTS = frozenset("comment comments commentlist disqus discussion discussions reply replies respond".split())
+#: Words of a name that tell of an element's state, as in "comments-open".
+_STATES = frozenset("open closed on off enabled disabled allowed active".split())
 #: Prior: words in class, id or role that name something other than the article.
 _ASIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation footer header "
-    "masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments commentlist disqus reply replies respond "
+    "masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay "
     "share sharing social related recommended recommendations subscribe subscription newsletter breadcrumb breadcrumbs pagination pager widget "
     "login signup search searchbox skip contentinfo complementary".split()
 )
@@ -63,13 +67,17 @@ _KEPT = frozenset("html body main".split())
 _SCORED = frozenset("p b i em strong a br span div ul ol li dl dt dd table tr td th tbody thead h1 h2 h3 h4 h5 h6 section header nav footer aside form blockquote pre code img figure figcaption hr article main body html".split())
 
 #: Scores used where no page is labelled.
-DEFAULT_WEIGHTS = {"word": 1.0, "link word": 0.1, "tag": -0.15, "cut": -5.0, "edge": -10.0}
-#: Words score at least this, tags at most that; the method asks for the signs alone.
-LEAST_WORD, MOST_TAG = 0.1, -0.02
+DEFAULT_WEIGHTS = {"word": 1.0, "tag": -0.15, "cut": -5.0, "doubt": -2.5}
+#: Scores that are tried for a word.
+WORD_SCORES = (0.05, 0.1, 0.2, 0.3, 0.5, 0.8, 1.2, 2.0)
+#: Words in links and in doubtful elements score this part of others.
+LESS = 0.1
+#: Tags score at most this; the method asks for the sign alone.
+MOST_TAG = -0.02
 #: An element's name or tag is learned as no content from this log-odds of its words, and from so many labelled pages.
 ASIDE_ODDS, ASIDE_PAGES = -2.0, 3
-#: Share of the remaining words above which an element stays: named by a whole class ("comments"), and by a part of one ("social-wrap"), by a learned name, or a form.
-SPARED = {"named": 0.9, "partly": 0.5}
+#: What is left out of a page, from all that is known as no content to what is so by its tag alone.
+LEVELS = (frozenset({"always", "named", "doubtful"}), frozenset({"always", "named"}), frozenset({"always"}))
 
 
 def _names(attrs: str) -> Iterator[list[str]]:
@@ -83,19 +91,21 @@ def _names(attrs: str) -> Iterator[list[str]]:
 
 
 def _kind(tag: str, attrs: str, marked: bool, weights: dict[str, float]) -> str:
-    """How an element is known as no content: "always" by its tag, "named" by a whole name, "partly" by a word of one or a learned name, or "".
+    """How an element is known as no content: "always" by its tag, "named" by a whole name or as comments, "doubtful" by a word of a name, a learned name or as a form, or "".
 
-    An article's own header is content.  A learned weight goes before the prior.
+    An article's own header is content.
     """
     if tag in _NEVER or (tag == "header" and not marked):
         return "always"
-    found = "partly" if tag == "form" or weights.get(f"<{tag}>", 0.0) <= ASIDE_ODDS and not (marked and tag == "header") else ""
+    found = "doubtful" if tag == "form" or weights.get(f"<{tag}>", 0.0) <= ASIDE_ODDS and not (marked and tag == "header") else ""
     for words in _names(attrs):
+        if not _STATES.isdisjoint(words):
+            continue
         aside = _ASIDE.intersection(words) - ({"header"} if marked else set())
-        if aside and len(words) == 1:
+        if not _COMMENTS.isdisjoint(words) or (aside and len(words) == 1):
             return "named"
         if aside or any(weights.get("." + w, 0.0) <= ASIDE_ODDS for w in words):
-            found = "partly"
+            found = "doubtful"
     return found
 
 
@@ -156,68 +166,66 @@ def _no_content(found: list[re.Match], i: int) -> bool:
     return (found[i]["tag"] or "").lower() in _EMPTY and found[i]["attrs"].endswith("/>")
 
 
-def _cuts(page: str, found: list[re.Match], weights: dict[str, float]) -> dict[int, tuple[int, bool]]:
-    """The elements to cut out: position of the start tag in ``found``, with the position that ends it and whether that is its own end tag."""
-    kinds, ends, _ = _extents(found, lambda tag, attrs, marked: _kind(tag, attrs, marked, weights))
-    if not kinds:
-        return {}
-    cuts = {}
-    words = _gap_words(page, found) if set(kinds.values()) != {"always"} else [0] * (len(found) + 1)
-    for kind in ("always", "named", "partly"):
-        before = [0, *itertools.accumulate(words)]  # without the words of elements already cut
-        reach = -1
-        for i, k in kinds.items():
-            if k != kind or i < reach:
-                continue
-            at = i if _no_content(found, i) else ends[i][0]
-            if kind != "always" and before[at + 1] - before[i + 1] > SPARED[kind] * before[-1]:
-                continue
-            cuts[i], reach = ends[i], at
-            words[i + 1 : at + 1] = [0] * (at - i)
-    return cuts
-
-
-def tokens(page: str, weights: dict[str, float] | None = None) -> Iterator[tuple[str, str, bool]]:
-    """(kind, value, inside marked content) in page order.
-
-    Kinds: ``tag`` (name, a leading ``/`` on end tags), ``word`` and ``link
-    word`` (a run of decoded text), ``edge`` (a border of marked content) and,
-    with weights, ``cut`` (an element that was cut out).
-    """
-    at, links, marked, until, own = 0, 0, 0, -1, False
+@dataclass(frozen=True)
+class Item:
+    """A piece of a page: a ``tag`` (name, a leading ``/`` on end tags), a ``word`` or ``link word`` (a run of decoded text), a ``cut`` (an element left out), or a ``doubt`` (a border of a doubtful element)."""
+
+    kind: str
+    value: str
+    inside: bool  # within marked content
+    doubt: int = 0  # number of the innermost doubtful element around it
+    outer: int = 0  # and of the outermost
+
+
+def items(page: str, weights: dict[str, float] | None = None, level: frozenset = LEVELS[0]) -> Iterator[Item]:
+    """The pieces of a page in order, without what ``level`` leaves out; with no weights, all of them."""
     found = list(_TOKEN.finditer(page))
-    cuts = _cuts(page, found, weights) if weights is not None else {}
+    kinds, ends = {}, {}
+    if weights is not None:
+        kinds, ends, _ = _extents(found, lambda tag, attrs, marked: _kind(tag, attrs, marked, weights))
+        kinds = {i: k for i, k in kinds.items() if k in level}
+    at, links, marked, until, own = 0, 0, 0, -1, False
+    doubts: list[tuple[int, int, bool]] = []  # numbers and ends, and whether these are their own end tags
 
-    def text(piece: str):
-        if piece:
-            yield ("link word" if links else "word"), html.unescape(piece) if "&" in piece else piece, marked > 0
+    def piece(kind: str, value: str) -> Item:
+        return Item(kind, value, marked > 0, doubts[-1][0] if doubts else 0, doubts[0][0] if doubts else 0)
+
+    def text(run: str) -> Iterator[Item]:
+        if run:
+            yield piece("link word" if links else "word", html.unescape(run) if "&" in run else run)
 
     for i, m in enumerate(found):
+        while doubts and doubts[-1][2] and i > doubts[-1][1]:
+            yield piece("doubt", "/")
+            doubts.pop()
         if m.start() > at and i > until:
             yield from text(page[at : m.start()])
         at = m.end()
+        while doubts and i >= doubts[-1][1] + doubts[-1][2]:
+            yield piece("doubt", "/")
+            doubts.pop()
         tag = m["tag"]
         if i < until or (i == until and own) or tag is None:
             continue
-        tag, end, attrs = tag.lower(), bool(m["end"]), m["attrs"]
-        if i in cuts:
+        tag, end = tag.lower(), bool(m["end"])
+        if kinds.get(i) in ("always", "named"):
             if not _no_content(found, i):
-                until, own = cuts[i]
-            yield "cut", tag, marked > 0
+                until, own = ends[i]
+            yield piece("cut", tag)
             continue
+        if i in kinds and not _no_content(found, i):
+            doubts.append((i + 1, *ends[i]))
+            yield piece("doubt", tag)
         if tag == "a":
             links = max(0, links + (-1 if end else 1))
         elif tag in _BLOCKS and links:
             links = 0  # an unclosed link ends with its block
         if tag in ("article", "main"):
-            if not end and not marked:
-                yield "edge", tag, False
-            was, marked = marked, max(0, marked + (-1 if end else 1))
-            if was and not marked:
-                yield "tag", "/" + tag, True
-                yield "edge", "/" + tag, False
-                continue
-        yield "tag", "/" + tag if end else tag, marked > 0
+            marked = max(0, marked + (-1 if end else 1))
+        yield piece("tag", "/" + tag if end else tag)
+    while doubts and doubts[-1][2]:
+        yield piece("doubt", "/")
+        doubts.pop()
     if at < len(page) and until < len(found):
         yield from text(page[at:])
 
@@ -234,57 +242,91 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return at
 
 
-def scored(page: str, weights: dict[str, float]) -> tuple[list[tuple[str, str]], list[float]]:
-    """The items (kind, value) of a page and their scores."""
-    items, scores = [], []
-    tag_weight, cut_weight, edge = weights["tag"], weights["cut"], weights["edge"]
-    for kind, value, inside in tokens(page, weights):
-        items.append((kind, value))
-        if kind == "tag":
-            scores.append(MOST_TAG if inside else weights.get(value.removeprefix("/"), tag_weight))
-        elif kind == "cut":
-            scores.append(MOST_TAG if inside else cut_weight)  # an advert within marked content doesn't end it
-        elif kind == "edge":
-            scores.append(edge)
+def scores_of(pieces: list[Item], weights: dict[str, float]) -> list[float]:
+    """The pieces' scores, as if no content were marked."""
+    out = []
+    for x in pieces:
+        if x.kind == "tag":
+            name = x.value.removeprefix("/")
+            out.append(MOST_TAG if x.doubt else weights.get("div" if name in ("article", "main") else name, weights["tag"]))
+        elif x.kind in ("cut", "doubt"):
+            out.append(weights[x.kind])
         else:
-            scores.append(weights[kind] * len(value.split()))
-    return items, scores
+            out.append(weights["word"] * (LESS if x.kind == "link word" else 1.0) * (LESS if x.doubt else 1.0) * len(x.value.split()))
+    return out
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> str:
-    """Text of the best region: blocks in page order joined by two newlines, white space within a block as one space."""
-    if not page:
-        return ""
-    items, scores = scored(page, weights)
-    start, end = best_region(scores)
+def _has_words(x: Item) -> bool:
+    return x.kind.endswith("word") and bool(x.value.strip())
+
+
+def _within_marks(own: list[Item]) -> list[Item]:
+    """Marked pieces from the first word to the last: all tags together cost less than a word."""
+    start, end = best_region([len(x.value.split()) if x.kind.endswith("word") else -0.5 / len(own) for x in own])
+    return own[start:end]
+
+
+def region(pieces: list[Item], weights: dict[str, float], *, hidden: bool = False) -> list[Item]:
+    """The pieces of the best run; with ``hidden``, marks are of no account.
+
+    Marks count where they don't stand in a doubtful element.  The scan decides
+    between a doubtful element and what is around it.
+    """
+    if not hidden and any(x.inside and not x.outer and _has_words(x) for x in pieces):
+        return _within_marks([x for x in pieces if x.inside and not x.doubt])
+    start, end = best_region(scores_of(pieces, weights))
+    run = pieces[start:end]
+    around = {x.outer for x in run}
+    if len(around) == 1 and (d := around.pop()):
+        # the content lies in a doubtful element, which so is a wrapper: scan again within it
+        plain = [replace(x, doubt=0, outer=0) if x.doubt == d else replace(x, outer=x.doubt) for x in pieces if x.outer == d and not (x.kind == "doubt" and x.doubt == d)]
+        return region(plain, weights, hidden=hidden)
+    within = {x.doubt for x in run if x.kind == "doubt" and x.value != "/"}
+    return [x for x in run if x.doubt not in within]
+
+
+def joined(run: list[Item]) -> str:
+    """Text of pieces: blocks joined by two newlines, white space within a block as one space."""
     blocks, now = [], []
-    for kind, value in items[start:end]:
-        if kind in ("tag", "cut", "edge"):
-            name = value.removeprefix("/")
-            if name == "br":
-                now.append(" ")
-            elif name in _BLOCKS and now:
-                blocks.append(now)
-                now = []
-        else:
-            now.append(value)
-    joined = (" ".join("".join(b).split()) for b in [*blocks, now])
-    return "\n\n".join(b for b in joined if b)
+    for x in run:
+        if x.kind.endswith("word"):
+            now.append(x.value)
+            continue
+        name = x.value.removeprefix("/")
+        if name == "br":
+            now.append(" ")
+        elif (name in _BLOCKS or x.kind == "doubt") and now:
+            blocks.append(now)
+            now = []
+    texts = (" ".join("".join(b).split()) for b in [*blocks, now])
+    return "\n\n".join(b for b in texts if b)
+
+
+def main_text(page: str | None, weights: dict[str, float]) -> str:
+    """Text of the best run, with as much left out as leaves any word."""
+    for level in LEVELS if page else ():
+        text = joined(region(list(items(page, weights, level)), weights))
+        if text:
+            return text
+    return ""
 
 
 def evidence(page: str) -> Counter:
     """What a labelled page tells: counts by (feature, inside).
 
-    Features are tags, ``word`` and ``link word`` by their numbers; ``<tag>``
-    and ``.name`` of elements by their words; with None for inside, the page
-    itself under each of the latter, and under ``page``.
+    Features are tags and ``word`` by their numbers; ``<tag>`` and ``.name`` of
+    elements by their words; with None for inside, the page itself under each of
+    the latter.
     """
     seen: Counter = Counter()
-    for kind, value, inside in tokens(page):
-        n = 1 if kind == "tag" else len(value.split())
-        name = value.removeprefix("/")
-        if n and kind != "edge":
-            seen[(name if name in _SCORED else "tag") if kind == "tag" else kind, inside] += n
+    for x in items(page):
+        n, name = 1 if x.kind == "tag" else len(x.value.split()), x.value.removeprefix("/")
+        if x.kind != "tag":
+            seen["word", x.inside] += n
+        elif name in ("article", "main"):
+            seen["div", False] += 1  # hidden, the mark is a border
+        else:
+            seen[name if name in _SCORED else "tag", x.inside] += 1
     found = list(_TOKEN.finditer(page))
     kinds, ends, marks = _extents(found, lambda tag, attrs, marked: "any" if tag not in _PLAIN or "=" in attrs else "")
     words, told = _gap_words(page, found), set()
@@ -299,22 +341,38 @@ def evidence(page: str) -> Counter:
             seen[f, True] += within
             seen[f, False] += total - within
             told.add(f)
-    seen.update({(f, None): 1 for f in told | {"page"}})
+    seen.update({(f, None): 1 for f in told})
     return seen
 
 
+def agreement(page: str, weights: dict[str, float], level: frozenset = frozenset()) -> list[float]:
+    """For every score of a word, how well the scan with the marks hidden finds a page's marked words (F1)."""
+    pieces = list(items(page, weights, level))
+    whole = sum(len(x.value.split()) for x in pieces if x.inside and x.kind.endswith("word"))
+    out = []
+    for score in WORD_SCORES:
+        run = [x for x in region(pieces, weights | {"word": score, "cut": DEFAULT_WEIGHTS["cut"] * score, "doubt": DEFAULT_WEIGHTS["doubt"] * score}, hidden=True) if x.kind.endswith("word")]
+        right = sum(len(x.value.split()) for x in run if x.inside)
+        out.append(2 * right / max(1, whole + sum(len(x.value.split()) for x in run)))
+    return out
+
+
 def learn_weights(pages: DataFrame, *, html_column: str = "html", key: str = "page_id", label_pages: int = 500, smoothing: float = 0.1) -> dict[str, float]:
     """Scores of tags and words, and elements that are no content, from labelled pages.
 
     At most ``label_pages`` different pages with ``<article>`` or ``<main>``
     serve, those of the smallest hash of key and page; that bound is the only
-    sample, and the pages stay where they are read.  A feature's score is the
+    sample, and the pages stay where they are read.  A tag's score is the
     log-odds of its rate inside against that outside, both smoothed by a share of
-    their mean; words keep a score above zero and tags one below.
+    their mean, and below zero.  The score of a word is then the one of
+    ``WORD_SCORES`` with which the scan alone, without lists and marks, agrees
+    best with the marks.
     """
     text = F.col(f"`{html_column}`")
     marked = pages.where(text.rlike(r"(?i)<(article|main)[\s>]")).select(F.xxhash64(F.col(f"`{key}`"), text).alias("h"), text.alias("page"))
+    # at most label_pages hashes, hence the broadcasts; of repeated pages any one serves
     chosen = marked.select("h").distinct().orderBy("h").limit(label_pages)
+    sample = marked.join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"]).select("page")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -324,15 +382,15 @@ def learn_weights(pages: DataFrame, *, html_column: str = "html", key: str = "pa
         if seen:
             yield pa.RecordBatch.from_pydict({"feature": [k[0] for k in seen], "inside": pa.array([k[1] for k in seen], pa.bool_()), "n": list(seen.values())})
 
-    # at most label_pages hashes, hence the broadcast; the features are the tags and names of so many pages
-    rows = marked.join(F.broadcast(chosen), "h", "left_semi").select("page").mapInArrow(count, "feature string, inside boolean, n long").groupBy("feature", "inside").agg(F.sum("n").alias("n")).collect()
+    # the features are the tags and names of so many pages
+    rows = sample.mapInArrow(count, "feature string, inside boolean, n long").groupBy("feature", "inside").agg(F.sum("n").alias("n")).collect()
     seen = {(r["feature"], r["inside"]): r["n"] for r in rows}
     weights = dict(DEFAULT_WEIGHTS)
-    kinds = [f for f in {k[0] for k in seen} if f[0] not in "<." and f != "page"]
+    kinds = [f for f in {k[0] for k in seen} if f[0] not in "<."]
     inside, outside = (sum(seen.get((f, side), 0) for f in kinds) for side in (True, False))
     if not inside:
         return weights
-    for f in sorted({k[0] for k in seen} - {"page"}):
+    for f in sorted({k[0] for k in seen} - {"word"}):
         within, without = (seen.get((f, side), 0) for side in (True, False))
         if f[0] in "<.":
             if seen[f, None] >= ASIDE_PAGES:
@@ -340,12 +398,18 @@ def learn_weights(pages: DataFrame, *, html_column: str = "html", key: str = "pa
             continue
         own, other = within / inside, without / max(1, outside)
         more = smoothing * (own + other) / 2
-        odds = math.log((own + more) / (other + more))
-        weights[f] = max(LEAST_WORD, odds) if f in ("word", "link word") else min(MOST_TAG, odds)
-    beside = sum(seen.get((f, False), 0) for f in ("word", "link word")) / seen["page", None]
-    weights["edge"] = -max(5.0, 2 * beside * weights["word"])
-    weights["cut"] = DEFAULT_WEIGHTS["cut"] * weights["word"]
-    return weights
+        weights[f] = min(MOST_TAG, math.log((own + more) / (other + more)))
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page in batch.column("page").to_pylist():
+                yield pa.RecordBatch.from_pydict({"score": list(WORD_SCORES), "f1": agreement(page, weights)})
+
+    found = sample.mapInArrow(tried, "score double, f1 double").groupBy("score").agg(F.sum("f1").alias("f1")).collect()
+    # of scores that do as well the largest, which bears most tags within the content
+    most = max(r["f1"] for r in found)
+    best = max(r["score"] for r in found if r["f1"] >= most * (1 - 1e-3))
+    return weights | {"word": best, "cut": DEFAULT_WEIGHTS["cut"] * best, "doubt": DEFAULT_WEIGHTS["doubt"] * best}
 
 
 def extract_main_text(pages: DataFrame, *, html_column: str = "html", into: str = "text", keep: tuple[str, ...] = ("page_id", "url"), weights: dict[str, float] | None = None) -> DataFrame:

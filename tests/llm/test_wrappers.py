@@ -91,21 +91,76 @@ def test_equal_to_a_parser(spark, pages, learned):
     found = {r["page_id"]: r["text"] for r in queries.op10_html_extraction(spark, "/root/testdata/sf0.01").collect()}
     assert [found[k] for k in sorted(found)] == [Reference(p).text for p in pages]
     assert learned[".ad"] < html_text.ASIDE_ODDS and learned["<nav>"] < html_text.ASIDE_ODDS
-    assert learned["word"] > learned["link word"] > 0 > learned["p"] > learned["li"]
+    assert learned["word"] > 0 > learned["p"] > learned["li"] and learned["div"] < learned["p"]
+
+
+def unmarked(page):
+    return re.sub(r"<(/?)(article|main)\b", r"<\1div", page)
 
 
 def test_scan_decides(pages, learned, monkeypatch):
-    # without any list of names, learned or not, the scan finds the article; without the scan nothing does
+    # without any list of names, learned or not, and without marks, the scan finds the article; without the scan nothing does
     monkeypatch.setattr(html_text, "_ASIDE", frozenset())
     monkeypatch.setattr(html_text, "_NEVER", frozenset())
     bare = {k: v for k, v in learned.items() if k[0] not in "<."}
     expected = [Reference(p).text for p in pages]
-    assert sum(html_text.main_text(p, bare) == e for p, e in zip(pages, expected, strict=True)) > 0.98 * len(pages)
-    # learned names alone serve on pages that don't mark their article
-    unmarked = [re.sub(r"</?article>", "", p) for p in pages]
-    assert sum(html_text.main_text(p, learned) == e for p, e in zip(unmarked, expected, strict=True)) > 0.98 * len(pages)
+    assert sum(html_text.main_text(unmarked(p), bare) == e for p, e in zip(pages, expected, strict=True)) > 0.98 * len(pages)
+    assert all(html_text.main_text(p, bare) == e for p, e in zip(pages, expected, strict=True))
     monkeypatch.setattr(html_text, "best_region", lambda scores: (0, len(scores)))
-    assert not any(html_text.main_text(p, bare) == e for p, e in zip(pages, expected, strict=True))
+    assert not any(html_text.main_text(unmarked(p), bare) == e for p, e in zip(pages, expected, strict=True))
+
+
+def test_unmarked_pages_with_lists(pages, learned):
+    assert all(html_text.main_text(unmarked(p), learned) == Reference(p).text for p in pages)
+
+
+READERS = "<p>A reader says a lot of words about this story today.</p>"
+
+
+@pytest.mark.parametrize("n", [1, 9, 30, 400])
+@pytest.mark.parametrize("start", ["div class='comments'", "div class='comment-list'", "ol class='commentlist'", "div id='disqus_thread'", "section class='discussion'", "div class='reply-box'"])
+@pytest.mark.parametrize("story", [STORY, "<p>Short words of an article.</p>"])
+def test_comments_of_any_length_go(learned, n, start, story):
+    expected = TEXT if story is STORY else "Short words of an article."
+    readers = f"<{start}>{READERS * n}</{start.split()[0]}>"
+    for weights in (learned, html_text.DEFAULT_WEIGHTS):
+        for page in (f"<article>{story}</article>{readers}", f"<main>{story}{readers}</main>", f"<div>{story}</div>{readers}", f"<article>{story}{readers}</article>"):
+            assert html_text.main_text(f"<html><body>{NAV}{page}<footer>All rights</footer></body></html>", weights) == expected
+
+
+@pytest.mark.parametrize("n", [1, 9, 400])
+def test_unnamed_comments_beside_a_marked_article_go(learned, n):
+    assert html_text.main_text(f"<html><body><article>{STORY}</article><ul>{f'<li>{READERS}</li>' * n}</ul></body></html>", learned) == TEXT
+
+
+def test_all_articles_stay(learned):
+    other = "<p>The second article is shorter.</p>"
+    between = f"<div>{'Words between the two articles of this page. ' * 20}</div>"
+    page = f"<html><body>{NAV}<article>{STORY}</article>{between}<article>{other}</article><article class='comment'>{READERS * 40}</article></body></html>"
+    assert html_text.main_text(page, learned) == TEXT + "\n\nThe second article is shorter."
+
+
+@pytest.mark.parametrize("name", ["post comments-open", "entry has-comments", "page sidebar-closed"])
+def test_states_name_no_comments(learned, name):
+    assert html_text.main_text(f"<html><body><div class='{name}'><article class='{name}'>{STORY}</article></div></body></html>", learned) == TEXT
+
+
+@pytest.mark.parametrize("n", [1, 40])
+def test_doubtful_elements_within_an_article_go(learned, n):
+    box = f"<div class='promo-box'>{'<p>Buy this thing now.</p>' * n}</div>"
+    rest = "<p>The last paragraph of the story.</p>"
+    for page in (f"<article>{STORY}{box}{rest}</article>", f"<div class='share-page'><article>{STORY}{box}{rest}</article></div>", f"<div>{STORY}{box}{rest}</div>"):
+        assert html_text.main_text(f"<html><body>{page}</body></html>", learned) == TEXT + "\n\nThe last paragraph of the story."
+
+
+def test_many_tags_within_an_article(learned):
+    rows = "<table>" + "<tr><td><img src=a></td><td><br></td></tr>" * 500 + "</table>"
+    assert html_text.main_text(f"<html><body><article><p>One.</p>{rows}<p>Two.</p></article></body></html>", learned) == "One.\n\nTwo."
+
+
+def test_nothing_else_on_the_page(learned):
+    for start in ("div class='comments'", "div class='modal'", "form", "div class='ad'"):
+        assert html_text.main_text(f"<html><body>{NAV}<{start}>{STORY}</{start.split()[0]}></body></html>", learned) == TEXT
 
 
 def test_scan_without_names(learned):
@@ -122,12 +177,14 @@ def test_region_by_brute_force(learned, seed):
     rng = random.Random(seed)
     parts = ["<p>", "</p>", "<li>", "<a href=x>", "</a>", "<div class='ad'>", "</div>", "<article>", "</article>", "one two three ", "word ", "<nav>", "</nav>", "<br>", "<form>"]
     page = "".join(rng.choices(parts, k=rng.randrange(1, 40)))
-    items, scores = html_text.scored(page, learned)
+    pieces = list(html_text.items(page, learned))
+    scores = html_text.scores_of(pieces, learned)
     best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0)
     a, b = html_text.best_region(scores)
     assert sum(scores[a:b]) == pytest.approx(max(0, best))
-    words = " ".join(v for k, v in items[a:b] if k in ("word", "link word")).split()
-    assert html_text.main_text(page, learned).split() == words
+    begun = {x.doubt for x in pieces[a:b] if x.kind == "doubt" and x.value != "/"}
+    words = " ".join(x.value for x in pieces[a:b] if x.kind.endswith("word") and x.doubt not in begun).split()
+    assert html_text.joined(html_text.region(pieces, learned, hidden=True)).split() == words
 
 
 def test_learning_needs_marks(spark):
