@@ -14,6 +14,7 @@ from .operators import network as nw
 from .plans import alm, fixtures
 from .plans.config import Config
 from .sources.network import Network, network_from_star
+from .sources.store import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The threshold of the class queries, by its index.
@@ -62,9 +63,9 @@ def _on_network(name: str, f: Callable[[Network], DataFrame], sql: str | None =
     _register(name, sql)(lambda spark, sf_dir: f(network_from_star(spark, sf_dir)))
 
 
-def standard_threshold(net: Network) -> float:
+def standard_threshold(net: Network, base: DataFrame | None = None) -> float:
     """The threshold of index 8."""
-    found = cls.threshold_values(net)
+    found = cls.threshold_values(net, base=base)
     if len(found) <= STANDARD:
         raise ValueError(f"fewer than {STANDARD + 1} thresholds")
     return found[STANDARD]
@@ -72,7 +73,8 @@ def standard_threshold(net: Network) -> float:
 
 def standard_classes(net: Network) -> DataFrame:
     """Classes at the threshold of index 8."""
-    return cls.path_classes(net, standard_threshold(net))
+    base = cls.ranked(net).persist()  # read for the threshold, and again by whoever reads the classes
+    return cls.path_classes(net, standard_threshold(net, base), base=base)
 
 
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -210,17 +212,18 @@ _on_network(
 )
 
 
-def _minor_svd(net: Network) -> tuple[linalg.Svd, DataFrame, DataFrame]:
-    """SVD of the minor incidence at the rank of the rule, its entries by index, and the classes' numbers."""
-    numbers = cls.class_index(standard_classes(net)).where("class = 'minor'")
+def _minor_svd(net: Network) -> tuple[linalg.Svd, DataFrame, int]:
+    """SVD of the minor incidence at the rank of the rule, the minor routes (``route_id, pair, flow, links, mults``), and the number of links."""
+    minor = standard_classes(net).where("class = 'minor'").select("route_id", *cls.OD, F.col("flow").cast("double").alias("flow"))
+    entries = nw.multiplicities(net).join(nw.link_dim(net), "link_id")
+    lists = entries.groupBy("route_id").agg(F.collect_list("link_idx").alias("links"), F.collect_list("mult").alias("mults"))
+    routes, _ = stored(minor.join(lists, "route_id", "left"))
     n_links, config = net.links.count(), Config()
-    rank = alm.wanted_rank(numbers.count(), n_links, config.rank_share, config.max_rank)
-    dims = nw.link_dim(net)
-    entries = nw.multiplicities(net).join(numbers.select("route_id", F.col("class_idx").alias("path_idx")), "route_id").join(dims, "link_id").select("route_id", "path_idx", "link_idx", "mult")
-    slabs = linalg.slabs_of(entries)
+    rank = alm.wanted_rank(routes.count(), n_links, config.rank_share, config.max_rank)
+    slabs = linalg.slabs_of(routes)
     out = linalg.truncated_svd(slabs, n_links, rank)
     slabs.unpersist()
-    return out, entries, numbers
+    return out, routes, n_links
 
 
 @_register("minor_svd_sigma")
@@ -230,36 +233,25 @@ def minor_svd_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, float(s)) for k, s in enumerate(svd.sigma)], "component int, sigma double")
 
 
-def _latent_rows(svd: linalg.Svd, entries: DataFrame) -> DataFrame:
-    """``route_id, component, u``: rows of U of the minor routes; the basis is bounded by links times rank."""
-    spark = entries.sparkSession
-    rows = [(link, k, float(x)) for link, row in enumerate(svd.basis) for k, x in enumerate(row)]
-    basis = spark.createDataFrame(rows, "link_idx long, component int, b double")
-    return entries.join(basis, "link_idx").groupBy("route_id", "component").agg(F.sum(F.col("mult") * F.col("b")).alias("u"))
-
-
 @_register("latent_reference")
 def latent_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference flows of the minor routes in the latent basis."""
-    net = network_from_star(spark, sf_dir)
-    svd, entries, _ = _minor_svd(net)
-    return _latent_rows(svd, entries).join(net.routes.select("route_id", F.col("flow").cast("double").alias("flow")), "route_id").groupBy("component").agg(F.sum(F.col("u") * F.col("flow")).alias("z_ref"))
+    svd, routes, _ = _minor_svd(network_from_star(spark, sf_dir))
+    return linalg.latent_totals(routes, svd, "flow").withColumnRenamed("total", "z_ref")
 
 
 @_register("od_latent_map")
 def od_latent_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of the minor routes' latent rows by pair."""
-    net = network_from_star(spark, sf_dir)
-    svd, entries, _ = _minor_svd(net)
-    return _latent_rows(svd, entries).join(net.routes.select("route_id", *cls.OD), "route_id").groupBy(*cls.OD, "component").agg(F.sum("u").alias("m"))
+    svd, routes, _ = _minor_svd(network_from_star(spark, sf_dir))
+    return linalg.latent_by_key(routes, svd, list(cls.OD), "m")
 
 
 @_register("link_latent_map")
 def link_latent_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of the minor routes' latent rows by link."""
-    net = network_from_star(spark, sf_dir)
-    svd, entries, _ = _minor_svd(net)
-    return entries.join(_latent_rows(svd, entries), "route_id").groupBy("link_idx", "component").agg(F.sum(F.col("mult") * F.col("u")).alias("d"))
+    svd, routes, n_links = _minor_svd(network_from_star(spark, sf_dir))
+    return linalg.latent_by_link(routes, svd, n_links, "d")
 
 
 def _prepared(spark: SparkSession, sf_dir: str, every: bool = False) -> alm.Prepared:

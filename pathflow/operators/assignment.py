@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.congestion import congestion_delay, depth_below_zero, percent_error, positive_part, travel_time
 from ..sources.network import Network
 from .classes import OD
-from .network import link_volume, multiplicities, od_demand, with_od_counts
+from .network import link_volume, multiplicities, od_counts, od_demand, with_od_counts
 
 TINY = 1e-10
 
 
 def proportional_assignment(net: Network, classes: DataFrame | None = None) -> DataFrame:
     """``route_id, o_zone_id, d_zone_id, flow``: a pair's demand spread evenly over its major routes (all routes without classes)."""
-    base = with_od_counts(net).select("route_id", *OD)
-    if classes is not None:
-        base = base.join(classes.select("route_id", "class"), "route_id")
-        shares = F.count_if(F.col("class") == "major").over(Window.partitionBy(*OD))
-        part = F.when(F.col("class") == "singleton", F.col("demand")).when(F.col("class") == "major", F.col("demand") / F.col("k")).otherwise(0.0)
-    else:
-        shares = F.count(F.lit(1)).over(Window.partitionBy(*OD))
-        part = F.col("demand") / F.col("k")
-    return base.withColumn("k", shares).join(od_demand(net), list(OD)).select("route_id", *OD, part.alias("flow"))
+    pairs = od_demand(net)
+    if classes is None:
+        part = F.col("demand") / F.col("n_paths")
+        return with_od_counts(net).join(pairs, list(OD)).select("route_id", *OD, part.alias("flow"))
+    # majors are counted before the shuffle and joined back, so a pair of very many routes meets in no task
+    majors = classes.groupBy(*OD).agg(F.count_if(F.col("class") == "major").alias("n_major"))
+    shares = pairs.join(majors, list(OD))
+    part = F.when(F.col("class") == "singleton", F.col("demand")).when(F.col("class") == "major", F.col("demand") / F.col("n_major")).otherwise(0.0)
+    return classes.select("route_id", *OD, "class").join(shares, list(OD)).select("route_id", *OD, part.alias("flow"))
 
 
 def od_flow(assigned: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def path_accuracy(net: Network, assigned: DataFrame, classes: DataFrame) -> Data
 
 def od_errors(net: Network, assigned: DataFrame) -> DataFrame:
     """``o_zone_id, d_zone_id, flow, demand, violation, pct_error`` of the pairs with several routes."""
-    several = with_od_counts(net).where("n_paths > 1").select(*OD).distinct()
+    several = od_counts(net).where("n_paths > 1").select(*OD)
     both = od_flow(assigned).join(several, list(OD), "left_semi").join(od_demand(net), list(OD))
     return both.select(*OD, "flow", "demand", (F.col("flow") - F.col("demand")).alias("violation"), percent_error(F.col("flow"), F.col("demand")).alias("pct_error"))
 

@@ -8,10 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.network import Network
-from .indexing import LANES, bounds_of, lane_among, lane_of
+from . import indexing
+from .indexing import LANES, lane_among, sketch_of
 from .network import od_demand, with_od_counts, written_steps
 
 OD = ("o_zone_id", "d_zone_id")
+#: Quantiles that bracket a wanted position.
+BRACKETS = 256
+#: Rows within brackets that go to the driver at most.
+COLLECTED = 200_000
 
 
 def above(flow: Column, threshold: float) -> Column:
@@ -45,44 +50,71 @@ def can_be_minor(net: Network) -> DataFrame:
     return ranked(net).where("not is_best").select("route_id", "flow")
 
 
-def value_at(df: DataFrame, column: str, places: Callable[[int], dict[int, int]]) -> dict[int, object]:
-    """Values at positions (from 0) in the ascending order of a column.
+def value_at(df: DataFrame, column: str, places: Callable[[int], dict[int, int]]) -> dict[int, float]:
+    """Values at positions (from 0) in the ascending order of a column of numbers.
 
     ``places`` gives the wanted positions for the number of rows, and names them.
-    The rows are counted by ranges of values; only the ranges that hold a wanted
-    position are ranked, each on its own.  Null values don't count.
+    A sketch brackets each position by two of ``BRACKETS`` quantiles; a pass
+    counts the rows below, at and within the bounds of every bracket.  The rows
+    within go to the driver if they are few, else the same is done to them
+    alone, so the result is exact at any size.  Null values don't count.
     """
-    spark = df.sparkSession
-    held = df.select(F.col(column).alias("value")).where("value is not null")
-    wide = held.withColumn("__d", F.col("value").cast("double")).persist()  # read three times
-    bounds = bounds_of(wide, "__d", 4 * LANES)
-    laned = wide.withColumn("__lane", F.lit(2) * lane_among("__d", bounds) + F.col("__d").isin(bounds).cast("int") if bounds else F.lit(0))
-    counts = sorted((r["__lane"], r["n"], r["low"], r["high"]) for r in laned.groupBy("__lane").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect())
-    total = sum(n for _, n, _, _ in counts)
-    wanted, out, below, within = places(total) if total else {}, {}, 0, []
-    for lane, n, low, high in counts:
-        own = {name: at - below for name, at in wanted.items() if below <= at < below + n}
-        if low == high:  # a value that many rows have
-            out |= dict.fromkeys(own, low)
-        elif own:
-            within += [(lane, at, name) for name, at in own.items()]
-        below += n
-    if within:
-        at = spark.createDataFrame(within, "__lane int, __at long, name int")
-        rank = F.row_number().over(Window.partitionBy("__lane").orderBy("value")) - 1
-        kept = laned.where(F.col("__lane").isin(sorted({lane for lane, _, _ in within}))).withColumn("__r", rank)
-        found = kept.join(F.broadcast(at), (kept["__lane"] == at["__lane"]) & (F.col("__r") == F.col("__at")))
-        out |= {r["name"]: r["value"] for r in found.select("name", "value").collect()}
-    wide.unpersist()
+    held = df.select(F.col(column).cast("double").alias("x")).where("x is not null").persist()
+    out = _selected(held, places)
+    held.unpersist()
     return out
 
 
-def threshold_values(net: Network, bins: int = 10) -> list[float]:
-    """Values at evenly spaced positions among the flows that can be minor; the first is 0, repeats go.  An error if no pair has several routes."""
+def _selected(held: DataFrame, places: Callable[[int], dict[int, int]]) -> dict[int, float]:
+    """``value_at`` over the column x."""
+    grid = [i / BRACKETS for i in range(BRACKETS + 1)]
+    known = held.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", F.lit(grid), 20 * BRACKETS).alias("grid")).head()
+    n, quantiles = known["n"], known["grid"]
+    wanted = places(n) if n else {}
+    if not wanted:
+        return {}
+    near = lambda share: quantiles[min(BRACKETS, max(0, int(share * BRACKETS)))]
+    brackets: list[list[float]] = []
+    for low, high in sorted({(near(at / n - 1 / BRACKETS), near((at + 1) / n + 2 / BRACKETS)) for at in wanted.values()}):
+        if brackets and low <= brackets[-1][1]:  # those that meet are one
+            brackets[-1][1] = max(high, brackets[-1][1])
+        else:
+            brackets.append([low, high])
+    x = F.col("x")
+    within = [(x > low) & (x < high) for low, high in brackets]
+    tests = [t for (low, high), w in zip(brackets, within, strict=True) for t in (x < low, x == low, w, (x == high) & F.lit(low < high))]
+    counts = held.agg(*[F.count_if(t) for t in tests]).head()
+    few = sum(counts[2::4]) <= COLLECTED
+    number = F.coalesce(*[F.when(w, i) for i, w in enumerate(within)])
+    rows: dict[int, list[float]] = {}
+    if few and sum(counts[2::4]):
+        for r in held.select(number.alias("i"), "x").where("i is not null").collect():
+            rows.setdefault(r["i"], []).append(r["x"])
+    out: dict[int, float] = {}
+    for i, (low, high) in enumerate(brackets):
+        below, at_low, middle, at_high = counts[4 * i : 4 * i + 4]
+        own = {name: at - below for name, at in wanted.items() if below <= at < below + at_low + middle + at_high}
+        out |= {name: low for name, at in own.items() if at < at_low} | {name: high for name, at in own.items() if at >= at_low + middle}
+        inner = {name: at - at_low for name, at in own.items() if at_low <= at < at_low + middle}
+        if few:
+            values = sorted(rows.get(i, []))
+            out |= {name: values[at] for name, at in inner.items()}
+        elif inner:
+            out |= _selected(held.where(within[i]), lambda _, inner=inner: inner)
+    if len(out) < len(wanted):
+        raise ValueError("a position lies outside of its bracket")
+    return out
+
+
+def threshold_values(net: Network, bins: int = 10, *, base: DataFrame | None = None) -> list[float]:
+    """Values at evenly spaced positions among the flows that can be minor; the first is 0, repeats go.  An error if no pair has several routes.
+
+    ``base`` is ``ranked(net)``, where the caller has it.
+    """
     places = lambda n: {i: n - 1 if i == bins else int(i * ((n - 1) / float(bins))) for i in range(bins + 1)}
-    found = value_at(can_be_minor(net), "flow", places)
+    found = value_at((ranked(net) if base is None else base).where("not is_best"), "flow", places)
     if not found:
-        raise ValueError("every pair has one route: there is nothing to part")
+        raise ValueError("no pair has multiple routes, so there is nothing to part")
     return list(dict.fromkeys([0.0] + [float(found[i]) for i in range(1, bins + 1)]))
 
 
@@ -109,15 +141,15 @@ def threshold_counts(net: Network, bins: int = 10) -> DataFrame:
     return net.routes.sparkSession.createDataFrame(rows, "threshold_index int, threshold double, n_major long, n_minor long, major_share double, major_flow double, flow_share double")
 
 
-def path_classes(net: Network, threshold: float, *, ensure_major: bool = True) -> DataFrame:
+def path_classes(net: Network, threshold: float, *, ensure_major: bool = True, base: DataFrame | None = None) -> DataFrame:
     """``route_id, o_zone_id, d_zone_id, flow, n_paths, class, promoted``.
 
     Routes without an alternative are singletons; others are major above the
     threshold, else minor.  With ``ensure_major`` a pair without a major has its
-    largest route promoted.
+    largest route promoted.  ``base`` is ``ranked(net)``, where the caller has it.
     """
     # the largest flow of a pair is above the threshold if any is
-    classed = ranked(net).withColumn("is_major", (F.col("n_paths") > 1) & above(F.col("flow"), threshold))
+    classed = (ranked(net) if base is None else base).withColumn("is_major", (F.col("n_paths") > 1) & above(F.col("flow"), threshold))
     promoted = F.lit(ensure_major) & (F.col("n_paths") > 1) & ~F.col("is_major") & F.col("is_best")
     kind = F.when(F.col("n_paths") == 1, "singleton").when(F.col("is_major") | promoted, "major").otherwise("minor")
     return classed.select("route_id", *OD, "flow", "n_paths", kind.alias("class"), promoted.alias("promoted"))
@@ -125,7 +157,10 @@ def path_classes(net: Network, threshold: float, *, ensure_major: bool = True) -
 
 def class_index(classes: DataFrame) -> DataFrame:
     """``route_id, class, class_idx``: positions within the class in order of route id."""
-    lane = lane_of(classes, "route_id", LANES)
+    rows, bounds = sketch_of(classes, "route_id", LANES)
+    if rows > LANES * indexing.LANE_ROWS:
+        return indexing.by_ranges(classes.select("route_id", "class"), ["route_id"], rows, ["class"]).withColumnRenamed("__at", "class_idx")
+    lane = lane_among("route_id", bounds)
     laned = classes.select("route_id", "class").withColumn("__lane", lane)
     bases = laned.groupBy("class", "__lane").agg(F.count(F.lit(1)).alias("__n")).select(
         "class", "__lane", F.coalesce(F.sum("__n").over(Window.partitionBy("class").orderBy("__lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base")

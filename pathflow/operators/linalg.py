@@ -101,11 +101,14 @@ def _orthonormal(block: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return block
 
 
-def _leading(times_gramian, n_links: int, rank: int, k: int, iterations: int, tolerance: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Largest eigenvalues of B'B and their vectors by block Krylov steps with thick restarts; an error if they don't converge."""
+def _leading(times_gramian, n_links: int, rank: int, k: int, iterations: int, tolerance: float, seed: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Largest eigenvalues of B'B and their vectors by block Krylov steps with thick restarts; an error if they don't converge. ``start``: vectors to begin with."""
     most = min(BLOCKS * k, DRIVER_NUMBERS // n_links)
     basis = np.empty((n_links, min(most, n_links)), order="F")
-    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(n_links, k)))[0]
+    block = np.random.default_rng(seed).normal(size=(n_links, k))
+    if start is not None:
+        block[:, : min(k, start.shape[1])] = start[:, :k]
+    block = np.linalg.qr(block)[0]
     inner, n, worst = np.zeros((0, 0)), 0, np.inf
     for _ in range(iterations):
         width = block.shape[1]
@@ -152,31 +155,125 @@ def truncated_svd(slabs: RDD, n_links: int, rank: int, *, wanted: int | None = N
     k = min(rank + oversample, n_links)
     sc = slabs.context
     if n_links <= EXACT_LINKS:
-        whole = slabs.map(lambda slab: _pairs(slab, n_links)).treeReduce(lambda a, b: a + b)
-        values, vectors = np.linalg.eigh(whole)
-        values, vectors = values[::-1][:rank], vectors[:, ::-1][:, :rank]
-    else:
-        if n_links * 3 * k > DRIVER_NUMBERS:
-            raise ValueError(f"{n_links} links at rank {rank} don't fit the driver's bound of {DRIVER_NUMBERS} numbers")
-
-        def share(block):
-            def one(slab):
-                row, col, val, n = slab
-                return times(col, row, val, times(row, col, val, block.value, n), n_links)
-
-            return one
-
-        def times_gramian(q):
-            block = sc.broadcast(q)
-            out = slabs.map(share(block)).treeReduce(lambda a, b: a + b)
-            block.destroy()
-            return out
+        return of_gramian(slabs.map(lambda slab: _pairs(slab, n_links)).treeReduce(lambda a, b: a + b), rank, wanted)
+    if n_links * 3 * k > DRIVER_NUMBERS:
+        raise ValueError(f"{n_links} links at rank {rank} don't fit the driver's bound of {DRIVER_NUMBERS} numbers")
+
+    def share(block):
+        def one(slab):
+            row, col, val, n = slab
+            return times(col, row, val, times(row, col, val, block.value, n), n_links)
+
+        return one
+
+    def times_gramian(q):
+        block = sc.broadcast(q)
+        out = slabs.map(share(block)).treeReduce(lambda a, b: a + b)
+        block.destroy()
+        return out
+
+    return finished(*_leading(times_gramian, n_links, rank, k, iterations, tolerance, seed), rank if wanted is None else wanted)
+
+
+def of_gramian(whole: np.ndarray, rank: int, wanted: int | None = None) -> Svd:
+    """Leading singular values and right vectors from all of B'B."""
+    values, vectors = np.linalg.eigh(whole)
+    return finished(values[::-1][:rank], vectors[:, ::-1][:, :rank], rank if wanted is None else wanted)
 
-        values, vectors = _leading(times_gramian, n_links, rank, k, iterations, tolerance, seed)
+
+def of_coordinates(slab: tuple, n_links: int, rank: int, *, start: np.ndarray | None = None, iterations: int = 400, oversample: int = 10, tolerance: float = 1e-10, seed: int = 42) -> Svd:
+    """``truncated_svd`` of one slab's coordinates; ``start`` holds right vectors of a matrix alike."""
+    row, col, val, n = slab
+    gramian_times = lambda q: times(col, row, val, times(row, col, val, q, n), n_links)
+    return finished(*_leading(gramian_times, n_links, rank, min(rank + oversample, n_links), iterations, tolerance, seed, start), rank)
+
+
+def finished(values: np.ndarray, vectors: np.ndarray, wanted: int) -> Svd:
+    """Singular values above rounding with their vectors, signs fixed."""
     sigma = np.sqrt(np.maximum(values, 0))
-    zero = np.sqrt(n_links * np.finfo(float).eps)
+    zero = np.sqrt(len(vectors) * np.finfo(float).eps)
     good = sigma > max(1e-9, zero) * max(sigma[0], 1e-300) if len(sigma) else np.zeros(0, bool)
     v = vectors[:, good]
     top = np.abs(v).argmax(axis=0)
     v = v * np.where(v[top, np.arange(v.shape[1])] < 0, -1.0, 1.0)
-    return Svd(sigma[good], v, wanted if wanted is not None else rank)
+    return Svd(sigma[good], v, wanted)
+
+
+def _latent(links: pa.Array, mults: pa.Array, basis: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Rows of U of a batch's routes, and the batch's coordinates."""
+    links, mults = (pc.fill_null(c, []) for c in (links, mults))
+    sizes = pc.list_value_length(links).to_numpy(zero_copy_only=False)
+    row, col = np.repeat(np.arange(len(sizes)), sizes), pc.list_flatten(links).to_numpy(zero_copy_only=False)
+    val = pc.list_flatten(mults).to_numpy(zero_copy_only=False).astype(float)
+    return times(row, col, val, basis, len(sizes)), (row, col, val)
+
+
+def _cells(keys: list[pa.Array], names: list[str], block: np.ndarray, value: str) -> pa.RecordBatch:
+    """A row for each key and component of a block."""
+    n, r = block.shape
+    at = pa.array(np.repeat(np.arange(n), r))
+    return pa.RecordBatch.from_arrays([*(k.take(at) for k in keys), pa.array(np.tile(np.arange(r, dtype=np.int32), n)), pa.array(block.ravel())], names=[*names, "component", value])
+
+
+def latent_totals(routes: DataFrame, svd: Svd, weight: str) -> DataFrame:
+    """``component, total``: U' times a column of the routes (``links, mults``); a partition gives one row for each component."""
+    basis = routes.sparkSession.sparkContext.broadcast(svd.basis)  # links x rank, which the SVD bounds
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((1, len(svd.sigma)))
+        for batch in batches:
+            u, _ = _latent(*batch.columns[:2], basis.value)
+            total += batch.column(2).to_numpy(zero_copy_only=False) @ u
+        yield _cells([], [], total, "total")
+
+    parts = routes.select(F.col("links").cast("array<long>"), F.col("mults").cast("array<double>"), F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("weight")).mapInArrow(run, "component int, total double")
+    return parts.groupBy("component").agg(F.sum("total").alias("total"))
+
+
+def latent_by_key(routes: DataFrame, svd: Svd, keys: list[str], value: str, *, routes_a_part: int = 100_000) -> DataFrame:
+    """``keys, component, value``: sums of the rows of U by keys.
+
+    Routes (``links, mults``) move once, those of a key together, a key of very
+    many routes in parts; what then moves are sums, keys times the rank.
+    """
+    basis = routes.sparkSession.sparkContext.broadcast(svd.basis)
+    counts = routes.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    salt = F.pmod(F.xxhash64("links", "route_id"), F.ceil(F.col("__n") / routes_a_part))
+    dealt = routes.join(counts, keys).withColumn("__salt", salt).repartition(*keys, "__salt").sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u, _ = _latent(batch.column(0), batch.column(1), basis.value)
+            own = [batch.column(2 + i) for i in range(len(keys))]
+            change = np.zeros(batch.num_rows, bool)
+            change[0] = True
+            for k in own:
+                change[1:] |= pc.not_equal(k[1:], k[:-1]).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(change)
+            yield _cells([k.take(pa.array(first)) for k in own], keys, np.add.reduceat(u, first, axis=0), value)
+
+    types = dict(routes.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), f"component int, {value} double"])
+    parts = dealt.select(F.col("links").cast("array<long>"), F.col("mults").cast("array<double>"), *keys).mapInArrow(run, schema)
+    return parts.groupBy(*keys, "component").agg(F.sum(value).alias(value))
+
+
+def latent_by_link(routes: DataFrame, svd: Svd, n_links: int, value: str) -> DataFrame:
+    """``link_idx, component, value``: B'U of the routes (``links, mults``); a partition gives its links times the rank."""
+    basis = routes.sparkSession.sparkContext.broadcast(svd.basis)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, used = np.zeros((n_links, len(svd.sigma))), np.zeros(n_links, bool)
+        for batch in batches:
+            u, (row, col, val) = _latent(*batch.columns, basis.value)
+            total += times(col, row, val, u, n_links)
+            used[col] = True
+        links = np.flatnonzero(used)
+        for i in range(0, len(links), 1000):
+            part = links[i : i + 1000]
+            yield _cells([pa.array(part)], ["link_idx"], total[part], value)
+
+    parts = routes.select(F.col("links").cast("array<long>"), F.col("mults").cast("array<double>")).mapInArrow(run, f"link_idx long, component int, {value} double")
+    return parts.groupBy("link_idx", "component").agg(F.sum(value).alias(value))
