@@ -11,6 +11,7 @@ from .operators import assignment as asg
 from .operators import classes as cls
 from .operators import linalg
 from .operators import network as nw
+from .operators.layouts import Layouts
 from .plans import alm, fixtures
 from .plans.config import Config
 from .sources.network import Network, network_from_star
@@ -83,6 +84,15 @@ def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 _on_network("link_freeflow", lambda n: n.links.select("link_id", "capacity", "length", "speed", F.round("t0", 9).alias("t0")), "SELECT link_id, capacity, length, speed, round(t0, 9) AS t0 FROM link")
 _on_network("route_parse_steps", nw.steps, "SELECT route_id, link_id FROM step JOIN link USING (link_id) JOIN route USING (route_id)")
+
+
+def as_text(net: Network) -> Network:
+    """The network with every route's links as text, as route files have them."""
+    texts = net.uses.groupBy("route_id").agg(F.array_join(F.collect_list(F.col("link_id").cast("string")), ";").alias("link_seq"))
+    return Network(net.links, net.routes.join(texts, "route_id"), net.demand, net.performance)
+
+
+_on_network("route_text_steps", lambda n: nw.steps(as_text(n)), "SELECT route_id, link_id FROM step JOIN link USING (link_id) JOIN route USING (route_id)")
 _on_network(
     "incidence", nw.incidence,
     "SELECT p.path_idx, l.link_idx, count(*) AS mult FROM step JOIN (SELECT route_id, row_number() OVER (ORDER BY route_id) - 1 AS path_idx FROM route) p USING (route_id) JOIN (SELECT link_id, row_number() OVER (ORDER BY link_id) - 1 AS link_idx FROM link) l USING (link_id) GROUP BY ALL",
@@ -175,6 +185,22 @@ _on_network(
 )
 
 
+def repeated_products(net: Network) -> DataFrame:
+    """``route_id, cost``: travel times along every route under its flows, by two products over one layout of the incidence."""
+    layouts = Layouts.of(net)
+    volume = layouts.link_sums(net.routes).select("link_id", F.col("total").alias("volume"))
+    times = nw.link_bpr(net, volume)
+    out, _ = stored(layouts.route_sums(times).select("route_id", F.round("total", 4).alias("cost")))
+    layouts.drop()
+    return out
+
+
+_on_network(
+    "repeated_products", repeated_products,
+    f"SELECT route_id, round(sum({_BPR}), 4) AS cost FROM step JOIN link USING (link_id) JOIN volume USING (link_id) JOIN route USING (route_id) GROUP BY route_id",
+)
+
+
 def signed_flows(net: Network) -> DataFrame:
     """Flows shifted down by 100, to have some below zero: ``route_id, u``."""
     return net.routes.select("route_id", (F.col("flow").cast("double") - F.lit(100.0)).alias("u"))

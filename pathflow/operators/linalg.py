@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 DRIVER_NUMBERS = 100_000_000
 #: Links up to which the Gramian is held whole, in each task and on the driver.
 EXACT_LINKS = 2_500
+#: Entries of a row whose products one task makes.
+ROW_ENTRIES = 1_000
 #: Widest Krylov basis, in blocks.
 BLOCKS = 10
 
@@ -24,12 +26,18 @@ BLOCKS = 10
 def gramian(matrix: DataFrame, *, row: str = "route_id", col: str = "link_id") -> DataFrame:
     """``a, b, val`` with a <= b: the products of columns that share rows.
 
-    Pairs arise within a row, whose length is that of a route; use
-    ``truncated_svd`` where routes are long.
+    A row is one list of its entries, whose pairs arise where it lies.  A row of
+    more than ``ROW_ENTRIES`` is parted into lists by a hash of the column, and
+    every two of its lists go to a task of their own, so no task makes more than
+    that number's square of products for a row.
     """
-    left = matrix.select(row, F.col(col).alias("a"), F.col("mult").alias("ma"))
-    right = matrix.select(row, F.col(col).alias("b"), F.col("mult").alias("mb"))
-    return left.join(right, row).where("a <= b").groupBy("a", "b").agg(F.sum(F.col("ma") * F.col("mb")).alias("val"))
+    sizes = matrix.groupBy(row).agg(F.ceil(F.count(F.lit(1)) / ROW_ENTRIES).alias("parts"))
+    lists = matrix.join(sizes, row).groupBy(row, "parts", F.pmod(F.xxhash64(col), F.col("parts")).alias("part")).agg(F.collect_list(F.struct(F.col(col).alias("c"), "mult")).alias("cells"))
+    alone = lists.where("parts = 1").select(F.col("cells").alias("x"), F.col("cells").alias("y"), F.lit(True).alias("same"))
+    left, right = (lists.where("parts > 1").select(row, F.col("part").alias(p), F.col("cells").alias(c)) for p, c in (("i", "x"), ("j", "y")))
+    crossed = left.join(right, row).where("i <= j").repartition(row, "i", "j").select("x", "y", (F.col("i") == F.col("j")).alias("same"))
+    pairs = alone.unionByName(crossed).select(F.explode("x").alias("p"), "y", "same").select("p", F.explode("y").alias("q"), "same").where("not same or p.c <= q.c")
+    return pairs.groupBy(F.least("p.c", "q.c").alias("a"), F.greatest("p.c", "q.c").alias("b")).agg(F.sum(F.col("p.mult") * F.col("q.mult")).alias("val"))
 
 
 def times(row: np.ndarray, col: np.ndarray, val: np.ndarray, x: np.ndarray, n_rows: int) -> np.ndarray:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from pathflow.operators import assignment as asg
 from pathflow.operators import classes as cls
-from pathflow.operators import indexing
+from pathflow.operators import indexing, linalg
 from pathflow.operators import network as nw
+from pathflow.operators.layouts import Layouts
 from pathflow.sources.network import Network, checked_links
 
 
@@ -90,3 +91,35 @@ def test_threshold_counts(hot):
 def test_incidence_numbers(hot):
     dims = {r["link_id"]: r["link_idx"] for r in nw.link_dim(hot).collect()}
     assert dims == {k: k for k in range(20)}
+
+
+@pytest.mark.parametrize("most", [1_000, 3])
+def test_gramian_of_long_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(linalg, "ROW_ENTRIES", most)
+    rng = np.random.default_rng(6)
+    dense = np.zeros((30, 40))
+    dense[0] = rng.integers(1, 4, 40)  # a route over every link
+    for k in range(1, 30):
+        dense[k, rng.choice(40, rng.integers(0, 6), replace=False)] = 1 + k % 3
+    row, col = dense.nonzero()
+    entries = spark.createDataFrame([(int(r), int(c), int(dense[r, c])) for r, c in zip(row, col, strict=True)], "route_id long, link_id long, mult long")
+    whole = dense.T @ dense
+    found = {(r["a"], r["b"]): r["val"] for r in linalg.gramian(entries).collect()}
+    assert found == {(a, b): whole[a, b] for a in range(40) for b in range(a, 40) if whole[a, b]}
+
+
+def test_products_leave_the_incidence_where_it_lies(spark, hot):
+    layouts = Layouts.of(hot, 4)
+    flows = hot.routes.select("route_id", "flow")
+    times = hot.links.select("link_id", F.col("t0").alias("travel_time"))
+    for product in (layouts.link_sums(flows), layouts.route_sums(times)):
+        plan = product._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Bucketed: true") == 1
+        assert plan.count("Exchange hashpartitioning") == 2  # the vector's, and the sums'
+    volume = {r["link_id"]: r["total"] for r in layouts.link_sums(flows).collect()}
+    expected = {r["link_id"]: r["volume"] for r in nw.link_volume(hot).collect() if r["volume"]}
+    assert volume == pytest.approx(expected)
+    cost = {r["route_id"]: r["total"] for r in layouts.route_sums(times).collect()}
+    t0 = {r["link_id"]: r["t0"] for r in hot.links.collect()}
+    assert cost == pytest.approx({r["route_id"]: sum(t0[int(x)] for x in r["link_seq"].split(";")) for r in hot.routes.collect()})
+    layouts.drop()
