@@ -533,9 +533,10 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, percent: int = 90, ke
     members = families.join(of, families["node"] == of["doc_id"]).groupBy("class").agg(F.min("component").alias("family"), F.max("n_shingles").alias("n"))
     members = written(members.withColumnRenamed("class", "doc_id"))
     discard(families)
-    several = members.groupBy("family").agg(_blocks().alias("blocks"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    # written, such a table of one row for a family is sent to all if it is small, and else a family of very many rows is split in the join
+    several = written(members.groupBy("family").agg(_blocks().alias("blocks"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"))
     dealt = written(members.join(several, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")))
-    discard(members)
+    discard(members, several)
 
     many = dealt.where("blocks > 1")
     nth = F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
@@ -554,11 +555,11 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, percent: int = 90, ke
     searched = written(search_blocks(with_texts(seats), words, percent))
     links = searched.where("b is not null")
     probes = many.join(searched.where("b is null").select(F.col("a").alias("doc_id")).distinct(), "doc_id")
-    more = None
+    more = grid = down = None
     if probes.limit(1).count():
         # what a block couldn't join with the hubs meets all of its family, a part of the ones with a part of the others at a time
-        grid = probes.groupBy("family").agg(_blocks(2).alias("across"))
-        down = many.join(grid, "family").groupBy("family", "across").agg(_blocks(2).alias("down"))
+        grid = written(probes.groupBy("family").agg(_blocks(2).alias("across")))
+        down = written(many.join(grid, "family").groupBy("family", "across").agg(_blocks(2).alias("down")))
         part = lambda n: F.pmod(F.xxhash64("doc_id", F.lit(3)), n)
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         asked = probes.join(down, "family").select("doc_id", "family", part("across").alias("i"), every("down").alias("j"), "down", F.lit(2).alias("role"))
@@ -570,6 +571,6 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, percent: int = 90, ke
     both = of.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z")
     links = links.select("a", "b").unionByName(of.join(both, "doc_id").select("a", F.col("class").alias("b")))
     joined = connected_components(links)
-    discard(searched, more, dealt)
+    discard(searched, more, dealt, grid, down)
     out = assigned.join(joined, assigned["class"] == joined["node"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
