@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import free_name
+from .shared import free_name, written
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
@@ -56,20 +56,21 @@ def number_slots(df: DataFrame, shard: str, spread: Sequence[str], *, into: str
     """Number the rows of every shard from 0 without gaps.
 
     ``spread`` lists the columns that deal a shard's rows over ``sub_buckets``
-    and order them there.  One shuffle by (shard, sub-bucket); the offsets are
+    and order them there; rows equal in all of them differ by the place they are
+    read from, so ``df``, which is read twice, should be a written table.  One shuffle by (shard, sub-bucket); the offsets are
     a running sum over ``shards x sub_buckets`` counts, which is a bounded
     table whatever the input's size, hence the broadcast.
     """
     cols = [F.col(f"`{c}`") for c in spread]
-    sub, count, base, rank, own, part = (free_name(df.columns, c) for c in ("__sub", "__n", "__base", "__rank", "__s", "__b"))
+    sub, count, base, rank, own, part, tie = (free_name(df.columns, c) for c in ("__sub", "__n", "__base", "__rank", "__s", "__b", "__tie"))
     at = F.col(f"`{shard}`")
-    dealt = df.withColumn(sub, F.pmod(F.xxhash64(*cols), F.lit(sub_buckets)))
+    dealt = df.withColumn(tie, F.monotonically_increasing_id()).withColumn(sub, F.pmod(F.xxhash64(*cols, tie), F.lit(sub_buckets)))
     counts = dealt.groupBy(at.alias(own), F.col(sub).alias(part)).agg(F.count(F.lit(1)).alias(count))
     before = Window.partitionBy(own).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(own, part, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(base))
-    number = F.row_number().over(Window.partitionBy(at, sub).orderBy(*cols)) - 1
+    number = F.row_number().over(Window.partitionBy(at, sub).orderBy(*cols, tie)) - 1
     placed = dealt.withColumn(rank, number).join(F.broadcast(bases), (at == F.col(own)) & (F.col(sub) == F.col(part)))
-    return placed.withColumn(into, (F.col(base) + F.col(rank)).cast("long")).drop(sub, rank, own, part, base)
+    return placed.withColumn(into, (F.col(base) + F.col(rank)).cast("long")).drop(sub, rank, own, part, base, tie)
 
 
 #: Rows that a sub-bucket should have, and the limits of the number of sub-buckets of a shard.
@@ -94,6 +95,6 @@ def shard_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         F.crc32(body).alias("text_crc32"),
         F.lit("key").alias("law"),
     )
-    sharded = assign_shards(slim, key, weights, grown_into="grown_shard")
+    sharded = assign_shards(written(slim), key, weights, grown_into="grown_shard")
     slotted = number_slots(sharded, "shard", [key, "text_crc32", "size"], sub_buckets=sub_buckets)
     return slotted.select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
