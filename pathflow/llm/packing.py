@@ -133,12 +133,12 @@ def pack_pieces(pieces: DataFrame, *, length: str = "length", order: tuple[str,
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizer file at ``path``; its added tokens are found within a text."""
+    """Ids of whole texts by the tokenizer file at ``path``; with ``added`` its added tokens are found within a text."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: bool = True):
         import tiktoken
 
-        self.pattern, self.ranks, self.added = pattern, read_ranks(path), read_added(path)
+        self.pattern, self.ranks, self.added = pattern, read_ranks(path), read_added(path) if added else {}
         self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens=self.added)
         self.between = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
@@ -156,19 +156,20 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, added: bool = True) -> Encoder:
     """One encoder per worker process; a path that isn't there is looked for among the job's files."""
-    return Encoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), pattern)
+    return Encoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), pattern, added)
 
 
 def cut_documents(
-    docs: DataFrame, *, path: str, pattern: str, window: int = 2048, end_id: int | None = 1, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
+    docs: DataFrame, *, path: str, pattern: str, window: int = 2048, end_id: int | None = 1, added: bool = True, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
     """The pieces of every document: ``keep``, ``start``, ``length``, ``doc_tokens`` and ``ids``.
 
     A document's ids are those of its whole text and then ``end_id``; a string
-    of an added token within a text gives that token's id.  Pieces
-    are full windows and then the rest.  ``ids`` holds unsigned 32-bit numbers,
+    of an added token within a text gives that token's id, or without ``added``
+    the ids of ordinary text, which keeps an end token out that somebody wrote
+    into a text.  Pieces are full windows and then the rest.  ``ids`` holds unsigned 32-bit numbers,
     lowest byte first.  A null text is an empty one: it has the end id alone
     (and no piece where ``end_id`` is None).  Repeated rows give repeated
     pieces, an empty table none, further columns are left out.  No shuffle.
@@ -178,7 +179,7 @@ def cut_documents(
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
+        own = encoder(path, pattern, added)
         for batch in batches:
             for part in slices(batch, len(keep)):
                 rows, starts, lengths, totals, ids = [], [], [], [], []

@@ -300,3 +300,24 @@ def test_shards_by_weight(spark):
     assert set(found) == {0, 1} and abs(found[1] / 40_000 - 0.75) < 0.02
     with pytest.raises(ValueError):
         sharding.rendezvous(F.col("id"), [0.0])
+
+
+def test_equal_rows_spread_over_sub_buckets(spark):
+    df = spark.createDataFrame([(1, 0)] * 4_000, "doc_id long, shard int").repartition(4)
+    out = sharding.number_slots(df, "shard", ["doc_id"], sub_buckets=8)
+    assert sorted(r["slot"] for r in out.collect()) == list(range(4_000))
+    spread = df.withColumn("tie", F.monotonically_increasing_id()).groupBy(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(8))).count().toPandas()["count"]
+    assert len(spread) == 8 and spread.max() < 2 * 4_000 / 8
+
+
+def test_added_tokens_as_ordinary_text(spark):
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own.encode_special_tokens = True
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for added in (True, False):
+        rows = packing.cut_documents(df, path=public_tokenizers.path("byte_bpe_50k.json"), pattern=public_tokenizers.PATTERN, added=added).collect()
+        found = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in rows}
+        assert (50256 in found[0]) == added and found[2] == [*own.encode("plain", add_special_tokens=False).ids, 1]
+        if not added:
+            assert all(found[k] == [*own.encode(t, add_special_tokens=False).ids, 1] for k, t in enumerate(texts))
