@@ -1,10 +1,15 @@
 """Language, toxicity, page text and the pipeline: held-out accuracy, brute force and odd rows."""
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
+from test_joins import brute_components
+from test_texts import check_pieces
 
 from pathflow.llm import html_text, langid, queries, toxicity
+from pathflow.llm.shared import written
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -179,9 +184,69 @@ def test_pipeline(spark):
     docs.unpersist()
 
 
+def rows_of(df):
+    return Counter(map(tuple, df.collect()))
+
+
 def test_pipeline_of_odd_rows(spark, odd_documents, no_documents):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     for docs in (odd_documents, no_documents):
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, SMALL)
-        assert docs.count() >= 0
+        now = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = written(stage(spark, now, SMALL))
+            assert after.columns == docs.columns
+            assert not rows_of(after) - rows_of(now), name  # rows go, none comes or changes
+            if name == "language ID":
+                assert all(any(c.isalpha() for c in r["text"] or "") for r in after.collect())
+            now = after
+        texts = {}
+        for r in now.collect():
+            assert texts.setdefault(r["text"].lower().strip(), r["doc_id"]) == r["doc_id"]  # of equal texts one id stays
+        tokens, totals = Counter(), {}
+        for r in corpus_pipeline.STAGES[-1][1](spark, now, SMALL).collect():
+            tokens[r["doc_id"]] += r["length"]
+            totals[r["doc_id"]] = r["doc_tokens"]
+        repeats = Counter(r["doc_id"] for r in now.collect())
+        assert tokens == {k: totals[k] * n for k, n in repeats.items()}
+
+
+def test_pipeline_by_brute_force(spark):
+    """Every stage against its operator's brute-force version, on the stage's own input."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    network = langid.train_on(docs, learn=f"{queries.remainder(3)} <> 1")
+    kept = {r["doc_id"] for r in docs.collect() if (found := brute_language(network, r["text"]))[0] != "und" and found[1] >= corpus_pipeline.LEAST_LANGUAGE_SCORE}
+    now = written(corpus_pipeline.keep_recognised_languages(spark, docs, SMALL))
+    assert {r["doc_id"] for r in now.collect()} == kept
+    model = toxicity.train_on(now, queries.table(spark, SMALL, "labels"), learn=f"{queries.remainder(5)} <> 0")
+    kept = {r["doc_id"] for r in now.collect() if toxicity.score_batch(model, pa.array([r["text"]]))[0] < corpus_pipeline.TOXIC_SCORE}
+    now = written(corpus_pipeline.drop_toxic(spark, now, SMALL))
+    assert {r["doc_id"] for r in now.collect()} == kept
+    found = brute_components([(r["doc_id"], r["text"]) for r in now.collect()], corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PERCENT)
+    kept = {d for (_, d), n, c in found if c == d or not n}
+    now = written(corpus_pipeline.drop_near_duplicates(spark, now, SMALL))
+    assert {r["doc_id"] for r in now.collect()} == kept
+    check_pieces(corpus_pipeline.pack(spark, now, SMALL).collect(), [(r["doc_id"], r["text"]) for r in now.collect()])
+
+
+def brute_language(network, text):
+    """Language and score by the convolution itself, window after window."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    size, raw, total = network.settings.window, text.encode(), 0.0
+    for at in range(0, len(raw), size):
+        part = raw[at : at + size]
+        x = np.frombuffer(part.ljust(size, b"\0"), np.uint8)
+        pooled = [np.max([np.einsum("we,wem->m", network.embed[x[i : i + w]], f) for i in range(size - w + 1)], axis=0) for w, f in zip(network.settings.widths, network.filters, strict=True)]
+        total = total + langid.softmax((np.maximum(np.concatenate(pooled) + network.bias, 0) @ network.out + network.out_bias)[None])[0] * len(part)
+    return network.languages[int(total.argmax())], float(total.max() / total.sum())
+
+
+def test_languages_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    network = langid.train_on(docs, learn=f"{queries.remainder(3)} <> 1")
+    rows = queries.op6_language_id(spark, SMALL).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in rows[:60]:
+        lang, score = brute_language(network, texts[r["doc_id"]])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-4)
