@@ -40,6 +40,15 @@ def test_number_formats(spark, data):
         read_network(spark, f"{folder}/link.csv", f"{folder}/columns.csv", f"{folder}/none.csv")
 
 
+def test_many_nodes(spark, tmp_path):
+    # as node files of whole cities: zones first, then nodes without a zone, coordinates of many digits, some blank
+    lines = [f"{k},{k if k <= 387 else ''},{-87.6 - k / 1e4!r},{'' if k % 100 == 0 else repr(41.8 + k / 1e5)}" for k in range(1, 934)]
+    (tmp_path / "node.csv").write_text("node_id,zone_id,x_coord,y_coord\n" + "\n".join(lines) + "\n")
+    nodes = {r["node_id"]: r for r in read_nodes(spark, f"{tmp_path}/node.csv").collect()}
+    assert sorted(nodes) == list(range(1, 934)) and sum(r["zone_id"] is not None for r in nodes.values()) == 387
+    assert all(r["x_coord"] == -87.6 - k / 1e4 and r["y_coord"] == (None if k % 100 == 0 else 41.8 + k / 1e5) for k, r in nodes.items())
+
+
 def test_text_ids(spark, tmp_path):
     (tmp_path / "link.csv").write_text("id,cap,length,free_speed\n1.0,100,1,60\n2,50,1,60\n")
     (tmp_path / "columns.csv").write_text("path_id,origin,destination,flow,links\nr1,A,7,3,1\nr2,A,7,5,2\nr3,B,7,1,1;2\n")
@@ -51,7 +60,7 @@ def test_text_ids(spark, tmp_path):
     assert {tuple(r) for r in nw.path_dim(net).collect()} == {(0, "r1"), (1, "r2"), (2, "r3")}
     assert {r["link_id"]: r["ref_volume"] for r in nw.chosen_volume(net).collect()} == {1: 4.0, 2: 6.0}  # the file beside the links
     p = alm.prepare(net, 0.0)
-    assert alm.solve(p).converged and p.pairs == [("A", "7")]
+    assert alm.solve(p).converged and [tuple(r) for r in p.pairs.select("o_zone_id", "d_zone_id").collect()] == [("A", "7")]
     (tmp_path / "bad.csv").write_text("id,cap,length,free_speed\nx,100,1,60\n")
     with pytest.raises(Exception, match="not a whole number"):
         read_network(spark, f"{tmp_path}/bad.csv", f"{tmp_path}/columns.csv")
