@@ -113,7 +113,7 @@ def test_bounded_minimum():
     rng = np.random.default_rng(3)
     m = rng.normal(size=(12, 12))
     q, b, low = m @ m.T + np.eye(12), rng.normal(size=12) * 5, np.where(np.arange(12) % 2, 0.0, -np.inf)
-    best = minimise(lambda x: (0.5 * x @ q @ x - b @ x, q @ x - b), np.zeros(12), low, max_iter=500, ftol=0.0)
+    best = minimise(lambda x: (0.5 * x @ q @ x - b @ x, q @ x - b), np.zeros(12), low, max_iter=500, ends=(0.0, 1))
     g = q @ best.x - b
     assert best.converged and (best.x >= low).all()
     assert np.abs(np.where(best.x > low, g, np.minimum(g, 0))).max() < 1e-5  # the optimality conditions
