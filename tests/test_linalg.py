@@ -44,3 +44,16 @@ def test_equal_and_zero_values(spark, monkeypatch, most):
     svd = linalg.truncated_svd(linalg.slabs_of(entries), 15, 14)
     assert svd.sigma == pytest.approx([2**0.5] * 12)
     assert svd.v.T @ svd.v == pytest.approx(np.eye(12), abs=1e-12)
+
+
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_steps_over_slabs_and_in_one_task(flat, monkeypatch, most):
+    monkeypatch.setattr(linalg, "EXACT_LINKS", 0)
+    monkeypatch.setattr(linalg, "TASK_ENTRIES", most)
+    check(linalg.truncated_svd(flat[1], 300, 20), flat[0], 20)
+
+
+def test_no_steps_on_the_driver(flat, monkeypatch):
+    monkeypatch.setattr(linalg, "EXACT_LINKS", 0)
+    monkeypatch.setattr(linalg, "_leading", None)  # a task has its own
+    check(linalg.truncated_svd(flat[1], 300, 20), flat[0], 20)
