@@ -11,7 +11,7 @@ from pathflow.operators import classes as cls
 from pathflow.operators import indexing, linalg
 from pathflow.operators import network as nw
 from pathflow.operators.layouts import Layouts
-from pathflow.sources.network import Network, checked_links
+from pathflow.sources.network import Network, checked_links, network_from_star
 
 
 @pytest.mark.parametrize("collected", [200_000, 3])
@@ -123,3 +123,12 @@ def test_products_leave_the_incidence_where_it_lies(spark, hot):
     t0 = {r["link_id"]: r["t0"] for r in hot.links.collect()}
     assert cost == pytest.approx({r["route_id"]: sum(t0[int(x)] for x in r["link_seq"].split(";")) for r in hot.routes.collect()})
     layouts.drop()
+
+
+def test_no_task_counts_more_steps_than_its_share(spark, monkeypatch):
+    monkeypatch.setattr(nw, "TASK_STEPS", 40)
+    net = network_from_star(spark, "/root/testdata/sf0.001")
+    n = net.uses.count()
+    entries = nw.multiplicities(net)
+    sizes = entries.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert entries.rdd.getNumPartitions() >= n / 40 and sizes.max() < 4 * 40
