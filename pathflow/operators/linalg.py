@@ -13,12 +13,16 @@ from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 #: Largest dense block of link rows that the driver holds, in numbers.
 DRIVER_NUMBERS = 100_000_000
 #: Links up to which the Gramian is held whole, in each task and on the driver.
 EXACT_LINKS = 2_500
 #: Entries of a row whose products one task makes.
 ROW_ENTRIES = 1_000
+#: Products that a task makes and sums up, about.
+TASK_PRODUCTS = 1_000_000
 #: Widest Krylov basis, in blocks.
 BLOCKS = 10
 #: Entries up to which one task makes all Krylov steps; so many fit a slab of a solve.
@@ -31,15 +35,20 @@ def gramian(matrix: DataFrame, *, row: str = "route_id", col: str = "link_id") -
     A row is one list of its entries, whose pairs arise where it lies.  A row of
     more than ``ROW_ENTRIES`` is parted into lists by a hash of the column, and
     every two of its lists go to a task of their own, so no task makes more than
-    that number's square of products for a row.
+    that number's square of products for a row.  Lists are written once and
+    dealt to as many tasks as their products ask for (``TASK_PRODUCTS``).
     """
     sizes = matrix.groupBy(row).agg(F.ceil(F.count(F.lit(1)) / ROW_ENTRIES).alias("parts"))
-    lists = matrix.join(sizes, row).groupBy(row, "parts", F.pmod(F.xxhash64(col), F.col("parts")).alias("part")).agg(F.collect_list(F.struct(F.col(col).alias("c"), "mult")).alias("cells"))
+    lists, _ = stored(matrix.join(sizes, row).groupBy(row, "parts", F.pmod(F.xxhash64(col), F.col("parts")).alias("part")).agg(F.collect_list(F.struct(F.col(col).alias("c"), "mult")).alias("cells")))
+    products = lists.groupBy(row).agg(F.sum(F.size("cells")).cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") + 1) / 2)).head()[0] or 0
+    tasks = max(matrix.sparkSession.sparkContext.defaultParallelism, int(products // TASK_PRODUCTS) + 1)
+    lists = lists.repartition(tasks, row, "part")
     alone = lists.where("parts = 1").select(F.col("cells").alias("x"), F.col("cells").alias("y"), F.lit(True).alias("same"))
     left, right = (lists.where("parts > 1").select(row, F.col("part").alias(p), F.col("cells").alias(c)) for p, c in (("i", "x"), ("j", "y")))
-    crossed = left.join(right, row).where("i <= j").repartition(row, "i", "j").select("x", "y", (F.col("i") == F.col("j")).alias("same"))
+    crossed = left.join(right, row).where("i <= j").repartition(tasks, row, "i", "j").select("x", "y", (F.col("i") == F.col("j")).alias("same"))
     pairs = alone.unionByName(crossed).select(F.explode("x").alias("p"), "y", "same").select("p", F.explode("y").alias("q"), "same").where("not same or p.c <= q.c")
-    return pairs.groupBy(F.least("p.c", "q.c").alias("a"), F.greatest("p.c", "q.c").alias("b")).agg(F.sum(F.col("p.mult") * F.col("q.mult")).alias("val"))
+    cells = pairs.select(F.least("p.c", "q.c").alias("a"), F.greatest("p.c", "q.c").alias("b"), (F.col("p.mult") * F.col("q.mult")).alias("val"))
+    return cells.groupBy("a", "b").agg(F.sum("val").alias("val"))
 
 
 def times(row: np.ndarray, col: np.ndarray, val: np.ndarray, x: np.ndarray, n_rows: int) -> np.ndarray:

@@ -132,3 +132,18 @@ def test_no_task_counts_more_steps_than_its_share(spark, monkeypatch):
     entries = nw.multiplicities(net)
     sizes = entries.groupBy(F.spark_partition_id()).count().toPandas()["count"]
     assert entries.rdd.getNumPartitions() >= n / 40 and sizes.max() < 4 * 40
+
+
+def test_lists_are_dealt_by_their_products(spark, monkeypatch):
+    """More tasks than the session's parallelism where there are many products, with the same sums."""
+    rng = np.random.default_rng(4)
+    dense = rng.integers(0, 2, (200, 30))
+    matrix = spark.createDataFrame([(int(r), int(c), 1) for r, c in zip(*dense.nonzero(), strict=True)], "route_id long, link_id long, mult long")
+    tasks, repartition = [], type(matrix).repartition
+    monkeypatch.setattr(type(matrix), "repartition", lambda self, n, *keys: tasks.append(n) or repartition(self, n, *keys))
+    monkeypatch.setattr(linalg, "TASK_PRODUCTS", 1_000)
+    found = {(r["a"], r["b"]): r["val"] for r in linalg.gramian(matrix).collect()}
+    products = sum(n * (n + 1) // 2 for n in dense.sum(axis=1).tolist())
+    assert min(tasks) >= products // 1_000 > 8
+    whole = dense.T @ dense
+    assert found == {(a, b): whole[a, b] for a in range(30) for b in range(a, 30) if whole[a, b]}
