@@ -36,7 +36,8 @@ def gramian(matrix: DataFrame, *, row: str = "route_id", col: str = "link_id") -
     more than ``ROW_ENTRIES`` is parted into lists by a hash of the column, and
     every two of its lists go to a task of their own, so no task makes more than
     that number's square of products for a row.  Lists are written once and
-    dealt to as many tasks as their products ask for (``TASK_PRODUCTS``).
+    dealt to as many tasks as their products ask for (``TASK_PRODUCTS``), and
+    so are the products, which are summed up where they are dealt to.
     """
     sizes = matrix.groupBy(row).agg(F.ceil(F.count(F.lit(1)) / ROW_ENTRIES).alias("parts"))
     lists, _ = stored(matrix.join(sizes, row).groupBy(row, "parts", F.pmod(F.xxhash64(col), F.col("parts")).alias("part")).agg(F.collect_list(F.struct(F.col(col).alias("c"), "mult")).alias("cells")))
@@ -48,7 +49,7 @@ def gramian(matrix: DataFrame, *, row: str = "route_id", col: str = "link_id") -
     crossed = left.join(right, row).where("i <= j").repartition(tasks, row, "i", "j").select("x", "y", (F.col("i") == F.col("j")).alias("same"))
     pairs = alone.unionByName(crossed).select(F.explode("x").alias("p"), "y", "same").select("p", F.explode("y").alias("q"), "same").where("not same or p.c <= q.c")
     cells = pairs.select(F.least("p.c", "q.c").alias("a"), F.greatest("p.c", "q.c").alias("b"), (F.col("p.mult") * F.col("q.mult")).alias("val"))
-    return cells.groupBy("a", "b").agg(F.sum("val").alias("val"))
+    return cells.repartition(tasks, "a", "b").groupBy("a", "b").agg(F.sum("val").alias("val"))
 
 
 def times(row: np.ndarray, col: np.ndarray, val: np.ndarray, x: np.ndarray, n_rows: int) -> np.ndarray:
