@@ -57,3 +57,25 @@ def test_no_steps_on_the_driver(flat, monkeypatch):
     monkeypatch.setattr(linalg, "EXACT_LINKS", 0)
     monkeypatch.setattr(linalg, "_leading", None)  # a task has its own
     check(linalg.truncated_svd(flat[1], 300, 20), flat[0], 20)
+
+
+@pytest.mark.parametrize("numbers", [32_000_000, 3_000])
+def test_vectors_stay_on_the_executors(spark, flat, monkeypatch, numbers):
+    """Beyond a task the driver makes no step, whatever the number of links; groups of columns and parts of any size."""
+    dense, slabs = flat
+    for name, most in (("EXACT_LINKS", 0), ("TASK_ENTRIES", 0), ("DRIVER_NUMBERS", 1)):
+        monkeypatch.setattr(linalg, name, most)
+    monkeypatch.setattr(linalg, "_leading", None)
+    monkeypatch.setattr(linalg.spread, "TASK_NUMBERS", numbers)
+    monkeypatch.setattr(linalg.spread, "PART_NUMBERS", numbers)
+    check(linalg.truncated_svd(slabs, 300, 20), dense, 20)
+    apart = linalg.truncated_svd(slabs, 300, 20, apart=True)
+    sigma, v = np.linalg.svd(dense)[1:]
+    v = v[:20].T * np.where(v[:20].T[np.abs(v[:20].T).argmax(axis=0), np.arange(20)] < 0, -1.0, 1.0)
+    u, flow = dense @ v / sigma[:20], np.arange(1500.0)
+    routes = spark.createDataFrame([(np.flatnonzero(r).tolist(), r[r > 0].astype(int).tolist(), f) for r, f in zip(dense, flow.tolist(), strict=True)], "links array<long>, mults array<long>, flow double")
+    assert {r["component"]: r["total"] for r in apart.latent_totals(routes, "flow").collect()} == pytest.approx(dict(enumerate(u.T @ flow)), rel=1e-6, abs=1e-3)
+    found, d = apart.latent_by_link(routes, "d").toPandas(), dense.T @ u
+    assert len(found) == 20 * (dense.sum(axis=0) > 0).sum() and np.abs(found["d"] - d[found["link_idx"], found["component"]]).max() < 1e-6
+    with pytest.raises(ValueError, match="residual"):
+        linalg.truncated_svd(slabs, 300, 10, iterations=1)
