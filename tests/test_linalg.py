@@ -79,3 +79,18 @@ def test_vectors_stay_on_the_executors(spark, flat, monkeypatch, numbers):
     assert len(found) == 20 * (dense.sum(axis=0) > 0).sum() and np.abs(found["d"] - d[found["link_idx"], found["component"]]).max() < 1e-6
     with pytest.raises(ValueError, match="residual"):
         linalg.truncated_svd(slabs, 300, 10, iterations=1)
+
+
+def test_converged_vectors_are_set_aside(spark):
+    """A value far above the others doesn't hold down the polynomials' degree for long: 16 turns when it did."""
+    rng = np.random.default_rng(3)
+    dense = np.zeros((8_000, 1_500))
+    np.add.at(dense, (np.repeat(np.arange(8_000), 5), rng.integers(0, 1_500, 40_000)), 1.0)
+    dense[:, 0] += 1  # a link on every route
+    parts = [dense[k::4] for k in range(4)]
+    slabs = spark.sparkContext.parallelize([(*x.nonzero(), x[x.nonzero()], len(x)) for x in parts], 4)
+    svd = linalg.spread.spread_svd(slabs, 1_500, 20, 20, iterations=9)
+    v = svd.collected()
+    assert svd.sigma == pytest.approx(np.linalg.svd(dense, compute_uv=False)[:20], rel=1e-12)
+    assert np.abs(v.T @ v - np.eye(20)).max() < 1e-12 and np.abs(dense.T @ (dense @ v) - v * svd.sigma**2).max() < 1e-9 * svd.sigma[0] ** 2
+    svd.drop()
