@@ -25,6 +25,12 @@ lost whatever the list holds.  A text that consists mostly of such shingles,
 and one that may link with such a text, offers further keys from which only
 more frequent shingles are taken out, and at last keys of its whole set.
 
+A family of several blocks is searched by hubs first, texts of it that every
+block has.  What a block doesn't join with most of the hubs meets the whole
+family, or, where that takes fewer copies of texts, those with which it shares
+one of its rarest shingles: of the shingles that two linking sets share, the
+rarest is in both among the first, one more than a partner may lack.
+
 Texts with equal sets are one class throughout; a class is searched once.
 """
 
@@ -236,6 +242,20 @@ def group_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int, frequent: F
     return np.concatenate([*keys, key]), np.concatenate([*texts, text])
 
 
+def rarest(hashes: np.ndarray, bounds: np.ndarray, percent: int, frequent: Frequent | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest shingles of every text, one more than a partner may lack, and the text of each; two sets that link share one.
+
+    Common shingles are among them only if a text has too few others, so a
+    passage that many texts share doesn't bring those together that differ else.
+    """
+    sizes = np.diff(bounds)
+    times = np.zeros(len(hashes), np.int64) if frequent is None else frequent.of(hashes)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((hashes, times, text))
+    kept = np.arange(len(hashes)) - bounds[:-1][text] <= (sizes * (100 - percent) // 100)[text]
+    return hashes[order][kept], text[kept]
+
+
 def signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit sums that stand for each text's set; zeros for an empty one."""
     out = []
@@ -438,6 +458,23 @@ def candidate_links(docs: DataFrame, words: int, percent: int, frequent: Frequen
     return rows.select(F.coalesce("hub", least).alias("a"), F.col("doc").alias("b")).where("a <> b").distinct()
 
 
+def with_rarest(members: DataFrame, words: int, percent: int, frequent: Frequent | None = None) -> DataFrame:
+    """``doc_id, family, n, asks, keyed, key`` of rows that have a text beside the first four: every text without a key, and with each of its ``rarest`` shingles."""
+    listed = members.sparkSession.sparkContext.broadcast(frequent)
+    names = ["doc_id", "family", "n", "asks"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, hashes, bounds in _sets(batch.column(4), words):
+                key, text = rarest(hashes, bounds, percent, listed.value)
+                every = np.arange(len(bounds) - 1)
+                own = batch.slice(a, len(every)).take(pa.array(np.concatenate([every, text])))
+                keyed = np.repeat([False, True], [len(every), len(text)])
+                yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.array(keyed), pa.array(np.concatenate([np.zeros(len(every), np.int64), key.view(np.int64)]))], names=[*names, "keyed", "key"])
+
+    return members.select(*names, "text").mapInArrow(run, "doc_id long, family long, n long, asks boolean, keyed boolean, key long").distinct()
+
+
 def search_blocks(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """Search blocks of texts.
 
@@ -486,9 +523,29 @@ def search_blocks(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return lined.mapInArrow(run, "a long, b long")
 
 
-def _blocks(share: int = 1) -> Column:
-    """Into how many blocks of a share of the bounds a group of texts of sizes ``n`` goes."""
-    return F.greatest(F.ceil(F.sum("n") * share / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) * share / BLOCK_TEXTS)).cast("int")
+def _blocks(share: int = 1, who: Column | None = None) -> Column:
+    """Into how many blocks of a share of the bounds a group of texts of sizes ``n`` goes, or those of it that ``who`` names."""
+    who = F.lit(True) if who is None else who
+    return F.greatest(F.ceil(F.sum(F.when(who, F.col("n"))) * share / BLOCK_SHINGLES), F.ceil(F.count_if(who) * share / BLOCK_TEXTS)).cast("int")
+
+
+def meetings(either: DataFrame) -> DataFrame:
+    """``doc_id, family, asks, keyed, key, across, down``: the groups in which texts that ask meet the others.
+
+    ``either`` is a table as ``with_rarest`` makes it.  A family is one group, or
+    as many as its texts share keys, whichever takes fewer copies of texts.  A
+    group of one block is searched as it is; in a larger one a part of those
+    that ask meets a part of all at a time.
+    """
+    either = written(either)
+    sizes = either.groupBy("family", "keyed", "key").agg(_blocks(2, F.col("asks")).alias("across"), _blocks(2).alias("down"), F.count(F.lit(1)).alias("texts"), F.count_if("asks").alias("n_ask")).where("texts > 1 and n_ask > 0")
+    copies = F.when(F.col("down") == 1, F.col("texts")).otherwise(F.col("n_ask") * F.col("down") + F.col("texts") * F.col("across"))
+    sizes = written(sizes.withColumn("copies", copies))
+    sums = [F.coalesce(F.sum(F.when(F.col("keyed") == k, F.col("copies"))), F.lit(0)) for k in (True, False)]
+    taken = sizes.groupBy("family").agg((sums[0] < sums[1]).alias("keyed"))
+    out = written(either.join(sizes.drop("texts", "n_ask", "copies").join(taken, ["family", "keyed"]), ["family", "keyed", "key"]))
+    discard(either, sizes)
+    return out
 
 
 def rows_near(rows: DataFrame, keys: DataFrame, key: str, *, most_bits: int = 1 << 27) -> DataFrame:
@@ -546,31 +603,32 @@ def jaccard_components(docs: DataFrame, *, words: int = 3, percent: int = 90, ke
     seats = dealt.join(is_hub, "doc_id", "left").select("doc_id", "family", F.col("block").cast("long"), F.coalesce("hub", F.lit(0)).alias("role"))
     seats = seats.unionByName(lent.select("doc_id", "family", F.col("to").cast("long").alias("block"), F.lit(1).alias("role")))
 
-    def with_texts(seats: DataFrame) -> DataFrame:
+    def with_texts(seats: DataFrame, ids: DataFrame) -> DataFrame:
         # one row for each document first, so that the texts move once before they are lent
         packed = seats.groupBy("doc_id").agg(F.collect_list(F.struct("family", "block", "role")).alias("seats"))
-        found = rows_near(slim, dealt, "doc_id").join(packed, "doc_id").select("doc_id", "text", F.explode("seats").alias("s"))
+        found = rows_near(slim, ids, "doc_id").join(packed, "doc_id").select("doc_id", "text", F.explode("seats").alias("s"))
         return found.select("s.family", "s.block", "s.role", F.col("doc_id").alias("doc"), "text")
 
-    searched = written(search_blocks(with_texts(seats), words, percent))
+    searched = written(search_blocks(with_texts(seats, dealt), words, percent))
     links = searched.where("b is not null")
     probes = many.join(searched.where("b is null").select(F.col("a").alias("doc_id")).distinct(), "doc_id")
-    more = grid = down = None
+    more = members = met = None
     if probes.limit(1).count():
-        # what a block couldn't join with the hubs meets all of its family, a part of the ones with a part of the others at a time
-        grid = written(probes.groupBy("family").agg(_blocks(2).alias("across")))
-        down = written(many.join(grid, "family").groupBy("family", "across").agg(_blocks(2).alias("down")))
+        asks = probes.select("doc_id", "family", F.lit(True).alias("asks"))
+        members = written(many.join(probes.select("family").distinct(), "family").join(asks, ["doc_id", "family"], "left").select("doc_id", "family", F.col("n").cast("long").alias("n"), F.coalesce("asks", F.lit(False)).alias("asks")))
+        met = meetings(with_rarest(rows_near(slim, members, "doc_id").join(members, "doc_id"), words, percent, frequent))
         part = lambda n: F.pmod(F.xxhash64("doc_id", F.lit(3)), n)
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        asked = probes.join(down, "family").select("doc_id", "family", part("across").alias("i"), every("down").alias("j"), "down", F.lit(2).alias("role"))
-        others = many.join(down, "family").select("doc_id", "family", every("across").alias("i"), part("down").alias("j"), "down", F.lit(0).alias("role"))
+        group = F.when(F.col("keyed"), F.xxhash64("family", "key")).otherwise(F.col("family")).alias("family")
+        asked = met.where("down > 1 and asks").select("doc_id", group, part("across").alias("i"), every("down").alias("j"), "down", F.lit(2).alias("role"))
+        others = met.select("doc_id", group, every("across").alias("i"), part("down").alias("j"), "down", F.lit(0).alias("role"))
         seats = asked.unionByName(others).select("doc_id", "family", (F.col("i") * F.col("down") + F.col("j")).cast("long").alias("block"), "role")
-        more = written(search_blocks(with_texts(seats), words, percent))
+        more = written(search_blocks(with_texts(seats, met.select("doc_id").distinct()), words, percent))
         links = links.unionByName(more.where("b is not null"))
     # rows of one doc_id with different sets
     both = of.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z")
     links = links.select("a", "b").unionByName(of.join(both, "doc_id").select("a", F.col("class").alias("b")))
     joined = connected_components(links)
-    discard(searched, more, dealt, grid, down)
+    discard(searched, more, dealt, members, met)
     out = assigned.join(joined, assigned["class"] == joined["node"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))

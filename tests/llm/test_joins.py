@@ -94,6 +94,37 @@ def test_jaccard_components(spark, monkeypatch, words, percent, blocks):
     assert as_rows(found) == brute_components(docs, words, percent)
 
 
+def test_a_loose_family_grows_with_its_texts(spark, monkeypatch):
+    # texts that are mostly one passage form a family of many blocks, in which few link
+    monkeypatch.setattr(jaccard, "BLOCK_TEXTS", 6)
+    seen, search = [], jaccard.search_blocks
+    monkeypatch.setattr(jaccard, "search_blocks", lambda rows, *a: search(seen.append(rows.count()) or rows, *a))
+    rng = random.Random(4)
+    passage = [f"p{k}" for k in range(40)]
+    docs = [(k, [*passage, *(f"{rng.random()}" for _ in range(16)), *(["one", "two", "three", "four"] if k < 40 else [])]) for k in range(160)]
+    docs += [(500 + k, [*docs[k][1][:-1], "changed"]) for k in range(0, 160, 10)]
+    docs = [(k, " ".join(text)) for k, text in docs]
+    found = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), words=3, percent=80)
+    assert as_rows(found) == brute_components(docs, 3, 80)
+    assert len(seen) == 2 and seen[1] < 2_500  # 176 texts; every part against every part: 20,768 rows
+
+
+def test_rarest_shingles_keep_links():
+    rng = np.random.default_rng(2)
+    kept = 0
+    for _ in range(1500):
+        n = int(rng.integers(1, 120))
+        base = np.unique(rng.integers(0, 300, 2 * n + 4).astype(np.uint64))
+        a, b = (np.delete(base, rng.integers(0, len(base), int(rng.integers(0, len(base) // 8 + 2)))) for _ in range(2))
+        both = len(np.intersect1d(a, b))
+        if both and 100 * both >= 80 * (len(a) + len(b) - both):
+            times = jaccard.Frequent(np.arange(0, 300, 3, dtype=np.uint64), rng.integers(2, 90, 100))
+            keys, text = jaccard.rarest(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 80, times)
+            assert set(keys[text == 0]) & set(keys[text == 1])
+            kept += 1
+    assert kept > 300
+
+
 def test_jaccard_query(spark, documents, odd_documents, no_documents):
     docs = [(r["doc_id"], r["text"]) for r in documents.collect()]
     assert as_rows(queries.op2_jaccard_join(spark, "/root/testdata/sf0.001")) == brute_components(docs, 3, 90)
