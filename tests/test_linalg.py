@@ -1,5 +1,7 @@
 """The truncated SVD against numpy's on matrices of a flat spectrum."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -94,3 +96,22 @@ def test_converged_vectors_are_set_aside(spark):
     assert svd.sigma == pytest.approx(np.linalg.svd(dense, compute_uv=False)[:20], rel=1e-12)
     assert np.abs(v.T @ v - np.eye(20)).max() < 1e-12 and np.abs(dense.T @ (dense @ v) - v * svd.sigma**2).max() < 1e-9 * svd.sigma[0] ** 2
     svd.drop()
+
+
+def test_a_group_of_columns_holds_the_matrix_in_few_bytes():
+    rng = np.random.default_rng(5)
+    n_links, rows, slabs = 3_000, 40_000, []
+    for _ in range(12):
+        row = np.sort(rng.integers(0, rows, 120_000))
+        slabs.append((row, rng.integers(0, n_links, len(row)), np.where(rng.random(len(row)) < 1e-3, 2.0, 1.0), rows))
+    x = rng.normal(size=(n_links, 3))
+    wanted = sum(linalg.times(col, row, val, linalg.times(row, col, val, x, n), n_links) for row, col, val, n in slabs)
+    packed = [linalg.spread.packed(s) for s in slabs]
+    tracemalloc.start()
+    held = linalg.spread.Rows.of(packed, n_links)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 * 12 * 120_000
+    assert np.allclose(held.gramian_times(x), wanted)
+    halves = [linalg.spread.packed((row, col, val / 2, n)) for row, col, val, n in slabs]
+    assert np.allclose(linalg.spread.Rows.of(halves, n_links).gramian_times(x), wanted / 4)
