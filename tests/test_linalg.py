@@ -115,3 +115,20 @@ def test_a_group_of_columns_holds_the_matrix_in_few_bytes():
     assert np.allclose(held.gramian_times(x), wanted)
     halves = [linalg.spread.packed((row, col, val / 2, n)) for row, col, val, n in slabs]
     assert np.allclose(linalg.spread.Rows.of(halves, n_links).gramian_times(x), wanted / 4)
+
+
+def test_sums_by_key_where_the_vectors_lie(spark, flat, monkeypatch):
+    dense, slabs = flat
+    for name, most in (("EXACT_LINKS", 0), ("TASK_ENTRIES", 0), ("DRIVER_NUMBERS", 1)):
+        monkeypatch.setattr(linalg, name, most)
+    monkeypatch.setattr(linalg.spread.Spread, "collected", None)
+    svd = linalg.truncated_svd(slabs, 300, 20, apart=True)
+    v = np.linalg.svd(dense)[2][:20].T
+    u = dense @ (v * np.where(v[np.abs(v).argmax(axis=0), np.arange(20)] < 0, -1.0, 1.0)) / svd.sigma
+    rows = [(i, i % 7, f"k{i % 3}", np.flatnonzero(r).tolist(), r[r > 0].astype(int).tolist()) for i, r in enumerate(dense)]
+    routes = spark.createDataFrame([*rows, (9999, 8, "k9", None, None)], "route_id long, a int, b string, links array<long>, mults array<long>")
+    found = linalg.latent_by_key(routes, svd, ["a", "b"], "m", routes_a_part=20).collect()
+    at = np.arange(1500)
+    wanted = {(a, f"k{b}", k): u[(at % 7 == a) & (at % 3 == b), k].sum() for a in range(7) for b in range(3) for k in range(20)} | {(8, "k9", k): 0.0 for k in range(20)}
+    assert len(found) == len(wanted)
+    assert {(r["a"], r["b"], r["component"]): r["m"] for r in found} == pytest.approx(wanted, abs=1e-6)
